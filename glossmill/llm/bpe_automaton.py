@@ -18,8 +18,10 @@ special tokens in a text become those tokens unless encode_special is false; dec
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import json
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,56 +32,66 @@ from pyspark.sql import types as T
 from glossmill.llm import runtime
 
 #: Words whose tokens a task keeps; past it the table starts anew.
-CACHE_WORDS = 400_000
-CACHE_ARCS = 1_000_000
+CACHE_WORDS = 600_000
 #: Longer words are not kept.
 CACHE_LENGTH = 64
 
 LETTER, NUMBER, BLANK, OTHER = 1, 2, 3, 0
-#: The contractions of the byte-level pre-tokenizer.
+#: The contractions of the byte-level pre-tokenizer, and the code points of White_Space.
 CONTRACTIONS = ("s", "t", "re", "ve", "m", "ll", "d")
-
-_classes: np.ndarray | None = None
-
-
-def code_point_classes() -> np.ndarray:
-    """Letter, number, white space or other, for each code point, as the pre-tokenizer's pattern has them."""
-    global _classes
-    if _classes is None:
+WHITE_SPACE = (*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)
+NEVER = 1 << 30
+
+
+def code_point_classes(path: str | None = None) -> np.ndarray:
+    """Letter, number, white space or other, for each code point, as the pre-tokenizer's pattern has them.
+
+    Code points that Python's own Unicode tables don't have yet are put to the tokenizer file's pre-tokenizer.
+    """
+    table = np.zeros(0x110000, np.uint8)
+    kinds = {"L": LETTER, "N": NUMBER}
+    fresh = []
+    for i in range(0x110000):
+        category = unicodedata.category(chr(i))
+        table[i] = kinds.get(category[0], OTHER)
+        if category == "Cn" and i % 0x10000 < 0xFFFE:
+            fresh.append(i)
+    table[list(WHITE_SPACE)] = BLANK
+    if path is not None:
         import regex
+        from tokenizers import Tokenizer
 
-        everything = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
-        table = np.zeros(0x110000, np.uint8)
-        for pattern, kind in ((r"\p{L}+", LETTER), (r"\p{N}+", NUMBER), (r"\p{White_Space}+", BLANK)):
-            for m in regex.finditer(pattern, everything):
-                a, b = ord(m[0][0]), ord(m[0][-1])
-                table[a : b + 1] = kind
-        table[0xD800:0xE000] = OTHER
-        _classes = table
-    return _classes
+        split = Tokenizer.from_file(path).pre_tokenizer
+        newer = regex.compile(r"[\p{L}\p{N}]")
+        for i in fresh:
+            if newer.match(chr(i)):
+                ends = [span[1] for _, span in split.pre_tokenize_str(f"a{chr(i)}1")]
+                table[i] = {(2, 3): LETTER, (1, 3): NUMBER}.get(tuple(ends), OTHER)
+    return table
 
 
-def split_words(text: str) -> list[str]:
+def split_words(text: str, classes: np.ndarray) -> list[str]:
     """The byte-level pre-tokenizer's words: runs of a class with one space before, contractions, white space."""
     n = len(text)
     if not n:
         return []
     points = np.frombuffer(text.encode("utf-32-le"), np.uint32)
-    kind = code_point_classes()[points]
+    kind = classes[points]
     start = np.ones(n, bool)
-    start[1:] = kind[1:] != kind[:-1]
+    np.not_equal(kind[1:], kind[:-1], out=start[1:])
     # the last white space before a word is a token of its own, or goes with the word if it is a space
     heads = np.flatnonzero(start[1:] & (kind[:-1] == BLANK)) + 1
     start[heads - 1] = True
     start[heads[points[heads - 1] == 32]] = False
-    for q in np.flatnonzero(start & (points == 39)):
-        if q + 1 < n and kind[q + 1] == LETTER:
-            for c in CONTRACTIONS:
-                if text.startswith(c, q + 1):
-                    start[q + 1] = False
-                    if q + 1 + len(c) < n:
-                        start[q + 1 + len(c)] = True
-                    break
+    if "'" in text:
+        for q in np.flatnonzero(start & (points == 39)):
+            if q + 1 < n and kind[q + 1] == LETTER:
+                for c in CONTRACTIONS:
+                    if text.startswith(c, q + 1):
+                        start[q + 1] = False
+                        if q + 1 + len(c) < n:
+                            start[q + 1 + len(c)] = True
+                        break
     cut = np.flatnonzero(start).tolist()
     cut.append(n)
     return [text[a:b] for a, b in zip(cut, cut[1:])]  # noqa: B905
@@ -95,71 +107,117 @@ def byte_letters() -> dict[str, int]:
 
 
 class Automaton:
-    """Compiled merges. Plain lists and dicts, a few MB whatever the corpus; broadcast to the tasks."""
+    """Compiled merges as flat tables, a few MB whatever the corpus; broadcast to the tasks."""
 
-    def __init__(self, labels: dict[int, bytes], merges: list[tuple[int, int, int]], special: dict[str, int]):
+    def __init__(self, labels: dict[int, bytes], merges: list[tuple[int, int, int]], special: dict[str, int], classes: np.ndarray | None = None):
         size = max([*labels, *special.values()]) + 1
-        self.labels = [b""] * size
-        for token, label in labels.items():
-            self.labels[token] = label
-        for text, token in special.items():
-            self.labels[token] = text.encode()
+        self.classes = code_point_classes() if classes is None else classes
         self.special = special
-        self.vocabulary = {label: token for token, label in labels.items()}
-        self.born = [-1] * size  # the merge that made the state; bytes were there before
-        self.state_of = [0] * size  # the state whose arcs it took over
-        self.label_of = [0] * size  # the label whose arcs it was given
-        self.cut: dict[int, int] = {}  # arcs that a merge took away: state and label -> merge
-        self.twice = [False] * size
+        self.born = np.full(size, -1, np.int64)  # the merge that made the state; bytes were there before
+        self.state_of = np.zeros(size, np.int64)  # the state whose arcs it took over
+        self.label_of = np.zeros(size, np.int64)  # the label whose arcs it was given
+        self.twice = np.zeros(size, bool)
+        cut: dict[int, int] = {}  # arcs that a merge took away: state and label -> merge
         for k, (a, b, c) in enumerate(merges):
-            self._gadget(k, a, b, c)
-        self.trie: list[dict[int, int]] = [{}]
-        self.ends: list[int] = [-1]
-        for label, token in self.vocabulary.items():
-            node = 0
-            for x in label:
-                if x not in self.trie[node]:
-                    self.trie[node][x] = len(self.trie)
-                    self.trie.append({})
-                    self.ends.append(-1)
-                node = self.trie[node][x]
-            self.ends[node] = token
-        self.length = [len(x) for x in self.labels]
-        self.shorter = [-1] * size  # the longest label that begins this one
-        for label, token in self.vocabulary.items():
-            node = 0
-            for x in label[:-1]:
-                node = self.trie[node][x]
-                if self.ends[node] >= 0:
-                    self.shorter[token] = self.ends[node]
+            self._gadget(cut, k, a, b, c)
+        self._hash(cut)
+        self._trie(labels, size)
+        texts = [labels.get(i, b"") for i in range(size)]
+        for text, token in special.items():
+            texts[token] = text.encode()
+        self.length = np.array([len(x) for x in texts], np.int64)
+        self.offset = np.concatenate(([0], np.cumsum(self.length)))
+        self.flat = np.frombuffer(b"".join(texts), np.uint8)
 
-    def _gadget(self, k: int, a: int, b: int, c: int) -> None:
+    def _gadget(self, cut: dict[int, int], k: int, a: int, b: int, c: int) -> None:
         if self.born[c] >= 0:
             raise ValueError(f"two merges make token {c}")
-        self.cut[a << 20 | b] = k
+        cut[a << 20 | b] = k
         self.born[c], self.state_of[c], self.label_of[c], self.twice[c] = k, b, a, a == b
 
-    def arc(self, state: int, label: int) -> bool:
-        """Whether the state has an arc on the label once all merges are in."""
-        limit = len(self.born)
-        born, cut = self.born, self.cut
-        while True:
-            k = cut.get(state << 20 | label, limit)
-            if k < limit:
-                return False
-            s, t = born[state], born[label]
-            if s < 0 and t < 0:
-                return True
-            if s == t:
-                limit, state, label = s, self.state_of[state], self.label_of[label]
-            elif s > t:
-                limit, state = s, self.state_of[state]
+    def _hash(self, cut: dict[int, int]) -> None:
+        """Arcs taken away, in a table with open addresses."""
+        bits = max(4, (4 * len(cut)).bit_length())
+        self.shift = np.uint64(64 - bits)
+        self.keys = np.full(1 << bits, -1, np.int64)
+        self.merge = np.full(1 << bits, NEVER, np.int64)
+        for key, k in cut.items():
+            at = (key * 0x9E3779B97F4A7C15 & (1 << 64) - 1) >> 64 - bits
+            while self.keys[at] >= 0:
+                at = (at + 1) & (1 << bits) - 1
+            self.keys[at], self.merge[at] = key, k
+
+    def _cut(self, key: np.ndarray) -> np.ndarray:
+        at = ((key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
+        there = self.keys[at]
+        busy = np.flatnonzero((there != key) & (there >= 0))
+        while len(busy):
+            at[busy] = (at[busy] + 1) & (len(self.keys) - 1)
+            there = self.keys[at[busy]]
+            busy = busy[(there != key[busy]) & (there >= 0)]
+        return np.where(self.keys[at] == key, self.merge[at], NEVER)
+
+    def _trie(self, labels: dict[int, bytes], size: int) -> None:
+        """Trie of the labels as base and check arrays; token at a node, and each token's longest proper beginning."""
+        nodes: list[dict[int, int]] = [{}]
+        tokens = [-1]
+        self.shorter = np.full(size, -1, np.int64)
+        for token, label in sorted(labels.items(), key=lambda x: len(x[1])):
+            node = 0
+            for x in label:
+                if tokens[node] >= 0:
+                    self.shorter[token] = tokens[node]
+                nxt = nodes[node].get(x)
+                if nxt is None:
+                    nxt = nodes[node][x] = len(nodes)
+                    nodes.append({})
+                    tokens.append(-1)
+                node = nxt
+            tokens[node] = token
+        room = 4 * len(nodes) + 1024
+        self.base = np.zeros(len(nodes), np.int32)
+        self.check, self.target = np.full(room, -1, np.int32), np.zeros(room, np.int32)
+        self.token_at = np.array(tokens, np.int32)
+        used = bytearray(room)
+        free = 0
+        hint: dict[int, int] = {}  # where nodes with so many children were last placed
+        for node in sorted(range(len(nodes)), key=lambda v: -len(nodes[v])):  # the crowded ones first, the rest fill the gaps
+            children = sorted(nodes[node])
+            if not children:
+                break
+            if len(children) == 1:
+                while used[free] or free < children[0]:
+                    free += 1
+                b = free - children[0]
             else:
-                if self.twice[label] and self.label_of[label] == state:
-                    return False
-                limit, label = t, self.label_of[label]
+                b = hint.get(len(children), 0)
+                while any(used[b + x] for x in children):
+                    b += 1
+                hint[len(children)] = b
+            self.base[node] = b
+            for x in children:
+                used[b + x] = 1
+                self.check[b + x] = node
+                self.target[b + x] = nodes[node][x]
+
+    def arcs(self, state: np.ndarray, label: np.ndarray) -> np.ndarray:
+        """Whether each state has an arc on the label once all merges are in."""
+        out = np.ones(len(state), bool)
+        live = np.arange(len(state))
+        limit = np.full(len(state), NEVER, np.int64)
+        while len(live):
+            gone = self._cut(state << 20 | label) < limit
+            s, t = self.born[state], self.born[label]
+            gone |= (s < t) & self.twice[label] & (self.label_of[label] == state)
+            out[live[gone]] = False
+            go = ~gone & ((s >= 0) | (t >= 0))
+            live, state, label, s, t = live[go], state[go], label[go], s[go], t[go]
+            limit = np.maximum(s, t)
+            state, label = np.where(s >= t, self.state_of[state], state), np.where(t >= s, self.label_of[label], label)
+        return out
 
     @classmethod
+    @functools.lru_cache(4)
     def load(cls, path: str) -> Automaton:
         """From a tokenizer file of byte-level BPE."""
         with open(path, encoding="utf-8") as f:
@@ -172,99 +230,116 @@ class Automaton:
         for pair in data["model"]["merges"]:
             left, right = pair.split(" ") if isinstance(pair, str) else pair
             merges.append((vocabulary[left], vocabulary[right], vocabulary[left + right]))
-        return cls(labels, merges, special)
+        return cls(labels, merges, special, code_point_classes(path))
+
+    def words(self, words: list[bytes]) -> list[np.ndarray]:
+        """Tokens of each pre-split word, all words in step."""
+        n = len(words)
+        size = np.array([len(w) for w in words], np.int64)
+        first = np.concatenate(([0], np.cumsum(size + 1)))
+        buf = np.frombuffer(b"\0".join(words) + b"\0", np.uint8)
+        stop = first[:-1] + size
+        # the longest label that begins at each position
+        longest = np.full(len(buf), -1, np.int64)
+        at = np.arange(len(buf))
+        last = np.repeat(stop, size + 1)
+        node, depth = np.zeros(len(buf), np.int64), 0
+        while len(at):
+            inside = at + depth < last
+            at, node, last = at[inside], node[inside], last[inside]
+            slot = self.base[node] + buf[at + depth]
+            ok = self.check[slot] == node
+            at, node, last = at[ok], self.target[slot[ok]], last[ok]
+            token = self.token_at[node]
+            full = token >= 0
+            longest[at[full]] = token[full]
+            depth += 1
+        dead = np.zeros(len(buf), bool)  # positions from which no path reaches the end
+        path = np.zeros((n, int(size.max(initial=0)) + 1), np.int32)
+        depth = np.zeros(n, np.int64)
+        at, state = first[:-1].copy(), np.full(n, -1, np.int64)
+        token = longest[at]
+        live = np.flatnonzero(size > 0)
+        while len(live):
+            t = token[live]
+            end = at[live] + np.where(t >= 0, self.length[t], 0)
+            ok = (t >= 0) & ~dead[end]
+            ask = np.flatnonzero(ok & (state[live] >= 0))
+            ok[ask] = self.arcs(state[live[ask]], t[ask])
+            on, to, e = live[ok], t[ok], end[ok]
+            path[on, depth[on]] = to
+            depth[on] += 1
+            at[on], state[on], token[on] = e, to, longest[e]
+            off, t = live[~ok], t[~ok]
+            back = off[t < 0]  # no label left: to the position before, with a shorter label
+            token[off[t >= 0]] = self.shorter[t[t >= 0]]
+            if len(back):
+                dead[at[back]] = True
+                depth[back] -= 1
+                t = path[back, depth[back]].astype(np.int64)
+                at[back] -= self.length[t]
+                state[back] = np.where(depth[back] > 0, path[back, np.maximum(depth[back] - 1, 0)], -1)
+                token[back] = self.shorter[t]
+            live = live[at[live] < stop[live]]
+        return [path[i, :k] for i, k in enumerate(depth.tolist())]
 
 
 class Encoder:
-    """An automaton with the words and arcs that a task has met."""
+    """An automaton with the words that a task has met."""
 
     def __init__(self, automaton: Automaton, encode_special: bool = True):
         self.automaton = automaton
-        self.arcs: dict[int, bool] = {}
-        self.words = _Words(self)
         self.special = automaton.special if encode_special else {}
-
-    def word(self, word: bytes) -> list[int]:
-        """Tokens of a pre-split word."""
-        a = self.automaton
-        whole = a.vocabulary.get(word)
-        if whole is not None:
-            return [whole]
-        n = len(word)
-        arcs, trie, ends, shorter, length = self.arcs, a.trie, a.ends, a.shorter, a.length
-        out: list[int] = []
-        dead = set()  # positions from which no path reaches the end
-        at, token, last = 0, -1, -1
-        while True:
-            if token < 0:  # the longest label that follows
-                node, i = 0, at
-                while i < n:
-                    node = trie[node].get(word[i])
-                    if node is None:
-                        break
-                    if ends[node] >= 0:
-                        token = ends[node]
-                    i += 1
-            while token >= 0:
-                end = at + length[token]
-                if end not in dead:
-                    if last < 0:
-                        break
-                    key = last << 20 | token
-                    ok = arcs.get(key)
-                    if ok is None:
-                        if len(arcs) >= CACHE_ARCS:
-                            arcs.clear()
-                        ok = arcs[key] = a.arc(last, token)
-                    if ok:
-                        break
-                token = shorter[token]
-            if token >= 0:
-                out.append(token)
-                if end == n:
-                    return out
-                at, last, token = end, token, -1
-            else:
-                dead.add(at)
-                while True:  # back to a position with a shorter label left
-                    token = out.pop()
-                    at -= length[token]
-                    last = out[-1] if out else -1
-                    token = shorter[token]
-                    if token >= 0:
-                        break
-                    dead.add(at)
-
-    def encode(self, text: str) -> bytes:
-        """Token ids as little-endian unsigned 32-bit integers."""
-        return b"".join(self._parts(text))
-
-    def _parts(self, text: str) -> Iterator[bytes]:
-        hit = [(at, s) for s in self.special for at in (text.find(s),) if at >= 0]
+        self.known: dict[str, bytes] = {}
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Token ids of each text as little-endian unsigned 32-bit integers."""
+        split = [list(self._parts(t)) for t in texts]
+        met: set[str] = set()
+        for parts in split:
+            for p in parts:
+                met.update(p)
+        fresh = list(met - self.known.keys())
+        if len(self.known) + len(fresh) > CACHE_WORDS:
+            self.known.clear()
+            fresh = list(met)
+        short = [w for w in fresh if len(w) <= CACHE_LENGTH]
+        table = self.known
+        for a in range(0, len(short), 32768):
+            part = short[a : a + 32768]
+            for word, ids in zip(part, self.automaton.words([w.encode() for w in part]), strict=True):
+                table[word] = ids.tobytes()
+        long = [w for w in fresh if len(w) > CACHE_LENGTH]
+        for word in long:
+            table[word] = self.automaton.words([word.encode()])[0].tobytes()
+        for s, token in self.special.items():
+            table[s] = token.to_bytes(4, "little")
+        out = [b"".join([b"".join(map(table.__getitem__, p)) for p in parts]) for parts in split]
+        for word in [*long, *self.special]:
+            del table[word]
+        return out
+
+    def _parts(self, text: str) -> Iterator[list[str]]:
+        """Words of the text between special tokens, and these."""
+        classes = self.automaton.classes
+        hit = [(at, -len(s), s) for s in self.special if (at := text.find(s)) >= 0]
         while hit:
-            at, s = min(hit, key=lambda x: (x[0], -len(x[1])))
-            yield b"".join(map(self.words.__getitem__, split_words(text[:at])))
-            yield self.special[s].to_bytes(4, "little")
+            at, _, s = min(hit)
+            yield split_words(text[:at], classes)
+            yield [s]
             text = text[at + len(s) :]
-            hit = [(at, s) for s in self.special for at in (text.find(s),) if at >= 0]
-        yield b"".join(map(self.words.__getitem__, split_words(text)))
+            hit = [(at, -len(s), s) for s in self.special if (at := text.find(s)) >= 0]
+        yield split_words(text, classes)
 
     def decode(self, ids: bytes) -> bytes:
         """Labels of the arcs."""
-        return b"".join(map(self.automaton.labels.__getitem__, np.frombuffer(ids, "<u4").tolist()))
-
-
-class _Words(dict):
-    def __init__(self, encoder: Encoder):
-        self.encoder = encoder
-
-    def __missing__(self, word: str) -> bytes:
-        ids = np.array(self.encoder.word(word.encode()), "<u4").tobytes()
-        if len(word) <= CACHE_LENGTH:
-            if len(self) >= CACHE_WORDS:
-                self.clear()
-            self[word] = ids
-        return ids
+        a = self.automaton
+        tokens = np.frombuffer(ids, "<u4")
+        size = a.length[tokens]
+        ends = np.cumsum(size)
+        if not len(ends):
+            return b""
+        return a.flat[np.repeat(a.offset[tokens] - ends + size, size) + np.arange(ends[-1])].tobytes()
 
 
 def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids", encode_special: bool = True) -> DataFrame:
@@ -274,7 +349,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids", enc
 
     def make():
         encoder = Encoder(shared.value, encode_special)
-        return lambda texts: [pa.array([encoder.encode(t.decode("utf-8", "replace")) for t in texts], pa.binary())]
+        return lambda texts: [pa.array(encoder.encode([t.decode("utf-8", "replace") for t in texts]), pa.binary())]
 
     return runtime.append_columns(docs, text, [T.StructField(ids, T.BinaryType())], make)
 
@@ -291,7 +366,7 @@ def decode(docs: DataFrame, path: str, ids: str = "ids", text: str = "decoded")
     return runtime.append_columns(docs, ids, [T.StructField(text, T.StringType())], make)
 
 
-def digests(docs: DataFrame, ids: str = "ids", path: str | None = None) -> DataFrame:
+def digests(docs: DataFrame, path: str, ids: str = "ids") -> DataFrame:
     """docs with n_tokens, ids_sha256 and decoded_sha256 of a column of token ids. One pass, no shuffle."""
     runtime.prepare(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(Automaton.load(path))

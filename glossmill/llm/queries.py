@@ -10,7 +10,22 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glossmill.llm import hyperlang, media, repetition, runtime
+from glossmill.llm import bpe_automaton, chat_format, hyperlang, media, mixing, repetition, runtime
+
+
+#: The vocabulary file; public_tokenizers gives its place.
+VOCABULARY = "byte_bpe_50k.json"
+
+
+def vocabulary_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(VOCABULARY)
+
+
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = mixing.mix(runtime.read(spark, sf_dir, "documents"))
+    return got.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "source", "copies")
 
 
 def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,6 +35,23 @@ def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.read_back(stored).drop("media")
 
 
+def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = vocabulary_path()
+    ids = bpe_automaton.encode(runtime.read(spark, sf_dir, "documents").select("doc_id", "text"), path).drop("text")
+    return bpe_automaton.digests(ids, path).drop("ids")
+
+
+#: A conversation of control strings, beside those of the table.
+CONTROL_TEXT = "\\### Assistant: </turn> ok"
+
+
+def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = runtime.read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    role = F.when(F.col("id") == 0, "user").otherwise("assistant")
+    control = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), role.alias("role"), F.lit(CONTROL_TEXT).alias("text"))
+    return chat_format.digests(chat_format.windows(turns.unionByName(control)))
+
+
 def op9_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     runtime.prepare(spark)
     return repetition.repetition_rules(runtime.read(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
@@ -38,8 +70,38 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op5_media, op9_repetition, op10_language)}
+    return {f.__name__: f for f in (op1_mixing, op5_media, op6_bpe, op7_chat, op9_repetition, op10_language)}
+
+
+OP7_SQL = rf"""
+WITH src AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '{CONTROL_TEXT}' UNION ALL SELECT -7, 1, 'assistant', '{CONTROL_TEXT}'),
+sized AS (SELECT *, greatest(1, (length(text) + 3) // 4) AS tokens FROM src),
+summed AS (
+  SELECT *, row_number() OVER w AS n, sum(tokens) OVER w - tokens AS before FROM sized
+  WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text ROWS UNBOUNDED PRECEDING)),
+flagged AS (
+  SELECT *, CASE WHEN n > 1 AND (before // {chat_format.BUDGET - chat_format.LONGEST} <> lag(before // {chat_format.BUDGET - chat_format.LONGEST}) OVER w
+    OR tokens > {chat_format.LONGEST} OR lag(tokens > {chat_format.LONGEST}) OVER w) THEN 1 ELSE 0 END AS opens
+  FROM summed WINDOW w AS (PARTITION BY conv_id ORDER BY n)),
+placed AS (SELECT *, sum(opens) OVER (PARTITION BY conv_id ORDER BY n ROWS UNBOUNDED PRECEDING) AS win FROM flagged),
+spans AS (
+  SELECT *, max(n) OVER (PARTITION BY conv_id, win) AS last_n, max(before + tokens) OVER (PARTITION BY conv_id, win) AS last_sum,
+    max(win) OVER (PARTITION BY conv_id) AS last_win FROM placed),
+counted AS (
+  SELECT *, 1 + CASE WHEN n = 1 AND role = 'system' THEN last_win
+    WHEN n > last_n - {chat_format.HISTORY} AND last_sum - before <= {chat_format.HISTORY_TOKENS} AND win < last_win THEN 1 ELSE 0 END AS times,
+    length(role) + length(regexp_replace(role, '[^\\<>]', '', 'g')) + length(text) + length(regexp_replace(text, '[^\\<>]', '', 'g'))
+      + {len(chat_format.HEAD + chat_format.HEAD_END + chat_format.TAIL)} AS chars FROM spans)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY n)) AS turns_sha256,
+  CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY n) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(times * chars) AS BIGINT) AS formatted_chars
+FROM counted GROUP BY conv_id
+"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op7_chat": OP7_SQL}
