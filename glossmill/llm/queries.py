@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glossmill.llm import bpe_automaton, chat_format, hyperlang, media, mixing, repetition, runtime
+from glossmill.llm import bpe_automaton, chat_format, hyperlang, media, mixing, neardup, repetition, runtime
 
 
 #: The vocabulary file; public_tokenizers gives its place.
@@ -52,6 +52,10 @@ def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.digests(chat_format.windows(turns.unionByName(control)))
 
 
+def op8_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(runtime.read(spark, sf_dir, "documents"), size=3, percent=85)
+
+
 def op9_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     runtime.prepare(spark)
     return repetition.repetition_rules(runtime.read(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
@@ -70,7 +74,7 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mixing, op5_media, op6_bpe, op7_chat, op9_repetition, op10_language)}
+    return {f.__name__: f for f in (op1_mixing, op5_media, op6_bpe, op7_chat, op8_neardup, op9_repetition, op10_language)}
 
 
 OP7_SQL = rf"""
@@ -103,5 +107,23 @@ FROM counted GROUP BY conv_id
 """
 
 
+OP8_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS a
+  FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(a) = 0 THEN [] WHEN len(a) < 3 THEN [array_to_string(a, ' ')]
+    ELSE list_transform(range(1, len(a) - 1), lambda i: a[i] || ' ' || a[i + 1] || ' ' || a[i + 2]) END) AS x FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+pairs AS (SELECT p.doc_id AS a, q.doc_id AS b, count(*) AS i FROM s p JOIN s q ON p.x = q.x AND p.doc_id < q.doc_id GROUP BY 1, 2),
+links AS (SELECT a, b FROM pairs JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * i >= 85 * (na.n + nb.n - i)),
+edges AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (SELECT doc_id AS a, doc_id AS c FROM documents UNION SELECT e.b, r.c FROM reach r JOIN edges e ON e.a = r.a),
+least_id AS (SELECT a, min(c) AS c FROM reach GROUP BY a)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, l.c AS component_id, d.doc_id = l.c AS kept
+FROM documents d LEFT JOIN n USING (doc_id) JOIN least_id l ON l.a = d.doc_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op7_chat": OP7_SQL}
+    return {"op7_chat": OP7_SQL, "op8_neardup": OP8_SQL}
