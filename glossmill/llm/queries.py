@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glossmill.llm import bpe_automaton, chat_format, hyperlang, media, mixing, neardup, repetition, runtime
+from glossmill.llm import bpe_automaton, chat_format, hyperlang, media, mixing, neardup, repetition, runtime, suffix_lm
 
 
 #: The vocabulary file; public_tokenizers gives its place.
@@ -28,6 +28,16 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "source", "copies")
 
 
+#: Learned from rows with another remainder of crc32(doc_id) modulo 10.
+LM_FOLDS = 10
+
+
+def op4_suffix_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = suffix_lm.score(runtime.read(spark, sf_dir, "documents"), runtime.crc_mod("doc_id", LM_FOLDS) != 0)
+    held = (~F.col("learned") & F.col("doc_id").isNotNull()).alias("held_out")
+    return got.select("doc_id", held, "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     runtime.prepare(spark)
     docs = runtime.read(spark, sf_dir, "documents").select("doc_id", "text")
@@ -74,7 +84,7 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mixing, op5_media, op6_bpe, op7_chat, op8_neardup, op9_repetition, op10_language)}
+    return {f.__name__: f for f in (op1_mixing, op4_suffix_lm, op5_media, op6_bpe, op7_chat, op8_neardup, op9_repetition, op10_language)}
 
 
 OP7_SQL = rf"""
