@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glossmill.llm import bpe_automaton, chat_format, hyperlang, media, mixing, neardup, repetition, runtime, suffix_lm
+from glossmill.llm import bpe_automaton, chat_format, hyperlang, media, mixing, neardup, quality, repetition, runtime, suffix_lm, toxicity
 
 
 #: The vocabulary file; public_tokenizers gives its place.
@@ -28,6 +28,27 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "source", "copies")
 
 
+#: Labels are learned from rows whose crc32(doc_id) modulo 5 is not 0.
+LABEL_FOLDS = 5
+TOXIC_FROM, QUALITY_FROM = 0.5, 0.3
+
+
+def _classified(spark: SparkSession, sf_dir: str, method, label: str, least: float) -> DataFrame:
+    docs = runtime.read(spark, sf_dir, "documents").select("doc_id", "text")
+    fold = runtime.crc_mod("doc_id", LABEL_FOLDS)
+    model = method.learn(docs, runtime.read(spark, sf_dir, "labels").select("doc_id", label), fold != 0, label)
+    scored = method.predict(docs.select("doc_id", F.coalesce(fold == 0, F.lit(False)).alias("held_out"), "text"), model).drop("text")
+    return scored.withColumn("predicted", (F.col("score") >= least).cast("int"))
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _classified(spark, sf_dir, toxicity, "toxic", TOXIC_FROM)
+
+
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _classified(spark, sf_dir, quality, "quality", QUALITY_FROM)
+
+
 #: Learned from rows with another remainder of crc32(doc_id) modulo 10.
 LM_FOLDS = 10
 
@@ -84,7 +105,7 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mixing, op4_suffix_lm, op5_media, op6_bpe, op7_chat, op8_neardup, op9_repetition, op10_language)}
+    return {f.__name__: f for f in (op1_mixing, op2_toxicity, op3_quality, op4_suffix_lm, op5_media, op6_bpe, op7_chat, op8_neardup, op9_repetition, op10_language)}
 
 
 OP7_SQL = rf"""
