@@ -8,9 +8,9 @@
    pass if their signatures agree well enough, then if their full sets do.
 4. Components by alternating large-star and small-star until nothing changes.
 5. Second round: members of a bucket that are in different components still are compared with each other, those
-   already compared with the centre aside. In a bucket with many of them, two are compared only if they share one of
-   their rarest shingles (prefix filter: sets over the threshold must share one), so a passage common to a whole
-   bucket makes no pairs. Then components again.
+   already compared with the centre aside. From buckets with many of them, two are compared only if they share one of
+   their rarest shingles with enough left behind it (prefix and position filter: sets over the threshold must), so a
+   passage common to a whole bucket makes no pairs, nor do copies with edits of their own. Then components again.
 
 No bucket, group or candidate list is capped. Centres with many members are verified in salted groups.
 
@@ -191,13 +191,22 @@ def _pairs(rows: DataFrame, *key: str) -> DataFrame:
 
 
 def _rare_pairs(rows: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """As _pairs by bucket, of those only that share one of their rarest shingles in the bucket."""
-    sets = _sets(docs, rows.select(F.col("rep").alias("id")).distinct(), size)
-    each = rows.join(sets, rows["rep"] == sets["id"]).select("key", "rep", "comp", F.size("set").alias("n"), F.explode("set").alias("x"))
-    common = each.groupBy("key", "x").agg(F.count("*").alias("f"))
-    rank = F.row_number().over(Window.partitionBy("key", "rep").orderBy("f", "x"))
-    ranked = each.join(common, ["key", "x"]).withColumn("r", rank)
-    return _pairs(ranked.where((F.col("f") > 1) & (F.col("r") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1)).select("key", "x", "rep", "comp"), "key", "x")
+    """Pairs (a, b) of rows (rep, comp), components different, that can reach the similarity, by prefix and position.
+
+    Shingles are ordered by how many of the rows hold them. Two sets over the threshold have their first common
+    shingle within both prefixes, and enough shingles left from there on.
+    """
+    sets = _sets(docs, rows.select(F.col("rep").alias("id")), size)
+    each = rows.join(sets, rows["rep"] == sets["id"]).select("rep", "comp", F.size("set").alias("n"), F.explode("set").alias("x"))
+    common = each.groupBy("x").agg(F.count("*").alias("f"))
+    rank = F.row_number().over(Window.partitionBy("rep").orderBy("f", "x"))
+    ranked = each.join(common, "x").withColumn("r", rank)
+    prefix = checkpoint(ranked.where((F.col("f") > 1) & (F.col("r") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1)).select("x", "rep", "comp", "n", "r"))
+    other = prefix.select(*(F.col(c).alias(f"_{c}") for c in prefix.columns))
+    overlap = F.least(F.col("n") - F.col("r"), F.col("_n") - F.col("_r")) + 1
+    enough = (100 + percent) * overlap >= percent * (F.col("n") + F.col("_n"))
+    same = (F.col("x") == F.col("_x")) & (F.col("rep") < F.col("_rep")) & (F.col("comp") != F.col("_comp")) & enough
+    return prefix.join(other, same).select(F.col("rep").alias("a"), F.col("_rep").alias("b"))
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
@@ -224,7 +233,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     mixed = rest.groupBy("key").agg(F.count("*").alias("c"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key", "c")
     rest = checkpoint(rest.join(mixed, "key"))
     few = _pairs(rest.where(F.col("c") <= DIRECT), "key")
-    many = checkpoint(rest.where(F.col("c") > DIRECT))
+    many = checkpoint(rest.where(F.col("c") > DIRECT).select("rep", "comp").distinct())
     if many.head(1):
         few = few.unionByName(_rare_pairs(many, docs, size, percent))
     again = checkpoint(_agreeing(few.distinct(), reps, percent / 100 - SLACK))
