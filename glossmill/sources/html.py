@@ -1,0 +1,154 @@
+"""Units of HTML pages, by the tolerant standard parser.
+
+A block whose content is inline only is one unit, its inline elements as <gN>…</gN> and its atoms as <xN/>; other
+texts, some attributes, the title and the description and keywords are units of their own.
+"""
+
+from __future__ import annotations
+
+import html
+from html.parser import HTMLParser
+
+import pandas as pd
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+UNITS = "array<struct<kind:string,tag:string,text:string>>"
+# Element names by what they mean for translation.
+SKIP = set("script style code pre kbd samp var textarea svg math noscript template head".split())
+INLINE = set("a abbr b bdi bdo cite data dfn em i mark q s small span strong sub sup time u font label del ins".split())
+ATOMIC = set("br img wbr input code kbd samp var svg math button select".split())
+VOID = set("area base br col embed hr img input link meta source track wbr".split())
+#: Elements that a new one of the same group closes.
+CLOSED_BY = {"p": set("p div ul ol table h1 h2 h3 h4 h5 h6 section article blockquote pre form".split()), "li": {"li"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "tr": {"tr"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"option"}}
+ATTRIBUTES = ("alt", "title", "placeholder", "aria-label")
+
+
+class Element:
+    __slots__ = ("attributes", "children", "tag")
+
+    def __init__(self, tag: str, attributes: dict[str, str]):
+        self.tag, self.attributes, self.children = tag, attributes, []
+
+    @property
+    def kept(self) -> bool:
+        """Not to be translated."""
+        return self.tag in SKIP or self.attributes.get("translate") == "no" or "notranslate" in self.attributes.get("class", "").split()
+
+
+class _Builder(HTMLParser):
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.root = Element("", {})
+        self.open = [self.root]
+
+    def handle_starttag(self, tag, attrs):
+        while self.open[-1].tag in CLOSED_BY and tag in CLOSED_BY[self.open[-1].tag]:
+            self.open.pop()
+        e = Element(tag, {k: v or "" for k, v in attrs})
+        self.open[-1].children.append(e)
+        if tag not in VOID:
+            self.open.append(e)
+
+    def handle_startendtag(self, tag, attrs):
+        self.handle_starttag(tag, attrs)
+        if tag not in VOID:
+            self.open.pop()
+
+    def handle_endtag(self, tag):
+        for i in range(len(self.open) - 1, 0, -1):
+            if self.open[i].tag == tag:
+                del self.open[i:]
+                return
+
+    def handle_data(self, data):
+        self.open[-1].children.append(data)
+
+
+def _letters(s: str) -> bool:
+    return any(c.isalpha() for c in s)
+
+
+def _inline_only(e: Element) -> bool:
+    return all(isinstance(c, str) or c.tag in ATOMIC or (c.tag in INLINE and (c.kept or _inline_only(c))) for c in e.children)
+
+
+def _all_text(e: Element) -> str:
+    return "".join(c if isinstance(c, str) else _all_text(c) for c in e.children)
+
+
+def _tagged(e: Element) -> str:
+    number = {"g": 0, "x": 0}
+
+    def inner(node: Element) -> str:
+        out = []
+        for c in node.children:
+            if isinstance(c, str):
+                out.append(html.escape(c, quote=False))
+                continue
+            mark = "x" if c.tag in ATOMIC or c.kept else "g"
+            number[mark] += 1
+            name = f"{mark}{number[mark]}"
+            out.append(f"<{name}/>" if mark == "x" else f"<{name}>{inner(c)}</{name}>")
+        return "".join(out)
+
+    text = inner(e)
+    return text if any(number.values()) else html.unescape(text)
+
+
+def page_units(source: str) -> list[dict]:
+    parser = _Builder()
+    parser.feed(source)
+    parser.close()
+    out: list[dict] = []
+
+    def unit(kind: str, tag: str, text: str) -> None:
+        if _letters(text):
+            out.append({"kind": kind, "tag": tag, "text": text.strip()})
+
+    def attributes(e: Element) -> None:
+        for a in ATTRIBUTES:
+            unit(a, e.tag, e.attributes.get(a, ""))
+
+    def nested(e: Element):
+        for c in e.children:
+            if isinstance(c, Element):
+                yield c
+                yield from nested(c)
+
+    def visit(e: Element) -> None:
+        if e.kept:
+            return
+        attributes(e)
+        if e.tag and e.tag not in INLINE and _inline_only(e):
+            if _letters(_all_text(e)):
+                unit("block", e.tag, _tagged(e))
+            for c in nested(e):
+                attributes(c)
+            return
+        for c in e.children:
+            if isinstance(c, str):
+                unit("text", e.tag, c)
+            else:
+                visit(c)
+
+    every = list(nested(parser.root))
+    visit(next((e for e in every if e.tag == "body"), parser.root))
+    for e in every:
+        if e.tag == "title":
+            unit("title", "title", _all_text(e))
+            break
+    for e in every:
+        if e.tag == "meta" and e.attributes.get("name", "").lower() in ("description", "keywords"):
+            unit("meta", "meta", e.attributes.get("content", ""))
+    return out
+
+
+def html_units(c: Column) -> Column:
+    """Array of (kind, tag, text) of a page; empty for null."""
+
+    @F.pandas_udf(UNITS)
+    def units(pages: pd.Series) -> pd.Series:
+        return pages.map(lambda p: [] if p is None else page_units(p))
+
+    return units(c)
