@@ -10,6 +10,8 @@ from functools import lru_cache
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from glossmill.functions.text import let
+
 HANGUL = r"[ᄀ-ᇿ㄰-㆏가-힯]"
 KANA = r"[぀-ヿㇰ-ㇿｦ-ﾝ]"
 HAN = r"[㐀-䶿一-鿿豈-﫿]"
@@ -40,8 +42,10 @@ def count(c: Column, pattern: str) -> Column:
 def script_counts(c: Column) -> Column:
     """struct<ko, ja, han, latin, traditional, simplified>"""
     traditional, simplified = chinese_classes()
-    names = {"ko": HANGUL, "ja": KANA, "han": HAN, "latin": LATIN, "traditional": traditional, "simplified": simplified}
-    return F.struct(*(count(c, p).alias(n) for n, p in names.items()))
+    # a hash lookup for each character; a class of thousands in a regular expression would be tried one by one
+    among = lambda chars: (F.length(c) - F.length(F.translate(c, chars[1:-1], ""))).cast("long")
+    names = {"ko": HANGUL, "ja": KANA, "han": HAN, "latin": LATIN}
+    return F.struct(*(count(c, p).alias(n) for n, p in names.items()), among(traditional).alias("traditional"), among(simplified).alias("simplified"))
 
 
 def chinese_code(counts: Column) -> Column:
@@ -57,7 +61,10 @@ def assigned_han(counts: Column) -> Column:
 
 def language_counts(counts: Column) -> Column:
     """Array of (code, n), n > 0, by n descending and code."""
-    to = assigned_han(counts)
+    return let(assigned_han(counts), lambda to: _language_counts(counts, to))
+
+
+def _language_counts(counts: Column, to: Column) -> Column:
     han = lambda code: F.when((to == code) & (counts["han"] > 0), counts["han"]).otherwise(0)
     pairs = {"en": counts["latin"], "ja": counts["ja"] + han("ja"), "ko": counts["ko"] + han("ko"), "zh-Hans": han("zh-Hans"), "zh-Hant": han("zh-Hant")}
     every = F.array(*(F.struct((-n).alias("o"), F.lit(code).alias("code"), n.cast("long").alias("n")) for code, n in pairs.items()))
@@ -66,18 +73,21 @@ def language_counts(counts: Column) -> Column:
 
 def detect(c: Column) -> Column:
     """struct<mode, primary_language, languages: array<struct<code, char_count, share>>>"""
-    return F.element_at(F.transform(F.array(language_counts(script_counts(c))), _summary), 1)
+    return let(script_counts(c), lambda counts: let(language_counts(counts), _shares))
 
 
-def _summary(pairs: Column) -> Column:
+def _shares(pairs: Column) -> Column:
     total = F.aggregate(pairs, F.lit(0).cast("long"), lambda a, x: a + x["n"])
-    languages = F.transform(pairs, lambda x: F.struct(x["code"].alias("code"), x["n"].alias("char_count"), F.bround(x["n"] / total, 4).alias("share")))
+    return let(total, lambda t: let(F.transform(pairs, lambda x: F.struct(x["code"].alias("code"), x["n"].alias("char_count"), F.bround(x["n"] / t, 4).alias("share"))), _summary))
+
+
+def _summary(languages: Column) -> Column:
+    """Mixed with two significant languages, or traces of a second one; single by its share."""
     significant = F.size(F.filter(languages, lambda x: (x["char_count"] >= 4) & (x["share"] >= 0.18))) >= 2
     traces = F.exists(F.slice(languages, 2, 10), lambda x: x["char_count"] >= 2)
     top = F.get(languages, F.lit(0))
-    single = (top["share"] >= 0.55) | (F.size(languages) == 1)
-    mode = F.when(F.size(pairs) == 0, "unknown").when(significant | traces, "mixed").when(single, "single").otherwise("unknown")
-    return F.struct(mode.alias("mode"), F.when(mode == "single", top["code"]).alias("primary_language"), languages.alias("languages"))
+    mode = F.when(F.size(languages) == 0, "unknown").when(significant | traces, "mixed").when((top["share"] >= 0.55) | (F.size(languages) == 1), "single").otherwise("unknown")
+    return let(mode, lambda m: F.struct(m.alias("mode"), F.when(m == "single", top["code"]).alias("primary_language"), languages.alias("languages")))
 
 
 def given_language(c: Column, code: Column) -> Column:

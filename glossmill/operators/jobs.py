@@ -53,8 +53,8 @@ def throttled(events: DataFrame, job: str, ts: str, seconds: int = 2) -> DataFra
 
 def debounced(events: DataFrame, key: str, ts: str, delay: float) -> DataFrame:
     """Events with none of the same key after them within the delay: the last of each burst."""
-    nxt = F.lead(ts).over(Window.partitionBy(key).orderBy(ts))
-    return events.where(nxt.isNull() | (nxt - F.col(ts) >= delay))
+    marked = events.withColumn("_next", F.lead(ts).over(Window.partitionBy(key).orderBy(ts)))
+    return marked.where(F.col("_next").isNull() | (F.col("_next") - F.col(ts) >= delay)).drop("_next")
 
 
 def history(edits: DataFrame, key: str, ts: str, text: str, target: str, gap_s: int = 300, keep: int = 50) -> DataFrame:

@@ -342,10 +342,10 @@ def _samples(spark: SparkSession, sf_dir: str) -> DataFrame:
 WITH g AS (SELECT user_id, CAST(floor(epoch(ts)) AS BIGINT) AS s, count(*) AS c FROM events GROUP BY ALL),
 t AS (SELECT user_id, s, sum(c) OVER (PARTITION BY user_id ORDER BY s) AS done, sum(c) OVER (PARTITION BY user_id) AS total FROM g),
 f AS (SELECT *, first_value(s) OVER w AS s0, first_value(done) OVER w AS d0 FROM t WINDOW w AS (PARTITION BY user_id ORDER BY s RANGE BETWEEN 86400 PRECEDING AND CURRENT ROW))
-SELECT user_id, s, CASE WHEN s - s0 >= 1 AND done > d0 THEN CAST(floor((total - done) * (s - s0) / (done - d0) + 0.5) AS BIGINT) END AS eta_seconds FROM f
+SELECT user_id, s, CASE WHEN s - s0 >= 1 AND done > d0 THEN CAST(floor((total - done) * (s - s0) / (done - d0) + 0.5) AS BIGINT) END AS eta_seconds FROM f WHERE s - s0 >= 1 AND done > d0
 """)
 def eta(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jobs.eta(_samples(spark, sf_dir), "user_id", "s", "done", "total", window_s=86400).select("user_id", "s", "eta_seconds")
+    return jobs.eta(_samples(spark, sf_dir), "user_id", "s", "done", "total", window_s=86400).where("eta_seconds IS NOT NULL").select("user_id", "s", "eta_seconds")
 
 
 @query(rf"""

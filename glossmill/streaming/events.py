@@ -52,7 +52,8 @@ def hourly_totals(spark: SparkSession, path: str) -> DataFrame:
     """hourly() over a Parquet table read as a stream, to its end."""
     folder, _, file = path.rpartition("/")
     source = spark.readStream.schema(spark.read.parquet(path).schema).option("pathGlobFilter", file).parquet(folder)
-    return _finished(hourly(source), "complete")
+    hours = _finished(hourly(source.withColumn("ts", F.col("ts").cast("timestamp"))), "complete")
+    return hours.withColumn("hour", F.col("hour").cast("timestamp_ntz"))
 
 
 def progress(samples: DataFrame, job: str, done: Column, total: Column) -> DataFrame:
