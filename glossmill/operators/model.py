@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from glossmill.functions import text as X
+from glossmill.operators.lineage import cut
 
 #: Columns of a unit and its context to an output column.
 Engine = Callable[[Column, str], Column]
@@ -84,7 +85,7 @@ def retry_in_halves(items: DataFrame, run: Callable[[DataFrame], DataFrame], rou
     """items (batch from 1, id, text) through run, which gives (batch, id, output) and leaves out what it fails on; failed batches are halved, and single items that still fail keep their text."""
     done, todo = None, items
     for _ in range(rounds):
-        result = aligned_results(todo, run(todo))
+        result = cut(aligned_results(todo, run(todo)))
         good = result.where(~F.col("failed")).select("id", "output")
         done = good if done is None else done.unionByName(good)
         todo = split_failed(result.where("failed").select("batch", "id", "text"))
