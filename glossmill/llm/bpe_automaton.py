@@ -118,10 +118,12 @@ class Automaton:
         self.label_of = np.zeros(size, np.int64)  # the label whose arcs it was given
         self.twice = np.zeros(size, bool)
         cut: dict[int, int] = {}  # arcs that a merge took away: state and label -> merge
+        idle: set[int] = set()
         for k, (a, b, c) in enumerate(merges):
-            self._gadget(cut, k, a, b, c)
+            if a in idle or b in idle or not self._gadget(cut, k, a, b, c):
+                idle.add(c)
         self._hash(cut)
-        self._trie(labels, size)
+        self._trie({t: label for t, label in labels.items() if t not in idle}, size)
         texts = [labels.get(i, b"") for i in range(size)]
         for text, token in special.items():
             texts[token] = text.encode()
@@ -129,11 +131,28 @@ class Automaton:
         self.offset = np.concatenate(([0], np.cumsum(self.length)))
         self.flat = np.frombuffer(b"".join(texts), np.uint8)
 
-    def _gadget(self, cut: dict[int, int], k: int, a: int, b: int, c: int) -> None:
+    def _gadget(self, cut: dict[int, int], k: int, a: int, b: int, c: int) -> bool:
+        """False if the automaton has no arc from a on b by now: the merge never applies, its token never occurs."""
         if self.born[c] >= 0:
             raise ValueError(f"two merges make token {c}")
+        if not self._arc(cut, a, b):
+            return False
         cut[a << 20 | b] = k
         self.born[c], self.state_of[c], self.label_of[c], self.twice[c] = k, b, a, a == b
+        return True
+
+    def _arc(self, cut: dict[int, int], state: int, label: int) -> bool:
+        """As arcs, for one arc and the merges so far."""
+        limit = NEVER
+        while cut.get(state << 20 | label, NEVER) >= limit:
+            s, t = int(self.born[state]), int(self.born[label])
+            if s < 0 and t < 0:
+                return True
+            if s < t and self.twice[label] and self.label_of[label] == state:
+                return False
+            limit = max(s, t)
+            state, label = int(self.state_of[state]) if s >= t else state, int(self.label_of[label]) if t >= s else label
+        return False
 
     def _hash(self, cut: dict[int, int]) -> None:
         """Arcs taken away, in a table with open addresses."""

@@ -60,10 +60,8 @@ def bundles(texts: list[bytes]) -> np.ndarray:
     """A row for each text; zero if it has no letter."""
     table = letter_classes()
     lowered = [t.decode("utf-8", "replace").lower() for t in texts]
-    data = table[np.frombuffer((" ".join(lowered) + "  ").encode("utf-32-le", "surrogatepass"), np.uint32)]
-    ends = np.cumsum([len(t) + 1 for t in lowered])
-    doc = np.repeat(np.arange(len(texts)), np.diff(np.concatenate(([0], ends))))
-    data = data[: len(doc)]
+    data = table[np.frombuffer((" " + " ".join(lowered) + " ").encode("utf-32-le", "surrogatepass"), np.uint32)]
+    doc = np.concatenate(([0], np.repeat(np.arange(len(texts)), [len(t) + 1 for t in lowered])))
     keep = np.ones(len(data), bool)
     keep[1:] = (data[1:] != 0) | (data[:-1] != 0)  # one break between words
     data, doc = data[keep].astype(np.int64), doc[keep]

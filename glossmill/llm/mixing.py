@@ -4,14 +4,15 @@ Every source has a target in words, so each of its documents is due the same fra
 become whole by dependent rounding that keeps the source's words:
 
 * A large document (over 1/1024 of its source; fewer than 1024 a source) is paired with the bundle of all that are
-  smaller: it is rounded at random, and the words gained or lost pass to the bundle's rate, largest first.
+  smaller: it is rounded at random, and the words gained or lost pass to the bundle's rate, largest first. Where
+  the bundle could not make up for one of the two roundings (at the end of a small source), the other is taken.
 * All others are paired with each other: words pass from one to the other, in the direction that chance picks, until
   one has a whole number of copies; the other goes on to the next. Buckets of about FAN documents are folded first;
   what is left of each bucket, one document at most, is folded again with its neighbours', level by level, up to one
   bucket a source. A hot source is as many buckets as it needs; no task holds more than a bucket.
 
-So a source's words differ from its target by less than one small document, expected copies are exact, and chance
-is a hash of the documents: reruns agree.
+So a source's words differ from its target by about one small document, expected copies are exact but for the end of
+small sources, and chance is a hash of the documents: reruns agree.
 
 Edge cases: a null text has size 0 and is never taken; documents without words are returned with 0 taken; a null
 source is a source, the last; repeated rows are rows of their own; an empty table gives an empty result.
@@ -79,7 +80,14 @@ def _large(rows: DataFrame, most: int) -> DataFrame:
         def take(copies: Column) -> Column:
             return F.struct((s["goal"] - copies * x["size"]).alias("goal"), (s["mass"] - x["size"]).alias("mass"), F.concat(s["done"], F.array(_doc(x, copies))).alias("done"))
 
-        return let(rate(s), lambda r: let(F.floor(r) + F.when(_chance(x["h"], F.lit("large")) < r - F.floor(r), 1).otherwise(0), take))
+        def rounded(r: Column) -> Column:
+            low = F.floor(r)
+            # words that the rest could not give back, or take
+            over, under = F.greatest(F.lit(0.0), (low + 1) * x["size"] - s["goal"]), F.greatest(F.lit(0.0), s["goal"] - low * x["size"] - most * (s["mass"] - x["size"]))
+            up = F.when(over > under, 0).when(under > over, 1).when(_chance(x["h"], F.lit("large")) < r - low, 1).otherwise(0)
+            return F.least(low + up, F.lit(most))
+
+        return let(rate(s), lambda r: let(rounded(r), take))
 
     state = F.struct(F.col("target").alias("goal"), F.col("source_size").alias("mass"), empty.alias("done"))
     folded = groups.withColumn("s", F.aggregate("all", state, step))
