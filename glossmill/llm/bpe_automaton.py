@@ -32,7 +32,7 @@ from pyspark.sql import types as T
 from glossmill.llm import runtime
 
 #: Words whose tokens a task keeps; past it the table starts anew.
-CACHE_WORDS = 600_000
+CACHE_WORDS = 150_000
 #: Longer words are not kept.
 CACHE_LENGTH = 64
 

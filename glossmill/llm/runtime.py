@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Bytes of text that one vectorised step holds; a longer document is a step of its own.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 #: Documents in one vectorised step.
 SLICE_ROWS = 512
 
