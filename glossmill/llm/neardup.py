@@ -8,9 +8,8 @@
    pass if their signatures agree well enough, then if their full sets do.
 4. Components by alternating large-star and small-star until nothing changes.
 5. Second round: members of a bucket that are in different components still are compared with each other, those
-   already compared with the centre aside. From buckets with many of them, two are compared only if they share one of
-   their rarest shingles with enough left behind it (prefix and position filter: sets over the threshold must), so a
-   passage common to a whole bucket makes no pairs, nor do copies with edits of their own. Then components again.
+   already compared with the centre aside. Buckets with many of them form crowds, which are compared in blocks: a task
+   holds the sets of two blocks and gives only links that join components, never pairs. Then components again.
 
 No bucket, group or candidate list is capped. Centres with many members are verified in salted groups.
 
@@ -25,7 +24,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -37,7 +36,9 @@ ROWS, MISS = 4, 1e-9
 #: Signatures that agree by this much less than the threshold are not verified: seven standard deviations or more.
 SLACK = 0.27
 #: Pairs of a centre that one task verifies at a time; members of a bucket up to which all are paired directly.
-GROUP, DIRECT = 128, 64
+GROUP, DIRECT = 128, 32
+#: Members of a crowd in a block.
+BLOCK = 512
 #: Ids that are broadcast to pick their texts; with more, texts are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 
@@ -190,23 +191,62 @@ def _pairs(rows: DataFrame, *key: str) -> DataFrame:
     return rows.join(other, same & (F.col("rep") < F.col("_rep")) & (F.col("comp") != F.col("_comp"))).select(F.col("rep").alias("a"), F.col("_rep").alias("b"))
 
 
-def _rare_pairs(rows: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """Pairs (a, b) of rows (rep, comp), components different, that can reach the similarity, by prefix and position.
+def _crowd_links(rows: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """Links (a, b) between components in crowds; rows: key, rep, comp of the crowded buckets.
 
-    Shingles are ordered by how many of the rows hold them. Two sets over the threshold have their first common
-    shingle within both prefixes, and enough shingles left from there on.
+    Buckets that share members are one crowd. A crowd is cut into blocks of BLOCK members, and each pair of blocks
+    is a task, which compares the full sets of members of different components and gives only links that join
+    components which it has not joined yet: as many rows as members at most, and no pairs.
     """
-    sets = _sets(docs, rows.select(F.col("rep").alias("id")), size)
-    each = rows.join(sets, rows["rep"] == sets["id"]).select("rep", "comp", F.size("set").alias("n"), F.explode("set").alias("x"))
-    common = each.groupBy("x").agg(F.count("*").alias("f"))
-    rank = F.row_number().over(Window.partitionBy("rep").orderBy("f", "x"))
-    ranked = each.join(common, "x").withColumn("r", rank)
-    prefix = checkpoint(ranked.where((F.col("f") > 1) & (F.col("r") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1)).select("x", "rep", "comp", "n", "r"))
-    other = prefix.select(*(F.col(c).alias(f"_{c}") for c in prefix.columns))
-    overlap = F.least(F.col("n") - F.col("r"), F.col("_n") - F.col("_r")) + 1
-    enough = (100 + percent) * overlap >= percent * (F.col("n") + F.col("_n"))
-    same = (F.col("x") == F.col("_x")) & (F.col("rep") < F.col("_rep")) & (F.col("comp") != F.col("_comp")) & enough
-    return prefix.join(other, same).select(F.col("rep").alias("a"), F.col("_rep").alias("b"))
+    hub = rows.groupBy("key").agg(F.min("rep").alias("hub"))
+    crowd = components(rows.join(hub, "key").select(F.col("rep").alias("a"), F.col("hub").alias("b")).distinct())
+    members = rows.select("rep", "comp").distinct().join(crowd, F.col("rep") == F.col("node")).select("rep", "comp", F.col("component").alias("crowd"))
+    number = members.groupBy("crowd").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+    own = F.pmod(F.xxhash64("rep", F.lit("block")), F.col("blocks"))
+    placed = members.join(number.where("lo <> hi"), "crowd").withColumn("own", own)
+    placed = placed.select("crowd", "rep", "comp", "own", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("with"))
+    placed = checkpoint(placed.select("crowd", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"), "rep", "comp", "own"))
+    sets = _sets(docs, placed.select(F.col("rep").alias("id")).distinct(), size)
+
+    def run(table: pa.Table) -> pa.Table:
+        rep, comp, own = (table.column(c).to_numpy() for c in ("rep", "comp", "own"))
+        held = table.column("set").combine_chunks()
+        flat, ends = held.flatten().to_numpy().view(np.uint64), np.diff(held.offsets.to_numpy())
+        first = np.cumsum(ends) - ends
+        crossing = table.column("i")[0].as_py() != table.column("j")[0].as_py()
+        root = {c: c for c in comp.tolist()}
+
+        def find(c: int) -> int:
+            while root[c] != c:
+                root[c] = root[root[c]]
+                c = root[c]
+            return c
+
+        # texts of small components are held against all others; each pair once is enough
+        total = dict(zip(*np.unique(comp, return_counts=True), strict=True))
+        weight = np.array([total[c] for c in comp])
+        links = []
+        for q in np.lexsort((rep, weight)).tolist():
+            other = (comp != comp[q]) & ((weight > weight[q]) | ((weight == weight[q]) & (rep > rep[q])))
+            if crossing:
+                other &= own != own[q]
+            n = int(ends[q])
+            other &= (100 * np.minimum(ends, n) >= percent * np.maximum(ends, n)) & (ends > 0)
+            near = np.flatnonzero(other)
+            if not len(near) or not n:
+                continue
+            mine = flat[first[q] : first[q] + n]
+            pick = np.concatenate([flat[first[k] : first[k] + ends[k]] for k in near])
+            at = np.minimum(np.searchsorted(mine, pick), n - 1)
+            both = np.add.reduceat((mine[at] == pick).astype(np.int64), np.cumsum(ends[near]) - ends[near])
+            for k in near[100 * both >= percent * (n + ends[near] - both)].tolist():
+                x, y = find(int(comp[q])), find(int(comp[k]))
+                if x != y:
+                    root[max(x, y)] = min(x, y)
+                    links.append(sorted((int(rep[q]), int(rep[k]))))
+        return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([y for _, y in links], pa.int64())})
+
+    return placed.join(sets, placed["rep"] == sets["id"]).groupBy("crowd", "i", "j").applyInArrow(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
@@ -233,14 +273,14 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     mixed = rest.groupBy("key").agg(F.count("*").alias("c"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key", "c")
     rest = checkpoint(rest.join(mixed, "key"))
     few = _pairs(rest.where(F.col("c") <= DIRECT), "key")
-    many = checkpoint(rest.where(F.col("c") > DIRECT).select("rep", "comp").distinct())
-    if many.head(1):
-        few = few.unionByName(_rare_pairs(many, docs, size, percent))
+    many = checkpoint(rest.where(F.col("c") > DIRECT).select("key", "rep", "comp"))
     again = checkpoint(_agreeing(few.distinct(), reps, percent / 100 - SLACK))
-    if again.head(1):
-        more = checkpoint(_linked(again, docs, size, percent))
-        if more.head(1):
-            label = components(links.unionByName(more))
+    more = _linked(again, docs, size, percent)
+    if many.head(1):
+        more = more.unionByName(_crowd_links(many, docs, size, percent))
+    more = checkpoint(more)
+    if more.head(1):
+        label = components(links.unionByName(more))
 
     names = reps.select("s1", "s2", "n", "rep").join(label, F.col("rep") == F.col("node"), "left").select("s1", "s2", "n", F.coalesce("component", "rep").alias("c"))
     linked = real.select("doc_id", "s1", "s2", "n").join(names, ["s1", "s2", "n"]).select("doc_id", "n", "c")

@@ -322,8 +322,9 @@ def brute_components(rows, size, percent):
 
 @pytest.mark.parametrize("direct,group", [(64, 128), (1, 4)])
 def test_near_duplicates(spark, monkeypatch, direct, group):
-    """direct=1: all buckets go by the prefix filter; group=4: centres are salted."""
+    """direct=1: all buckets are crowds, in blocks of a few; group=4: centres are salted."""
     monkeypatch.setattr(neardup, "DIRECT", direct)
+    monkeypatch.setattr(neardup, "BLOCK", 5 if direct == 1 else 512)
     monkeypatch.setattr(neardup, "GROUP", group)
     rng = random.Random(5)
     words = [f"w{i}" for i in range(400)]
