@@ -86,15 +86,15 @@ def _count(texts: DataFrame) -> DataFrame:
         for batch in batches:
             got = runtime.text_bytes(batch.column(0))
             number += len(got)
-            for a, b in runtime.pieces(got, 4 << 20, 4096):
+            for a, b in runtime.pieces(got):
                 w = textvec.split_words(got[a:b], lower=True)
                 symbols, place, _ = normal(w)
                 held[WORD].append(textvec.counts_of(np.sort(textvec.Prefix(w.buf).hash(w.start, w.end))))
                 held[WINDOW].append(textvec.counts_of(np.sort(windows(symbols, place))))
                 for kind, parts in held.items():
-                    if sum(len(k) for k, _ in parts) > 3_000_000:
+                    if sum(len(k) for k, _ in parts) > 2_000_000:
                         merged = _merged(parts)
-                        if len(merged[0]) > 1_500_000:
+                        if len(merged[0]) > 1_000_000:
                             yield out(kind, *merged)
                             parts.clear()
                         else:
@@ -209,7 +209,7 @@ def score(docs: DataFrame, train) -> DataFrame:
     def words_of(table: pa.Table) -> pa.Table:
         parts = []
         texts = runtime.text_bytes(table.column("text").combine_chunks())
-        for a, b in runtime.pieces(texts, 4 << 20, 4096):
+        for a, b in runtime.pieces(texts):
             w = textvec.split_words(texts[a:b], lower=True)
             parts.append(textvec.counts_of(np.sort(textvec.Prefix(w.buf).hash(w.start, w.end))))
         keys = _merged(parts)[0]
