@@ -6,7 +6,7 @@ its word vector is the sum of the index vectors of the units beside it, scaled t
 and the spread of its shapes' vectors, the mean of its words' vectors, the shares of its kinds of characters and of
 repeated tokens. A two-layer network in numpy is fitted on these; its temperature is set on rows kept aside.
 
-All is learned from a bounded sample of labelled rows (labelled.SAMPLE of each class).
+All is learned from a bounded sample of labelled rows (SAMPLE of each class).
 
 Edge cases: null and empty texts are the zero document; with labels of one class or none the score is that class's
 share (0.5 with none); repeated rows get equal scores; columns of other names stay.
@@ -22,8 +22,10 @@ from pyspark.sql import types as T
 from glossmill.llm import labelled, runtime, textvec
 from glossmill.llm.textvec import U
 
-BUCKETS, DIM, NONZERO, WINDOW = 2048, 48, 6, 2
+BUCKETS, DIM, NONZERO, WINDOW = 1024, 48, 6, 2
 HIDDEN, STEPS, RATE, DECAY = 24, 400, 0.02, 1e-4
+#: Rows of each class that it is fitted on, at most.
+SAMPLE = 2000
 #: Every so manieth sampled row is kept aside for the temperature.
 ASIDE = 5
 
@@ -160,7 +162,7 @@ def fit(shape: list[np.ndarray], word: list[np.ndarray], plain: np.ndarray, y: n
 def learn(docs: DataFrame, labels: DataFrame, folds: Column, label: str = "quality") -> Network:
     """From a bounded sample of labelled rows; their units come to the driver."""
     runtime.prepare(docs.sparkSession)
-    rows, share = labelled.sample(docs, labels, label, folds)
+    rows, share = labelled.sample(docs, labels, label, folds, SAMPLE)
 
     def extract(batches):
         for batch in batches:

@@ -80,18 +80,19 @@ def fit(held: list[np.ndarray], y: np.ndarray, share: float) -> Machine:
     if not rows or ones in (0, rows):
         p = min(max(share, 1e-4), 1 - 1e-4) if rows else 0.5
         return Machine(none, float(np.log(p / (1 - p))), np.zeros(1), np.zeros((1, FACTORS)))
-    flat, row = np.concatenate(held), np.repeat(np.arange(rows), [len(h) for h in held])
+    flat, row = np.concatenate(held).astype(np.int32), np.repeat(np.arange(rows, dtype=np.int32), [len(h) for h in held])
     size = 1 << BITS
-    k1, k0 = np.bincount(flat, y[row], size), np.bincount(flat, 1 - y[row], size)
+    k1, k0 = np.bincount(flat[y[row] == 1], minlength=size), np.bincount(flat[y[row] == 0], minlength=size)
+    often = np.flatnonzero(k1 + k0 >= LEAST_ROWS)
+    k1, k0 = k1[often], k0[often]
 
     def part(k: np.ndarray, n: float, p: np.ndarray) -> np.ndarray:
         return k * np.log(np.maximum(k, 1e-9) / np.maximum(n * p, 1e-9)) + (n - k) * np.log(np.maximum(n - k, 1e-9) / np.maximum(n * (1 - p), 1e-9))
 
     p = (k1 + k0) / rows
     g = 2 * (part(k1, ones, p) + part(k0, rows - ones, p))
-    g[(k1 + k0 < LEAST_ROWS) | (g < LEAST_G)] = -1
-    chosen = np.argsort(-g, kind="stable")[:FEATURES]
-    chosen = chosen[g[chosen] > 0]
+    best = np.argsort(-g, kind="stable")[:FEATURES]
+    chosen = often[best[g[best] >= LEAST_G]]
     if not len(chosen):
         p = min(max(share, 1e-4), 1 - 1e-4)
         return Machine(none, float(np.log(p / (1 - p))), np.zeros(1), np.zeros((1, FACTORS)))
@@ -136,7 +137,7 @@ def learn(docs: DataFrame, labels: DataFrame, folds: Column, label: str = "toxic
 
     got = rows.mapInArrow(extract, "terms binary, y int").toArrow()
     pairs = sorted(zip(got.column("terms").to_pylist(), got.column("y").to_pylist(), strict=True))
-    return fit([np.frombuffer(t, np.uint32).astype(np.int64) for t, _ in pairs], np.array([y for _, y in pairs], np.float32), share)
+    return fit([np.frombuffer(t, np.uint32) for t, _ in pairs], np.array([y for _, y in pairs], np.float32), share)
 
 
 def predict(docs: DataFrame, machine: Machine, text: str = "text", name: str = "score") -> DataFrame:
