@@ -128,8 +128,8 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], text: str = "t
             if not names:
                 known[:] = False
             cosines = _unit(vectors) @ prototypes.T if names else np.zeros((len(texts), 1))
-            best = cosines.argmax(1)
-            score = np.where(known, np.clip(cosines[np.arange(len(texts)), best], 0, 1), 0.0)
+            best = np.round(cosines, 6).argmax(1)
+            score = np.where(known, np.round(np.clip(cosines[np.arange(len(texts)), best], 0, 1), 6), 0.0)
             return [pa.array([names[b] if k else UNKNOWN for b, k in zip(best, known, strict=True)], pa.string()), pa.array(score)]
 
         return step
