@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import zipfile
@@ -47,6 +48,13 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def sweep(spark: SparkSession) -> None:
+    """Lets Spark delete shuffle files and checkpoints that nothing refers to any more; else they stay until the
+    driver happens to collect its garbage, and an iteration's leftovers pile up on the disks."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def crc_mod(col: str | Column, m: int) -> Column:
     """crc32 of the id as text, modulo m; null for a null id."""
     return F.crc32((F.col(col) if isinstance(col, str) else col).cast("string").cast("binary")) % m
