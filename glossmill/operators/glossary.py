@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from glossmill.functions import terms
 from glossmill.functions.languages import normalize_code
-from glossmill.functions.text import has_tags, keep_outer_whitespace, strip
+from glossmill.functions.text import has_tags, keep_outer_whitespace, squash, strip
 
 #: A glossary up to so many rows is broadcast and tried against each text; a larger one goes by a word first.
 BROADCAST_TERMS = 1000
@@ -21,18 +21,27 @@ def directed(entries: DataFrame, target_lang: str, source_lang: str = "auto") ->
     return entries.where(ok)
 
 
+def _fold(c: Column) -> Column:
+    """One form for all that a pattern without case takes as equal: characters by themselves, whatever stands around them."""
+    return F.upper(F.translate(c, "İKÅΩẞϴ", "ikåωßθ"))
+
+
+def _words(c: Column) -> Column:
+    """The runs between the borders that terms.pattern knows, folded."""
+    return F.transform(F.regexp_extract_all(c, F.lit(f"{terms.WORD}+"), F.lit(0)), _fold)
+
+
 def _anchor(term: Column) -> Column:
-    """The longest run of letters and digits of a term: any text that holds the term holds it as the start of a word."""
-    words = F.regexp_extract_all(F.lower(term), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
-    return F.get(F.array_sort(F.transform(words, lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w")))), F.lit(0))["w"]
+    """The longest word of a term by the pattern's own borders. Any text that holds the term has it among its words, with s or es at the end at most; null if the term has none."""
+    return F.get(F.array_sort(F.transform(_words(term), lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w")))), F.lit(0))["w"]
 
 
 def match_terms(texts: DataFrame, entries: DataFrame, key: str, text: str, number: int | None = None) -> DataFrame:
     """key, pos, source, target of each entry (pos, source, target) that occurs in each text, with its rank: longest first.
 
     number: the entries' count, if known. Small glossaries are broadcast. Larger ones are joined first on the words
-    of the texts (and their stems without a plural or possessive ending); only terms in scripts without spaces,
-    which no word leads to, are tried against each text.
+    of the texts (and their stems without a plural ending); only terms that stand within words, or have no Latin
+    letter or digit that a word could lead to, are tried against each text.
     """
     entries = entries.select("pos", "source", "target", terms.pattern(F.col("source")).alias("rx"), terms.mode(F.col("source")).alias("mode")).where("rx IS NOT NULL")
     number = entries.count() if number is None else number
@@ -42,12 +51,13 @@ def match_terms(texts: DataFrame, entries: DataFrame, key: str, text: str, numbe
         found = hits(rows.crossJoin(F.broadcast(entries)))
     else:
         anchored = entries.withColumn("_a", _anchor(F.col("source")))
-        words = F.array_distinct(F.regexp_extract_all(F.lower("_t"), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)))
-        words = F.array_distinct(F.concat(words, F.transform(words, lambda w: F.regexp_replace(w, r"(?:es|s)$", "")), F.transform(words, lambda w: F.regexp_replace(w, r"s$", ""))))
+        words = _words(F.col("_t"))
+        words = F.array_distinct(F.concat(words, F.transform(words, lambda w: F.regexp_replace(w, r"(?:ES|S)$", "")), F.transform(words, lambda w: F.regexp_replace(w, r"S$", ""))))
         by_word = anchored.where("mode <> 'substring' AND _a IS NOT NULL")
         pairs = rows.select(key, F.explode(words).alias("_a")).join(by_word, "_a").drop("_a").join(rows, key)
-        others = anchored.where("mode = 'substring' OR _a IS NULL").drop("_a")
-        found = hits(pairs).unionByName(hits(rows.join(others, F.contains(F.lower("_t"), F.lower("source"))))).distinct()
+        others = anchored.where("mode = 'substring' OR _a IS NULL").drop("_a").withColumn("_s", _fold(squash(F.col("source"))))
+        folded = rows.withColumn("_f", _fold(squash(F.col("_t"))))
+        found = hits(pairs).unionByName(hits(folded.join(others, F.contains("_f", "_s")))).distinct()
     return found.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy(F.length("source").desc(), "pos")))
 
 
