@@ -81,17 +81,20 @@ def split_failed(failed: DataFrame) -> DataFrame:
     return failed.withColumn("half", half).withColumn("batch", F.col("batch") * 2 + F.col("half")).drop("half")
 
 
-def retry_in_halves(items: DataFrame, run: Callable[[DataFrame], DataFrame], rounds: int = 6) -> DataFrame:
-    """items (batch from 1, id, text) through run, which gives (batch, id, output) and leaves out what it fails on; failed batches are halved, and single items that still fail keep their text."""
+def retry_in_halves(items: DataFrame, run: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """items (batch from 1, id, text) through run, which gives (batch, id, output) and leaves out what it fails on; failed batches are halved down to single items, and single items that fail keep their text."""
+    from pyspark.sql import Window
+
     done, todo = None, items
-    for _ in range(rounds):
-        result = cut(aligned_results(todo, run(todo)))
-        good = result.where(~F.col("failed")).select("id", "output")
-        done = good if done is None else done.unionByName(good)
-        todo = split_failed(result.where("failed").select("batch", "id", "text"))
-        if not todo.head(1):
+    while True:
+        alone = F.count("*").over(Window.partitionBy("batch")) == 1
+        result = cut(aligned_results(todo, run(todo)).withColumn("alone", alone))
+        settled = result.where("alone OR NOT failed").select("id", F.when(F.col("failed"), F.col("text")).otherwise(F.col("output")).alias("output"))
+        done = settled if done is None else done.unionByName(settled)
+        failed = result.where("failed AND NOT alone").select("batch", "id", "text")
+        if not failed.head(1):
             return done
-    return done.unionByName(todo.select("id", F.col("text").alias("output")))
+        todo = split_failed(failed)
 
 
 def better_tags(source: Column, output: Column, retry: Column) -> Column:

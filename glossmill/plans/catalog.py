@@ -232,7 +232,7 @@ def retry_in_halves(spark: SparkSession, sf_dir: str) -> DataFrame:
         bad = items.groupBy("batch").agg(F.max(F.length("text") % 7 == 0).alias("bad"))
         return items.join(bad, "batch").where("NOT bad").select("batch", "id", F.concat(F.lit("[it] "), "text").alias("output"))
 
-    return model.retry_in_halves(turns, run, rounds=10)
+    return model.retry_in_halves(turns, run)
 
 
 # ---- packing and context

@@ -1,6 +1,6 @@
 from pyspark.sql import functions as F
 
-from glossmill.operators import glossary
+from glossmill.operators import glossary, model
 
 
 def test_large_glossary_equals_small(spark):
@@ -12,3 +12,14 @@ def test_large_glossary_equals_small(spark):
     small, large = ({tuple(r) for r in glossary.match_terms(texts, entries, "k", "text", number=n).collect()} for n in (1, glossary.BROADCAST_TERMS + 1))
     assert {(0, 0), (1, 1), (1, 2), (7, 6), (8, 6), (9, 8)} <= {(r[0], r[1]) for r in small}
     assert large == small
+
+
+def test_halving_ends_at_single_items(spark):
+    items = spark.createDataFrame([(1 + i // 70, i, f"t{i}") for i in range(75)], "batch long, id long, text string")
+
+    def run(rows):
+        bad = rows.where("id = 33 OR id = 74").select("batch")
+        return rows.join(bad, "batch", "left_anti").select("batch", "id", F.concat(F.lit("ok "), "text").alias("output"))
+
+    got = sorted(map(tuple, model.retry_in_halves(items, run).collect()))
+    assert got == [(i, f"t{i}" if i in (33, 74) else f"ok t{i}") for i in range(75)]
