@@ -2,16 +2,13 @@
 
 A text's words (lower-cased A-Z), one space between, and an end symbol are the sequence. All training texts are
 counted: words, and windows of DEPTH + 1 symbols, from which counts of all shorter contexts follow. A context is
-retained if it is frequent enough (LEAST of all symbols) and its next-symbol distribution diverges enough from that
-of its suffix (Kullback-Leibler divergence times its share, GAIN nats a symbol at least); suffixes of retained
-contexts are kept with it. Shares of one length sum to 1, so the tree has fewer than DEPTH / LEAST contexts whatever
-the corpus, and may be broadcast. Distributions are smoothed towards the suffix's, the root's towards a uniform one.
+retained on its own evidence, however large the corpus: it occurs LEAST times, and its next-symbol distribution
+diverges from that of its suffix (Kullback-Leibler divergence times its count) by half the logarithm of all symbols
+for each symbol that follows it; suffixes of retained contexts are kept with it. So the tree grows with the corpus.
+Distributions are smoothed towards the suffix's, the root's towards a uniform one.
 
-For scoring the tree becomes an automaton whose state is the longest known suffix; texts are cut into lanes that
-run through it in step, each after DEPTH symbols of lead, which fix its state.
-
-Word counts are not broadcast: texts are dealt into blocks, each block's distinct words are joined with the counts,
-and the counts go back to the block.
+Neither the tree nor the word counts are broadcast: texts are dealt into blocks, each block's distinct words and
+contexts are joined with the counts, and the counts go back to the block.
 
 Edge cases: null and empty texts are the end symbol alone; words and symbols not seen in training have their
 smoothed probability; rows with a null id are scored and not learned from; repeated rows are rows of their own;
@@ -31,12 +28,13 @@ from glossmill.llm import runtime, textvec
 from glossmill.llm.runtime import checkpoint
 from glossmill.llm.textvec import U
 
-DEPTH, LEAST, GAIN, PULL = 5, 1e-5, 3e-7, 4.0
+DEPTH, LEAST, PULL = 6, 8, 4.0
 SYMBOLS, END = 257, 10
 ADD = 0.1
-#: Bytes of text in a block; lanes of the scoring automaton.
-BLOCK_BYTES, LANES = 8 << 20, 4096
-WORD, WINDOW, TEXT = 0, 1, 2
+#: Bytes of text in a block.
+BLOCK_BYTES = 8 << 20
+#: Kinds of counts; a context's kind is CONTEXT and its length.
+WORD, WINDOW, TEXT, CONTEXT = 0, 1, 2, 3
 
 
 def normal(w: textvec.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -108,85 +106,65 @@ def _count(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n"))
 
 
-def _retained(counts: DataFrame, total: int) -> pa.Table:
-    """len, ctx, sym, n of all retained contexts; the root is of length 0."""
+def _contexts(counts: DataFrame, total: int) -> DataFrame:
+    """len, ctx, t, nodes of all retained contexts: total, and the count of each next symbol (times 256, plus the symbol). The root is of length 0."""
     size = F.explode(F.sequence(F.lit(0), F.lit(DEPTH))).alias("len")
     bits = lambda n: F.expr(f"shiftleft(1L, cast(8 * ({n}) AS int)) - 1")
     each = counts.where(F.col("kind") == WINDOW).select("key", "n", size)
     each = each.groupBy("len", F.col("key").bitwiseAND(bits("len + 1")).alias("k")).agg(F.sum("n").alias("n"))
-    each = each.select("len", F.shiftright("k", 8).alias("ctx"), F.col("k").bitwiseAND(F.lit(255)).alias("sym"), "n")
-    each = checkpoint(each)
-    totals = each.groupBy("len", "ctx").agg(F.sum("n").alias("t")).where(F.col("t") >= LEAST * total)
-    frequent = each.join(totals, ["len", "ctx"])
-    below = frequent.select((F.col("len") + 1).alias("len"), F.col("ctx").alias("up"), "sym", F.col("n").alias("pn"), F.col("t").alias("pt"))
-    child = frequent.where("len > 0").withColumn("up", F.col("ctx").bitwiseAND(bits("len - 1")))
+    node = F.shiftleft("n", 8).bitwiseOR(F.col("k").bitwiseAND(F.lit(255)))
+    frequent = each.groupBy("len", F.shiftright("k", 8).alias("ctx")).agg(F.sum("n").alias("t"), F.collect_list(node).alias("nodes"))
+    frequent = checkpoint(frequent.where((F.col("t") >= LEAST) | (F.col("len") == 0)))
+    runtime.sweep(counts.sparkSession)
+    flat = frequent.select("len", "ctx", "t", F.size("nodes").alias("v"), F.explode("nodes").alias("node"))
+    flat = flat.select("len", "ctx", "t", "v", F.col("node").bitwiseAND(F.lit(255)).alias("sym"), F.shiftright("node", 8).alias("n"))
+    below = flat.select((F.col("len") + 1).alias("len"), F.col("ctx").alias("up"), "sym", F.col("n").alias("pn"), F.col("t").alias("pt"))
+    child = flat.where("len > 0").withColumn("up", F.col("ctx").bitwiseAND(bits("len - 1")))
     gain = F.sum(F.col("n") * F.log((F.col("n") / F.col("t")) / (F.col("pn") / F.col("pt"))))
-    good = child.join(below, ["len", "up", "sym"]).groupBy("len", "ctx").agg(gain.alias("gain")).where(F.col("gain") >= GAIN * total)
+    good = child.join(below, ["len", "up", "sym"]).groupBy("len", "ctx").agg(gain.alias("gain"), F.max("v").alias("v")).where(F.col("gain") >= F.col("v") * (math.log(max(total, 1)) / 2))
     closed = good.select(F.explode(F.sequence(F.lit(0), F.col("len"))).alias("l"), "ctx").select(F.col("l").alias("len"), F.col("ctx").bitwiseAND(bits("l")).alias("ctx"))
-    closed = closed.unionByName(each.where("len = 0").select("len", "ctx")).distinct()
-    return each.join(closed, ["len", "ctx"]).select("len", "ctx", "sym", "n").toArrow()
+    closed = closed.unionByName(frequent.where("len = 0").select("len", "ctx")).distinct()
+    return frequent.join(closed, ["len", "ctx"])
+
+
+def _retained(counts: DataFrame, total: int) -> pa.Table:
+    """len, ctx, sym, n of a small corpus's contexts."""
+    flat = _contexts(counts, total).select("len", "ctx", F.explode("nodes").alias("node"))
+    return flat.select("len", "ctx", F.col("node").bitwiseAND(F.lit(255)).alias("sym"), F.shiftright("node", 8).alias("n")).toArrow()
 
 
 class Tree:
-    """The automaton of a suffix tree: next state and log10 probability by state and symbol class."""
+    """A suffix tree, or the part of it that a block's texts meet: by length, the retained contexts with their totals and next symbols."""
 
     def __init__(self, length: np.ndarray, ctx: np.ndarray, sym: np.ndarray, n: np.ndarray):
-        used = np.unique(sym)
-        self.classes = np.full(256, len(used), np.int32)  # the last class is of symbols not seen
-        self.classes[used] = np.arange(len(used))
-        width = len(used) + 1
-        counts: dict[tuple[int, int], np.ndarray] = {(0, 0): np.zeros(width)}
-        for a, b, c, d in zip(length.tolist(), ctx.tolist(), self.classes[sym].tolist(), n.tolist(), strict=True):
-            if (a, b) not in counts:
-                counts[a, b] = np.zeros(width)
-            counts[a, b][c] += d
-        states = {(a - j, b >> 8 * j) for a, b in counts for j in range(a + 1)}
-        order = sorted(states)
-        number = {s: i for i, s in enumerate(order)}
-        self.next = np.zeros((len(order), width), np.int32)
-        chance = np.zeros((len(order), width))
-        children: dict[int, list[tuple[int, int]]] = {}
-        for (a, b), i in number.items():
-            if a:
-                children.setdefault(number[a - 1, b >> 8], []).append((int(self.classes[b & 255]), i))
-        for (a, b), i in number.items():
-            if a:
-                up = number[a - 1, b & (1 << 8 * (a - 1)) - 1]
-                self.next[i] = self.next[up]
-                chance[i] = chance[up]
-            else:
-                chance[i] = 1 / SYMBOLS
-            if (a, b) in counts:
-                c = counts[a, b]
-                chance[i] = (c + PULL * chance[i]) / (c.sum() + PULL)
-            for x, j in children.get(i, ()):
-                if x < width - 1:
-                    self.next[i, x] = j
-        self.log = np.log10(chance).astype(np.float32)
-        self.width = width
+        self.levels = []
+        for k in range(DEPTH + 1):
+            at = np.flatnonzero(length == k)
+            key = (ctx[at].astype(np.uint64) << U(8)) | sym[at].astype(np.uint64)
+            order = np.argsort(key)
+            key, c = key[order], n[at][order].astype(np.float64)
+            up = key >> U(8)
+            first = np.concatenate(([0], np.flatnonzero(up[1:] != up[:-1]) + 1)) if len(up) else np.zeros(0, np.int64)
+            self.levels.append((key, c, up[first], np.add.reduceat(c, first) if len(up) else c))
+
+    def window_logs(self, keys: np.ndarray) -> np.ndarray:
+        """log10 probability of each window's last symbol after the others."""
+        keys, back = np.unique(keys, return_inverse=True)
+        chance = np.full(len(keys), 1 / SYMBOLS)
+        for k, (key, c, contexts, totals) in enumerate(self.levels):
+            if not len(key):
+                continue
+            low = keys & U((1 << 8 * (k + 1)) - 1)
+            at = np.minimum(np.searchsorted(contexts, low >> U(8)), len(contexts) - 1)
+            known = np.flatnonzero(contexts[at] == low >> U(8))
+            low, at = low[known], at[known]
+            j = np.minimum(np.searchsorted(key, low), len(key) - 1)
+            chance[known] = (np.where(key[j] == low, c[j], 0) + PULL * chance[known]) / (totals[at] + PULL)
+        return np.log10(chance)[back]
 
     def logs(self, symbols: np.ndarray) -> np.ndarray:
-        """log10 probability of each symbol; those of the first DEPTH are not to be used."""
-        n = len(symbols)
-        if n < 4 * LANES:
-            lanes = max(1, n // 64)
-        else:
-            lanes = LANES
-        step = -(-n // lanes)
-        classes = np.full(lanes * step + DEPTH, self.classes[END], np.int32)
-        classes[DEPTH : DEPTH + n] = self.classes[symbols]
-        grid = np.lib.stride_tricks.as_strided(classes, (lanes, step + DEPTH), (classes.strides[0] * step, classes.strides[0]))
-        grid = np.ascontiguousarray(grid.T)
-        out = np.empty((step, lanes), np.float32)
-        follow, log = self.next.ravel(), self.log.ravel()
-        state = np.zeros(lanes, np.int32)
-        for i in range(DEPTH):
-            state = follow[state * self.width + grid[i]]
-        for i in range(step):
-            at = state * self.width + grid[DEPTH + i]
-            out[i] = log[at]
-            state = follow[at]
-        return out.T.ravel()[:n]
+        """log10 probability of each symbol; those of the first DEPTH are 0 and not to be used."""
+        return np.concatenate((np.zeros(DEPTH), self.window_logs(windows(symbols, np.arange(DEPTH, len(symbols))))))
 
 
 def score(docs: DataFrame, train) -> DataFrame:
@@ -195,37 +173,54 @@ def score(docs: DataFrame, train) -> DataFrame:
     runtime.prepare(spark)
     docs = docs.select("doc_id", "text", F.coalesce(train, F.lit(False)).alias("learned"))
     counts = checkpoint(_count(docs.where("learned").select("text")))
+    runtime.sweep(spark)
     of = {r["kind"]: r for r in counts.groupBy("kind").agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect()}
     texts = of[TEXT]["n"] if TEXT in of else 0
     total = (of[WORD]["n"] if WORD in of else 0) + texts
     distinct = (of[WORD]["v"] if WORD in of else 0) + (1 if texts else 0)
-    kept = _retained(counts, of[WINDOW]["n"] if WINDOW in of else 0)
-    tree = spark.sparkContext.broadcast(Tree(*(kept.column(c).to_numpy() for c in ("len", "ctx", "sym", "n"))))
+    total_symbols = of[WINDOW]["n"] if WINDOW in of else 0
+    tree = checkpoint(_contexts(counts, total_symbols).select((F.col("len") + CONTEXT).cast("int").alias("kind"), F.col("ctx").alias("key"), F.col("t").alias("n"), "nodes"))
+    runtime.sweep(spark)
+    learned = counts.where(F.col("kind") == WORD).select("kind", "key", "n", F.lit(None).cast("array<bigint>").alias("nodes")).unionByName(tree)
 
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, math.ceil(size / BLOCK_BYTES))
     dealt = docs.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)))
 
-    def words_of(table: pa.Table) -> pa.Table:
-        parts = []
+    def met_in(table: pa.Table) -> pa.Table:
+        words, seen = [], []
         texts = runtime.text_bytes(table.column("text").combine_chunks())
         for a, b in runtime.pieces(texts):
             w = textvec.split_words(texts[a:b], lower=True)
-            parts.append(textvec.counts_of(np.sort(textvec.Prefix(w.buf).hash(w.start, w.end))))
-        keys = _merged(parts)[0]
-        return pa.table({"block": pa.array(np.full(len(keys), table.column("block")[0].as_py(), np.int64)), "key": pa.array(keys.view(np.int64))})
-
-    met = dealt.groupBy("block").applyInArrow(words_of, "block long, key long")
-    known = met.join(counts.where(F.col("kind") == WORD).select("key", "n"), "key").select("block", "key", "n")
+            words.append(textvec.counts_of(np.sort(textvec.Prefix(w.buf).hash(w.start, w.end))))
+            symbols, place, _ = normal(w)
+            seen.append(np.unique(windows(symbols, place) >> U(8)))
+        ctx = np.unique(np.concatenate(seen))
+        kinds, keys = [WORD], [_merged(words)[0]]
+        for k in range(DEPTH, -1, -1):
+            ctx = np.unique(ctx & U((1 << 8 * k) - 1))
+            kinds.append(CONTEXT + k)
+            keys.append(ctx)
+        kind = np.repeat(np.array(kinds, np.int32), [len(x) for x in keys])
+        return pa.table({"block": pa.array(np.full(len(kind), table.column("block")[0].as_py(), np.int64)), "kind": pa.array(kind), "key": pa.array(np.concatenate(keys).view(np.int64))})
+
+    met = dealt.groupBy("block").applyInArrow(met_in, "block long, kind int, key long")
+    known = met.join(learned, ["kind", "key"]).select("block", "kind", "key", "n", "nodes")
     rest = math.log10(total + ADD * (distinct + 1)) if total else 0.0
 
     def base(c: np.ndarray) -> np.ndarray:
         return np.log10((c + ADD) / 1.0) - (rest if total else math.log10(ADD))
 
     def run(table: pa.Table, found: pa.Table) -> pa.Table:
-        keys = found.column("key").to_numpy().view(np.uint64)
+        kind, keys, numbers = (found.column(c).to_numpy() for c in ("kind", "key", "n"))
+        nodes = found.column("nodes").combine_chunks()
+        of_context = np.repeat(np.arange(len(kind)), nodes.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+        node = nodes.flatten().to_numpy()
+        tree = Tree(kind[of_context] - CONTEXT, keys[of_context], node & 255, node >> 8)
+        words = kind == WORD
+        keys, numbers = keys[words].view(np.uint64), numbers[words]
         order = np.argsort(keys)
-        keys, numbers = keys[order], found.column("n").to_numpy()[order]
+        keys, numbers = keys[order], numbers[order]
         keys, numbers = np.append(keys, U(2**64 - 1)), np.append(numbers, 0)
         texts = runtime.text_bytes(table.column("text").combine_chunks())
         out = []
@@ -238,7 +233,7 @@ def score(docs: DataFrame, train) -> DataFrame:
             doc = w.doc
             end = float(base(np.array([texts_seen]))[0])
             symbols, place, first = normal(w)
-            logs = tree.value.logs(symbols)[place].astype(np.float64)
+            logs = tree.window_logs(windows(symbols, place))
             out.append((np.diff(w.first) + 1, np.bincount(doc, c > 0, n).astype(np.int64) + (texts_seen > 0), np.bincount(doc, base(c), n) + end, np.add.reduceat(logs, first)))
         tokens, seen, score0, score1 = (np.concatenate(x) for x in zip(*out, strict=True))
         return pa.table({"doc_id": table.column("doc_id"), "learned": table.column("learned"), "n_tokens": tokens.astype(np.int64), "n_known": seen, "train_tokens": np.full(len(tokens), total), "base_score": score0, "score": score1})

@@ -160,6 +160,16 @@ def test_suffix_automaton_equals_brute_force(spark, sf):
         assert float(tree.logs(symbols)[place].sum()) == pytest.approx(brute_tree_score(rows, text), rel=1e-4)
 
 
+def test_suffix_tree_grows_with_the_corpus(spark):
+    """A context seen 10 times that settles its next symbol is kept, however many other texts there are."""
+    for times in (1, 100):
+        rows = [("qx qx qx qx qx",)] * 2 + [("some other words that say the same",)] * 1000 * times
+        counts = runtime.checkpoint(suffix_lm._count(spark.createDataFrame(rows, "text string")))
+        total = counts.where("kind = 1").agg(F.sum("n")).first()[0]
+        kept = suffix_lm._retained(counts, total)
+        assert (1, ord("q")) in set(zip(kept.column("len").to_pylist(), kept.column("ctx").to_pylist(), strict=True))
+
+
 def test_language_model_odd_rows(spark, odd_docs, no_docs):
     rows = suffix_lm.score(odd_docs, runtime.crc_mod("doc_id", 10) != 0).collect()
     assert len(rows) == 10 and {r["n_tokens"] for r in rows if r["doc_id"] in (1, 2, 3)} == {1}
