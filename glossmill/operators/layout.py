@@ -43,20 +43,26 @@ def headings(lines: DataFrame, page: str = "page") -> DataFrame:
     return lines.crossJoin(F.broadcast(body)).withColumn("level", F.when(F.col("size") >= 1.7 * F.col("_m"), 1).when(F.col("size") >= 1.3 * F.col("_m"), 2).otherwise(0)).drop("_m")
 
 
-def overlapping(spans: DataFrame, boxes: DataFrame, bucket: float = 16.0) -> DataFrame:
-    """Pairs (span, box) whose rectangles meet on a page: an interval join by buckets of height, then refined.
+def overlapping(spans: DataFrame, boxes: DataFrame, tile: float = 16.0) -> DataFrame:
+    """Pairs (span, box) whose rectangles meet on a page: both are cut into square tiles, joined by tile, then refined.
 
-    spans and boxes: id, page, x0, y0, x1, y1. A pair is taken in the first bucket that both are in, so none comes twice.
+    spans and boxes: id, page, x0, y0, x1, y1. A pair is taken in the first tile that both are in, so none comes twice.
+    Tiles in both directions keep the pairs that are tried near the pairs that meet, and spread one crowded page over
+    many keys; a rectangle has as many rows as it touches tiles.
     """
 
     def cut(df: DataFrame, mark: str) -> DataFrame:
-        low, high = F.floor(F.col("y0") / bucket), F.floor(F.col("y1") / bucket)
-        named = df.select(*(F.col(c).alias(f"{mark}_{c}") for c in ("id", "page", "x0", "y0", "x1", "y1")), low.alias(f"{mark}_low"), F.explode(F.sequence(low, high)).alias("bucket"))
-        return named.withColumnRenamed(f"{mark}_page", "page")
+        named = df.select(*(F.col(c).alias(f"{mark}_{c}") for c in ("id", "x0", "y0", "x1", "y1")), F.col("page"))
+        for axis in "xy":
+            low, high = (F.floor(F.col(f"{mark}_{axis}{k}") / tile).cast("int") for k in (0, 1))
+            named = named.select("*", low.alias(f"{mark}_low_{axis}"), F.explode(F.sequence(low, high)).alias(f"tile_{axis}"))
+        return named
 
-    both = cut(spans, "s").join(cut(boxes, "b"), ["page", "bucket"])
+    both = cut(spans, "s").join(cut(boxes, "b").hint("shuffle_hash"), ["page", "tile_x", "tile_y"])
     meet: Column = (F.col("s_x0") < F.col("b_x1")) & (F.col("b_x0") < F.col("s_x1")) & (F.col("s_y0") < F.col("b_y1")) & (F.col("b_y0") < F.col("s_y1"))
-    return both.where(meet & (F.col("bucket") == F.greatest("s_low", "b_low"))).select("page", F.col("s_id").alias("span"), F.col("b_id").alias("box"))
+    for axis in "xy":
+        meet = meet & (F.col(f"tile_{axis}") == F.greatest(f"s_low_{axis}", f"b_low_{axis}"))
+    return both.where(meet).select("page", F.col("s_id").alias("span"), F.col("b_id").alias("box"))
 
 
 def lost_glyphs(before: DataFrame, after: DataFrame) -> DataFrame:
