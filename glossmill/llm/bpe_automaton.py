@@ -1,27 +1,32 @@
 """Byte-pair encoding by a tokenization automaton, and decoding by its arc labels.
 
-The automaton's arcs carry tokens; its paths from the start are the correct token sequences and no others. It
-begins with one state per byte and an arc for every byte, and each merge (a, b) -> c adds a gadget to it:
-the arc from a on b goes; a state for c takes over b's arcs as they are then; every state with an arc on a gets
-one on c. (For a = b the state a gets none on c: three a's are c a, never a c.) States and arc labels that were
-taken over are kept as links to what they were copied from, with the merge's number, so the compiled tables grow
-with the vocabulary alone; an arc is found by following the links back and is then kept in the arc table.
-
-A pre-split word is encoded left to right: each prefix has one correct token sequence, thus one state. From the
-position reached, the trie of labels gives the tokens that may follow, longest first, and the arc table those that
-are allowed; a position from which the word's end can't be reached is left for good, so a word takes linear time.
+1. The token automaton. Its arcs carry tokens; its paths from the start are the correct token sequences and no others.
+   It begins with one state per byte and an arc for every byte, and each merge (a, b) -> c adds a gadget to it: the arc
+   from a on b goes; a state for c takes over b's arcs as they are then; every state with an arc on a gets one on c.
+   (For a = b the state a gets none on c: three a's are c a, never a c.) What was taken over is kept as links to what
+   it was copied from, with the merge's number, so the tables grow with the vocabulary alone.
+2. The byte automaton. Each arc on a token is spelled out into arcs on its bytes (through one trie of all labels), and
+   the result is made deterministic by the subset construction: a state is the set of pairs (token state, node of the
+   trie) that its bytes lead to. Since a text has one correct token sequence, each state has exactly one pair that
+   stands at the end of a token, and that token is the state's output. Transitions, (state, byte) -> state, are
+   compiled when they are first taken and kept in a table; past MOST_STATES states the table starts anew, as all of
+   it can be compiled again.
+
+A pre-split word is encoded by one table look-up a byte. The outputs of the states on its way are the last tokens of
+its beginnings; read from the end, each tells where the one before it ends. There is no search and no way back.
 Words are split at class changes of code points in numpy.
 
 Edge cases: null and empty texts have no tokens; a word of any length is encoded whole, in linear time; strings of
-special tokens in a text become those tokens unless encode_special is false; decoding is exact for valid UTF-8.
+special tokens in a text become those tokens unless encode_special is false; decoding is exact for valid UTF-8;
+columns of the same names as the new ones are replaced.
 """
 
 from __future__ import annotations
 
-import functools
 import hashlib
 import json
 import unicodedata
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,10 +36,12 @@ from pyspark.sql import types as T
 
 from glossmill.llm import runtime
 
-#: Words whose tokens a task keeps; past it the table starts anew.
-CACHE_WORDS = 150_000
+#: States of a compiled byte automaton, and words whose tokens a task keeps; past it the table starts anew.
+MOST_STATES, CACHE_WORDS = 200_000, 200_000
 #: Longer words are not kept.
 CACHE_LENGTH = 64
+#: Code points of a text that are split into words at a time.
+SPLIT = 1 << 18
 
 LETTER, NUMBER, BLANK, OTHER = 1, 2, 3, 0
 #: The contractions of the byte-level pre-tokenizer, and the code points of White_Space.
@@ -43,27 +50,28 @@ WHITE_SPACE = (*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x20
 NEVER = 1 << 30
 
 
-def code_point_classes(path: str | None = None) -> np.ndarray:
+def code_point_classes(tokenizer: str | None = None) -> np.ndarray:
     """Letter, number, white space or other, for each code point, as the pre-tokenizer's pattern has them.
 
-    Code points that Python's own Unicode tables don't have yet are put to the tokenizer file's pre-tokenizer.
+    Code points that Python's own Unicode tables don't have yet are put to the pre-tokenizer of the tokenizer file,
+    whose content is given.
     """
     table = np.zeros(0x110000, np.uint8)
     kinds = {"L": LETTER, "N": NUMBER}
-    fresh = []
+    fresh = np.zeros(0x110000, bool)
     for i in range(0x110000):
         category = unicodedata.category(chr(i))
         table[i] = kinds.get(category[0], OTHER)
         if category == "Cn" and i % 0x10000 < 0xFFFE:
-            fresh.append(i)
+            fresh[i] = True
     table[list(WHITE_SPACE)] = BLANK
-    if path is not None:
+    if tokenizer is not None:
         import regex
         from tokenizers import Tokenizer
 
-        split = Tokenizer.from_file(path).pre_tokenizer
+        split = Tokenizer.from_str(tokenizer).pre_tokenizer
         newer = regex.compile(r"[\p{L}\p{N}]")
-        for i in fresh:
+        for i in np.flatnonzero(fresh).tolist():
             if newer.match(chr(i)):
                 ends = [span[1] for _, span in split.pre_tokenize_str(f"a{chr(i)}1")]
                 table[i] = {(2, 3): LETTER, (1, 3): NUMBER}.get(tuple(ends), OTHER)
@@ -107,140 +115,104 @@ def byte_letters() -> dict[str, int]:
 
 
 class Automaton:
-    """Compiled merges as flat tables, a few MB whatever the corpus; broadcast to the tasks."""
+    """The token automaton and the byte automaton made from it; built where it is used, from the vocabulary."""
 
     def __init__(self, labels: dict[int, bytes], merges: list[tuple[int, int, int]], special: dict[str, int], classes: np.ndarray | None = None):
         size = max([*labels, *special.values()]) + 1
         self.classes = code_point_classes() if classes is None else classes
         self.special = special
-        self.born = np.full(size, -1, np.int64)  # the merge that made the state; bytes were there before
-        self.state_of = np.zeros(size, np.int64)  # the state whose arcs it took over
-        self.label_of = np.zeros(size, np.int64)  # the label whose arcs it was given
-        self.twice = np.zeros(size, bool)
-        cut: dict[int, int] = {}  # arcs that a merge took away: state and label -> merge
+        self.born = [-1] * size  # the merge that made the state; bytes were there before
+        self.state_of = [0] * size  # the state whose arcs it took over
+        self.label_of = [0] * size  # the label whose arcs it was given
+        self.twice = bytearray(size)
+        self.cut: dict[int, int] = {}  # arcs that a merge took away: state and label -> merge
         idle: set[int] = set()
         for k, (a, b, c) in enumerate(merges):
-            if a in idle or b in idle or not self._gadget(cut, k, a, b, c):
+            if a in idle or b in idle or not self._gadget(k, a, b, c):
                 idle.add(c)
-        self._hash(cut)
-        self._trie({t: label for t, label in labels.items() if t not in idle}, size)
+        self.child: dict[int, int] = {}  # the trie: node and byte -> node
+        self.token_at = [-1]
+        for token, label in labels.items():
+            if token not in idle:
+                node = 0
+                for x in label:
+                    node = self.child.setdefault(node << 8 | x, len(self.token_at))
+                    if node == len(self.token_at):
+                        self.token_at.append(-1)
+                self.token_at[node] = token
+        self.inner = bytearray(len(self.token_at))  # nodes with children
+        for key in self.child:
+            self.inner[key >> 8] = 1
         texts = [labels.get(i, b"") for i in range(size)]
         for text, token in special.items():
             texts[token] = text.encode()
         self.length = np.array([len(x) for x in texts], np.int64)
         self.offset = np.concatenate(([0], np.cumsum(self.length)))
         self.flat = np.frombuffer(b"".join(texts), np.uint8)
+        self.sizes = self.length.tolist()
+        self._forget()
 
-    def _gadget(self, cut: dict[int, int], k: int, a: int, b: int, c: int) -> bool:
+    def _gadget(self, k: int, a: int, b: int, c: int) -> bool:
         """False if the automaton has no arc from a on b by now: the merge never applies, its token never occurs."""
         if self.born[c] >= 0:
             raise ValueError(f"two merges make token {c}")
-        if not self._arc(cut, a, b):
+        if not self.arc(a, b):
             return False
-        cut[a << 20 | b] = k
+        self.cut[a << 20 | b] = k
         self.born[c], self.state_of[c], self.label_of[c], self.twice[c] = k, b, a, a == b
         return True
 
-    def _arc(self, cut: dict[int, int], state: int, label: int) -> bool:
-        """As arcs, for one arc and the merges so far."""
-        limit = NEVER
-        while cut.get(state << 20 | label, NEVER) >= limit:
-            s, t = int(self.born[state]), int(self.born[label])
+    def arc(self, state: int, label: int) -> bool:
+        """Whether the token automaton, with the merges so far, has an arc from the state on the label."""
+        limit, born = NEVER, self.born
+        while self.cut.get(state << 20 | label, NEVER) >= limit:
+            s, t = born[state], born[label]
             if s < 0 and t < 0:
                 return True
             if s < t and self.twice[label] and self.label_of[label] == state:
                 return False
-            limit = max(s, t)
-            state, label = int(self.state_of[state]) if s >= t else state, int(self.label_of[label]) if t >= s else label
+            limit = s if s > t else t
+            state, label = self.state_of[state] if s >= t else state, self.label_of[label] if t >= s else label
         return False
 
-    def _hash(self, cut: dict[int, int]) -> None:
-        """Arcs taken away, in a table with open addresses."""
-        bits = max(4, (4 * len(cut)).bit_length())
-        self.shift = np.uint64(64 - bits)
-        self.keys = np.full(1 << bits, -1, np.int64)
-        self.merge = np.full(1 << bits, NEVER, np.int64)
-        for key, k in cut.items():
-            at = (key * 0x9E3779B97F4A7C15 & (1 << 64) - 1) >> 64 - bits
-            while self.keys[at] >= 0:
-                at = (at + 1) & (1 << bits) - 1
-            self.keys[at], self.merge[at] = key, k
-
-    def _cut(self, key: np.ndarray) -> np.ndarray:
-        at = ((key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
-        there = self.keys[at]
-        busy = np.flatnonzero((there != key) & (there >= 0))
-        while len(busy):
-            at[busy] = (at[busy] + 1) & (len(self.keys) - 1)
-            there = self.keys[at[busy]]
-            busy = busy[(there != key[busy]) & (there >= 0)]
-        return np.where(self.keys[at] == key, self.merge[at], NEVER)
-
-    def _trie(self, labels: dict[int, bytes], size: int) -> None:
-        """Trie of the labels as base and check arrays; token at a node, and each token's longest proper beginning."""
-        nodes: list[dict[int, int]] = [{}]
-        tokens = [-1]
-        self.shorter = np.full(size, -1, np.int64)
-        for token, label in sorted(labels.items(), key=lambda x: len(x[1])):
-            node = 0
-            for x in label:
-                if tokens[node] >= 0:
-                    self.shorter[token] = tokens[node]
-                nxt = nodes[node].get(x)
-                if nxt is None:
-                    nxt = nodes[node][x] = len(nodes)
-                    nodes.append({})
-                    tokens.append(-1)
-                node = nxt
-            tokens[node] = token
-        room = 4 * len(nodes) + 1024
-        self.base = np.zeros(len(nodes), np.int32)
-        self.check, self.target = np.full(room, -1, np.int32), np.zeros(room, np.int32)
-        self.token_at = np.array(tokens, np.int32)
-        used = bytearray(room)
-        free = 0
-        hint: dict[int, int] = {}  # where nodes with so many children were last placed
-        for node in sorted(range(len(nodes)), key=lambda v: -len(nodes[v])):  # the crowded ones first, the rest fill the gaps
-            children = sorted(nodes[node])
-            if not children:
-                break
-            if len(children) == 1:
-                while used[free] or free < children[0]:
-                    free += 1
-                b = free - children[0]
-            else:
-                b = hint.get(len(children), 0)
-                while any(used[b + x] for x in children):
-                    b += 1
-                hint[len(children)] = b
-            self.base[node] = b
-            for x in children:
-                used[b + x] = 1
-                self.check[b + x] = node
-                self.target[b + x] = nodes[node][x]
-
-    def arcs(self, state: np.ndarray, label: np.ndarray) -> np.ndarray:
-        """Whether each state has an arc on the label once all merges are in."""
-        out = np.ones(len(state), bool)
-        live = np.arange(len(state))
-        limit = np.full(len(state), NEVER, np.int64)
-        while len(live):
-            gone = self._cut(state << 20 | label) < limit
-            s, t = self.born[state], self.born[label]
-            gone |= (s < t) & self.twice[label] & (self.label_of[label] == state)
-            out[live[gone]] = False
-            go = ~gone & ((s >= 0) | (t >= 0))
-            live, state, label, s, t = live[go], state[go], label[go], s[go], t[go]
-            limit = np.maximum(s, t)
-            state, label = np.where(s >= t, self.state_of[state], state), np.where(t >= s, self.label_of[label], label)
-        return out
+    def _forget(self) -> None:
+        """The byte automaton with its start alone."""
+        self.table: dict[int, int] = {}  # transitions: state and byte -> state
+        self.output = [-1]  # the token that ends at each state
+        self.pairs: list[bytes] = [array("i", (-1, 0)).tobytes()]  # token state and node, one pair after the other; -1 is the start
+        self.number = {self.pairs[0]: 0}
+
+    def _compile(self, state: int, byte: int) -> int:
+        """The transition of a state on a byte, by the subset construction."""
+        pairs = array("i", self.pairs[state])
+        out = array("i")
+        ended = -1
+        for at in range(0, len(pairs), 2):
+            node = self.child.get(pairs[at + 1] << 8 | byte)
+            if node is not None:
+                if self.inner[node]:  # at a leaf nothing goes on
+                    out.append(pairs[at])
+                    out.append(node)
+                token = self.token_at[node]
+                if ended < 0 <= token and (pairs[at] < 0 or self.arc(pairs[at], token)):
+                    ended = token
+        if ended < 0:
+            raise ValueError(f"no token for byte {byte}")
+        out.append(ended)
+        out.append(0)
+        key = out.tobytes()
+        to = self.number.get(key)
+        if to is None:
+            to = self.number[key] = len(self.pairs)
+            self.pairs.append(key)
+            self.output.append(ended)
+        self.table[state << 8 | byte] = to
+        return to
 
     @classmethod
-    @functools.lru_cache(4)
-    def load(cls, path: str) -> Automaton:
-        """From a tokenizer file of byte-level BPE."""
-        with open(path, encoding="utf-8") as f:
-            data = json.load(f)
+    def of_file(cls, content: str) -> Automaton:
+        """From the content of a tokenizer file of byte-level BPE."""
+        data = json.loads(content)
         letters = byte_letters()
         special = {x["content"]: x["id"] for x in data["added_tokens"]}
         vocabulary = data["model"]["vocab"]
@@ -249,154 +221,151 @@ class Automaton:
         for pair in data["model"]["merges"]:
             left, right = pair.split(" ") if isinstance(pair, str) else pair
             merges.append((vocabulary[left], vocabulary[right], vocabulary[left + right]))
-        return cls(labels, merges, special, code_point_classes(path))
-
-    def words(self, words: list[bytes]) -> list[np.ndarray]:
-        """Tokens of each pre-split word, all words in step."""
-        n = len(words)
-        size = np.array([len(w) for w in words], np.int64)
-        first = np.concatenate(([0], np.cumsum(size + 1)))
-        buf = np.frombuffer(b"\0".join(words) + b"\0", np.uint8)
-        stop = first[:-1] + size
-        # the longest label that begins at each position
-        longest = np.full(len(buf), -1, np.int64)
-        at = np.arange(len(buf))
-        last = np.repeat(stop, size + 1)
-        node, depth = np.zeros(len(buf), np.int64), 0
-        while len(at):
-            inside = at + depth < last
-            at, node, last = at[inside], node[inside], last[inside]
-            slot = self.base[node] + buf[at + depth]
-            ok = self.check[slot] == node
-            at, node, last = at[ok], self.target[slot[ok]], last[ok]
-            token = self.token_at[node]
-            full = token >= 0
-            longest[at[full]] = token[full]
-            depth += 1
-        dead = np.zeros(len(buf), bool)  # positions from which no path reaches the end
-        path = np.zeros((n, int(size.max(initial=0)) + 1), np.int32)
-        depth = np.zeros(n, np.int64)
-        at, state = first[:-1].copy(), np.full(n, -1, np.int64)
-        token = longest[at]
-        live = np.flatnonzero(size > 0)
-        while len(live):
-            t = token[live]
-            end = at[live] + np.where(t >= 0, self.length[t], 0)
-            ok = (t >= 0) & ~dead[end]
-            ask = np.flatnonzero(ok & (state[live] >= 0))
-            ok[ask] = self.arcs(state[live[ask]], t[ask])
-            on, to, e = live[ok], t[ok], end[ok]
-            path[on, depth[on]] = to
-            depth[on] += 1
-            at[on], state[on], token[on] = e, to, longest[e]
-            off, t = live[~ok], t[~ok]
-            back = off[t < 0]  # no label left: to the position before, with a shorter label
-            token[off[t >= 0]] = self.shorter[t[t >= 0]]
-            if len(back):
-                dead[at[back]] = True
-                depth[back] -= 1
-                t = path[back, depth[back]].astype(np.int64)
-                at[back] -= self.length[t]
-                state[back] = np.where(depth[back] > 0, path[back, np.maximum(depth[back] - 1, 0)], -1)
-                token[back] = self.shorter[t]
-            live = live[at[live] < stop[live]]
-        return [path[i, :k] for i, k in enumerate(depth.tolist())]
+        return cls(labels, merges, special, code_point_classes(content))
+
+    def word(self, word: bytes) -> list[int]:
+        """Tokens of a pre-split word."""
+        if len(self.pairs) > MOST_STATES:
+            self._forget()
+        table, state, way = self.table, 0, []
+        for byte in word:
+            key = state << 8 | byte
+            state = table[key] if key in table else self._compile(state, byte)
+            way.append(state)
+            if len(self.pairs) > MOST_STATES and len(way) % MOST_STATES == 0:  # one very long word fills the table by itself
+                way[:] = [-1 - self.output[x] if x >= 0 else x for x in way]
+                pairs = self.pairs[state]
+                self._forget()
+                state = self.number[pairs] = 1
+                self.pairs.append(pairs)
+                self.output.append(-1 - way[-1])
+                table = self.table
+        out, at = [], len(way)
+        while at:
+            last = way[at - 1]
+            token = self.output[last] if last >= 0 else -1 - last
+            out.append(token)
+            at -= self.sizes[token]
+        return out[::-1]
+
+    def decode(self, ids: bytes) -> bytes:
+        """Labels of the arcs."""
+        tokens = np.frombuffer(ids, "<u4")
+        size = self.length[tokens]
+        ends = np.cumsum(size)
+        if not len(ends):
+            return b""
+        return self.flat[np.repeat(self.offset[tokens] - ends + size, size) + np.arange(ends[-1])].tobytes()
 
 
 class Encoder:
-    """An automaton with the words that a task has met."""
+    """An automaton with the words that a worker has met."""
 
     def __init__(self, automaton: Automaton, encode_special: bool = True):
         self.automaton = automaton
         self.special = automaton.special if encode_special else {}
         self.known: dict[str, bytes] = {}
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Token ids of each text as little-endian unsigned 32-bit integers."""
-        split = [list(self._parts(t)) for t in texts]
-        met: set[str] = set()
-        for parts in split:
-            for p in parts:
-                met.update(p)
-        fresh = list(met - self.known.keys())
-        if len(self.known) + len(fresh) > CACHE_WORDS:
-            self.known.clear()
-            fresh = list(met)
-        short = [w for w in fresh if len(w) <= CACHE_LENGTH]
-        table = self.known
-        for a in range(0, len(short), 32768):
-            part = short[a : a + 32768]
-            for word, ids in zip(part, self.automaton.words([w.encode() for w in part]), strict=True):
-                table[word] = ids.tobytes()
-        long = [w for w in fresh if len(w) > CACHE_LENGTH]
-        for word in long:
-            table[word] = self.automaton.words([word.encode()])[0].tobytes()
-        for s, token in self.special.items():
-            table[s] = token.to_bytes(4, "little")
-        out = [b"".join([b"".join(map(table.__getitem__, p)) for p in parts]) for parts in split]
-        for word in [*long, *self.special]:
-            del table[word]
-        return out
+    def encode(self, text: str) -> bytes:
+        """Token ids of a text as little-endian unsigned 32-bit integers."""
+        known, out = self.known, []
+        for words in self._parts(text):
+            fresh = set(words).difference(known)
+            if len(known) + len(fresh) > CACHE_WORDS:
+                known.clear()
+                fresh = set(words)
+            for w in fresh:
+                known[w] = array("I", self.automaton.word(w.encode())).tobytes()
+            out += map(known.__getitem__, words)
+            for w in fresh:
+                if len(w) > CACHE_LENGTH:
+                    del known[w]
+        return b"".join(out)
 
     def _parts(self, text: str) -> Iterator[list[str]]:
-        """Words of the text between special tokens, and these."""
-        classes = self.automaton.classes
-        hit = [(at, -len(s), s) for s in self.special if (at := text.find(s)) >= 0]
-        while hit:
-            at, _, s = min(hit)
-            yield split_words(text[:at], classes)
+        """Words of the text between special tokens, SPLIT code points or so at a time; special tokens as numbers."""
+        at = 0
+        while self.special:
+            hits = [(i, -len(s), s) for s in self.special if (i := text.find(s, at)) >= 0]
+            if not hits:
+                break
+            i, _, s = min(hits)
+            yield from self._words(text, at, i)
+            own = self.known.get(s)  # what the string is as a word of plain text, if met
+            self.known[s] = self.special[s].to_bytes(4, "little")
             yield [s]
-            text = text[at + len(s) :]
-            hit = [(at, -len(s), s) for s in self.special if (at := text.find(s)) >= 0]
-        yield split_words(text, classes)
-
-    def decode(self, ids: bytes) -> bytes:
-        """Labels of the arcs."""
-        a = self.automaton
-        tokens = np.frombuffer(ids, "<u4")
-        size = a.length[tokens]
-        ends = np.cumsum(size)
-        if not len(ends):
-            return b""
-        return a.flat[np.repeat(a.offset[tokens] - ends + size, size) + np.arange(ends[-1])].tobytes()
+            self.known.pop(s, None)
+            if own is not None:
+                self.known[s] = own
+            at = i + len(s)
+        yield from self._words(text, at, len(text))
+
+    def _words(self, text: str, at: int, end: int) -> Iterator[list[str]]:
+        """A word's split depends on what follows it alone, so the last words of a step are split again with the next."""
+        step = SPLIT
+        while at < end:
+            words = split_words(text[at : min(at + step, end)], self.automaton.classes)
+            if at + step < end:
+                words = words[:-3]
+                if not words:
+                    step *= 2
+                    continue
+            yield words
+            at += sum(map(len, words))
+
+
+_built: dict[str, Encoder] = {}
+
+
+def encoder_of(content: bytes, encode_special: bool = True) -> Encoder:
+    """The encoder of a tokenizer file's content; a worker process builds each once and keeps its tables."""
+    key = f"{hashlib.sha256(content).hexdigest()} {encode_special}"
+    if key not in _built:
+        other = _built.get(f"{key.split()[0]} {not encode_special}")
+        _built[key] = Encoder(other.automaton if other else Automaton.of_file(content.decode()), encode_special)
+    return _built[key]
+
+
+def _shared(docs: DataFrame, path: str):
+    """The tokenizer file's content for the tasks. The tables are built there, not on the driver."""
+    runtime.prepare(docs.sparkSession)
+    with open(path, "rb") as f:
+        return docs.sparkSession.sparkContext.broadcast(f.read())
 
 
 def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids", encode_special: bool = True) -> DataFrame:
     """docs with a binary column of token ids (little-endian unsigned 32-bit). One pass, no shuffle."""
-    runtime.prepare(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(Automaton.load(path))
+    content = _shared(docs, path)
 
     def make():
-        encoder = Encoder(shared.value, encode_special)
-        return lambda texts: [pa.array(encoder.encode([t.decode("utf-8", "replace") for t in texts]), pa.binary())]
+        encoder = encoder_of(content.value, encode_special)
+        return lambda texts: [pa.array([encoder.encode(t.decode("utf-8", "replace")) for t in texts], pa.binary())]
 
     return runtime.append_columns(docs, text, [T.StructField(ids, T.BinaryType())], make)
 
 
 def decode(docs: DataFrame, path: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
     """docs with the text of a column of token ids; bytes that are no UTF-8 become U+FFFD. One pass, no shuffle."""
-    runtime.prepare(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(Automaton.load(path))
+    content = _shared(docs, path)
 
     def make():
-        encoder = Encoder(shared.value)
-        return lambda rows: [pa.array([encoder.decode(r).decode("utf-8", "replace") for r in rows], pa.string())]
+        automaton = encoder_of(content.value).automaton
+        return lambda rows: [pa.array([automaton.decode(r).decode("utf-8", "replace") for r in rows], pa.string())]
 
     return runtime.append_columns(docs, ids, [T.StructField(text, T.StringType())], make)
 
 
 def digests(docs: DataFrame, path: str, ids: str = "ids") -> DataFrame:
     """docs with n_tokens, ids_sha256 and decoded_sha256 of a column of token ids. One pass, no shuffle."""
-    runtime.prepare(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(Automaton.load(path))
+    content = _shared(docs, path)
 
     def make():
-        encoder = Encoder(shared.value)
+        automaton = encoder_of(content.value).automaton
 
         def step(rows: list[bytes]):
-            decoded = (encoder.decode(r).decode("utf-8", "replace").encode() for r in rows)
+            decoded = (automaton.decode(r).decode("utf-8", "replace").encode() for r in rows)
             sha = lambda x: hashlib.sha256(x).hexdigest()
-            return [pa.array([len(r) // 4 for r in rows], pa.int64()), pa.array([sha(r) for r in rows]), pa.array([sha(d) for d in decoded])]
+            return [pa.array([len(r) // 4 for r in rows], pa.int64()), pa.array([sha(r) for r in rows], pa.string()), pa.array([sha(d) for d in decoded], pa.string())]
 
         return step
 

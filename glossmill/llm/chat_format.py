@@ -2,9 +2,13 @@
 
 A conversation's turns are laid out as `<turn ROLE>TEXT</turn>` lines. Prefix sums of turn tokens cut it into
 turn-aligned spans: turns whose sum before them falls into the same band belong together, a turn over LONGEST
-tokens stands alone, so a window's new turns keep to the budget unless it is such a turn. Each further window opens
-with the conversation's system turn and the last turns of the span before, as far as HISTORY turns and their token
-limit go. The loss mask covers each assistant text once: repeated turns are masked.
+tokens stands alone. Each further window opens with the conversation's system turn, if it has SYSTEM tokens at most,
+and the last turns of the span before, as far as HISTORY turns and their token limit go. A band is as wide as the
+budget less the system turn, the history's limit and one turn, so all of a window, repeated turns included, keeps to
+the budget; only a window whose new turn is over LONGEST can pass it. Tokens are those of the texts, without the marks.
+The loss mask covers each assistant text once: repeated turns are masked.
+
+The windows over a conversation and its digests need it in one task; conversations are many.
 
 Inside roles and texts a backslash, `<` and `>` are written as `\\b`, `\\l` and `\\g`, so control strings can't occur
 there, and reading back is exact.
@@ -18,8 +22,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Tokens of a window's new turns, of a turn that may share a window, and of the repeated turns; turns repeated at most.
-BUDGET, LONGEST, HISTORY_TOKENS, HISTORY = 1024, 256, 256, 2
+#: Tokens of a window, of a turn that may share one, of the repeated turns, of a system turn that is repeated; turns repeated at most.
+BUDGET, LONGEST, HISTORY_TOKENS, SYSTEM, HISTORY = 1024, 256, 256, 256, 2
 HEAD, HEAD_END, TAIL = "<turn ", ">", "</turn>\n"
 ESCAPES = (("\\", "\\b"), ("<", "\\l"), (">", "\\g"))
 
@@ -41,24 +45,27 @@ def turn_tokens(text: Column) -> Column:
     return F.greatest(F.lit(1), F.floor((F.length(text) + 3) / 4)).cast("long")
 
 
-def windows(turns: DataFrame, budget: int = BUDGET, longest: int = LONGEST, history: int = HISTORY, history_tokens: int = HISTORY_TOKENS) -> DataFrame:
+def windows(turns: DataFrame, budget: int = BUDGET, longest: int = LONGEST, history: int = HISTORY, history_tokens: int = HISTORY_TOKENS, system: int = SYSTEM) -> DataFrame:
     """conv_id, window, text, n_repeated, loss (array of start and length in code points) for turns (conv_id, turn, role, text)."""
     order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
     rows = turns.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     rows = rows.withColumn("tokens", turn_tokens(F.col("text")))
     rows = rows.withColumns({"n": F.row_number().over(order), "before": F.sum("tokens").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("tokens")})
-    rows = rows.withColumns({"band": F.floor(F.col("before") / (budget - longest)), "long": F.col("tokens") > longest})
+    if budget <= longest + history_tokens + system:
+        raise ValueError("the budget must hold a system turn, the history and a turn")
+    is_system = (F.col("n") == 1) & (F.col("role") == "system") & (F.col("tokens") <= system)
+    own = F.coalesce(F.max(F.when(is_system, F.col("tokens"))).over(Window.partitionBy("conv_id")), F.lit(0))
+    rows = rows.withColumns({"band": F.floor(F.col("before") / (F.lit(budget - longest - history_tokens) - own)), "long": F.col("tokens") > longest})
     opens = (F.col("band") != F.lag("band").over(order)) | F.col("long") | F.lag("long").over(order)
     rows = rows.withColumn("opens", F.when(F.col("n") > 1, opens.cast("int")).otherwise(0))
     rows = rows.withColumn("window", F.sum("opens").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     span = Window.partitionBy("conv_id", "window")
     rows = rows.withColumns({"last_n": F.max("n").over(span), "last_sum": F.max(F.col("before") + F.col("tokens")).over(span)})
     rows = rows.withColumn("last_window", F.max("window").over(Window.partitionBy("conv_id")))
-    system = (F.col("n") == 1) & (F.col("role") == "system")
     recent = (F.col("n") > F.col("last_n") - history) & (F.col("last_sum") - F.col("before") <= history_tokens) & (F.col("window") < F.col("last_window"))
     place = lambda w, again: F.struct(w.cast("long").alias("window"), F.lit(again).alias("again"))
     nowhere = F.expr("CAST(array() AS array<struct<window:bigint,again:boolean>>)")
-    again = F.when(system & (F.col("last_window") > 0), F.transform(F.sequence(F.lit(1).cast("long"), F.col("last_window")), lambda w: place(w, True))).when(~system & recent, F.array(place(F.col("window") + 1, True))).otherwise(nowhere)
+    again = F.when(is_system & (F.col("last_window") > 0), F.transform(F.sequence(F.lit(1).cast("long"), F.col("last_window")), lambda w: place(w, True))).when(~is_system & recent, F.array(place(F.col("window") + 1, True))).otherwise(nowhere)
     rows = rows.select("conv_id", "n", "role", "text", F.explode(F.concat(F.array(place(F.col("window"), False)), again)).alias("at"))
     head = F.concat(F.lit(HEAD), escape(F.col("role")), F.lit(HEAD_END))
     target = (F.col("role") == "assistant") & ~F.col("at.again")

@@ -30,6 +30,8 @@ UNKNOWN = "und"
 STEPS = 1 << 20
 #: Languages a model may have; the prototypes that every task holds are at most so many rows.
 MOST_LANGUAGES = 8192
+#: Bytes of a text past which it is bundled in pieces.
+PIECE = 1 << 21
 
 _classes: np.ndarray | None = None
 _vectors: np.ndarray | None = None
@@ -57,7 +59,22 @@ def trigram_vectors(codes: np.ndarray) -> np.ndarray:
 
 
 def bundles(texts: list[bytes]) -> np.ndarray:
-    """A row for each text; zero if it has no letter."""
+    """A row for each text; zero if it has no letter. Long texts are cut at spaces, where no trigram is lost, and their pieces' sums added."""
+    if max(map(len, texts), default=0) <= PIECE:
+        return _bundles(texts)
+    cut = [list(_pieces(t)) for t in texts]
+    return np.stack([sum(_bundles([p])[0].astype(np.float64) for p in parts) if parts else np.zeros(DIM) for parts in cut])
+
+
+def _pieces(text: bytes):
+    at = 0
+    while at < len(text):
+        end = text.find(b" ", at + PIECE) + 1 or len(text)
+        yield text[at:end]
+        at = end
+
+
+def _bundles(texts: list[bytes]) -> np.ndarray:
     table = letter_classes()
     lowered = [t.decode("utf-8", "replace").lower() for t in texts]
     data = table[np.frombuffer((" " + " ".join(lowered) + " ").encode("utf-32-le", "surrogatepass"), np.uint32)]

@@ -1,10 +1,13 @@
 """Media columns: Netpbm and BMP as numpy arrays, area-resized by integral images, NPY tiles, difference hashes.
 
 An image column holds whole files as binary. Every text can be stored as one: its UTF-8 bytes, padded with zero
-bytes to a positive multiple of the width, are the samples of an 8-bit grey Netpbm file.
+bytes to a positive multiple of the width, are the samples of an 8-bit grey file: by a checksum of the payload, half
+of the texts become Netpbm files and half BMP files, equal texts equal files.
 
-Edge cases: a null or empty text is stored as one row of zero samples; a file that is no Netpbm or BMP, or is
-cut short, decodes to None and gives null features; repeated rows give equal values; columns of other names stay.
+Edge cases: a null or empty text is stored as one row of zero samples; a file that is no Netpbm or BMP, is cut short,
+has no rows or columns, samples over its maximum, an index outside its palette or other bit masks than 8 bits of blue,
+green and red decodes to None and gives null features; repeated rows give equal values; columns of the names of the
+new ones are replaced, all others stay.
 """
 
 from __future__ import annotations
@@ -24,6 +27,10 @@ from glossmill.llm import runtime
 
 WIDTH = 64
 TILED, TILE = 64, 32
+#: The places of red, green and blue in a pixel of 32 bits.
+MASKS = (0xFF0000, 0xFF00, 0xFF)
+#: Rows of an image past which only the rows that the cells' borders need are held.
+LONG = 4096
 
 
 def encode_pgm(payload: bytes, width: int = WIDTH) -> bytes:
@@ -64,12 +71,16 @@ def _netpbm(data: bytes) -> np.ndarray:
     numbers, at = _header(data, 2 if bitmap else 3)
     w, h = numbers[:2]
     top = 1 if bitmap else numbers[2]
+    if not (w and h and 0 < top < 65536):
+        raise ValueError("empty image or maximum")
     planes = 3 if kind in (3, 6) else 1
     if kind == 1:
         digits = np.frombuffer(data, np.uint8, offset=at)
         values = digits[(digits == 48) | (digits == 49)][: w * h] - 48
     elif kind in (2, 3):
-        values = np.array(data[at:].split()[: w * h * planes], np.int64)
+        values = np.array(data[at - 1 :].split()[: w * h * planes], np.int64)
+        if (values < 0).any():
+            raise ValueError("sample under 0")
     elif kind == 4:
         rows = np.frombuffer(data, np.uint8, h * ((w + 7) // 8), at).reshape(h, -1)
         values = np.unpackbits(rows, axis=1)[:, :w]
@@ -78,13 +89,17 @@ def _netpbm(data: bytes) -> np.ndarray:
     values = np.asarray(values).reshape((h, w, planes) if planes > 1 else (h, w))
     if bitmap:  # 1 is black
         return ((1 - values) * 255).astype(np.uint8)
+    if (values > top).any():
+        raise ValueError("sample over the maximum")
     return values if values.dtype == np.uint8 else values.astype(np.uint16 if top > 255 else np.uint8)
 
 
 def _bmp(data: bytes) -> np.ndarray:
     at, size, w, h, _, bits, packing = struct.unpack_from("<10xIIiiHHI", data)
-    if packing not in (0, 3) or bits not in (8, 24, 32):
-        raise ValueError("packed BMP")
+    if packing not in (0, 3) or bits not in (8, 24, 32) or w <= 0 or not h:
+        raise ValueError("packed or empty BMP")
+    if packing == 3 and (bits != 32 or struct.unpack_from("<III", data, 54) != MASKS):
+        raise ValueError("other bit masks")
     stride = (w * bits // 8 + 3) // 4 * 4
     rows = np.frombuffer(data, np.uint8, stride * abs(h), at).reshape(abs(h), stride)[:, : w * bits // 8]
     rows = rows[::-1] if h > 0 else rows
@@ -102,7 +117,7 @@ def decode(data: bytes | None) -> np.ndarray | None:
             return _netpbm(data)
         if data and data[:2] == b"BM":
             return _bmp(data)
-    except (ValueError, IndexError, struct.error):
+    except (ValueError, IndexError, OverflowError, struct.error):
         pass
     return None
 
@@ -120,10 +135,18 @@ def area_resize(images: np.ndarray, height: int, width: int) -> np.ndarray:
     The last two axes are rows and columns; images may be stacked before them.
     """
     h, w = images.shape[-2:]
-    total = np.zeros((*images.shape[:-2], h + 1, w + 1))
-    np.cumsum(images, axis=-2, dtype=np.float64, out=total[..., 1:, 1:])
     low, part = _borders(h, height)
-    rows = total[..., low, :] * (1 - part)[:, None] + total[..., low + 1, :] * part[:, None]
+    if h > LONG:  # the integral image's rows at the borders alone: what lies between two of them is summed at once
+        edges = np.unique(np.concatenate((low, low + 1)))
+        sums = np.add.reduceat(images, edges[:-1], axis=-2, dtype=np.float64)
+        total = np.zeros((*images.shape[:-2], len(edges), w + 1))
+        np.cumsum(sums, axis=-2, out=total[..., 1:, 1:])
+        upper, lower = np.searchsorted(edges, low), np.searchsorted(edges, low + 1)
+    else:
+        total = np.zeros((*images.shape[:-2], h + 1, w + 1))
+        np.cumsum(images, axis=-2, dtype=np.float64, out=total[..., 1:, 1:])
+        upper, lower = low, low + 1
+    rows = total[..., upper, :] * (1 - part)[:, None] + total[..., lower, :] * part[:, None]
     np.cumsum(rows, axis=-1, out=rows)
     low, part = _borders(w, width)
     grid = rows[..., low] * (1 - part) + rows[..., low + 1] * part
@@ -162,11 +185,17 @@ def payload_of(text: bytes, unit: int = WIDTH) -> bytes:
     return text + bytes(-len(text) % unit if text else unit)
 
 
+def encode_text(text: bytes) -> bytes:
+    """The file that a text is stored as."""
+    payload = payload_of(text)
+    return encode_bmp(np.frombuffer(payload, np.uint8).reshape(-1, WIDTH)) if zlib.crc32(payload) % 2 else encode_pgm(payload)
+
+
 def store_text(docs: DataFrame, text: str = "text", media: str = "media") -> DataFrame:
-    """docs with a binary column: the text stored as a Netpbm file. One pass, no shuffle."""
+    """docs with a binary column: the text stored as an image file. One pass, no shuffle."""
 
     def make():
-        return lambda texts: [pa.array([encode_pgm(payload_of(t)) for t in texts], pa.binary())]
+        return lambda texts: [pa.array([encode_text(t) for t in texts], pa.binary())]
 
     return runtime.append_columns(docs, text, [T.StructField(media, T.BinaryType())], make)
 
@@ -188,9 +217,12 @@ def with_tiles(docs: DataFrame, media: str = "media", tiled: str = "tiles") -> D
 
 
 def read_back(docs: DataFrame, media: str = "media") -> DataFrame:
-    """docs with the digests and features of the stored files; the payload is what the decoder gives."""
+    """docs with the digests and features of the stored files; the payload is what the decoder gives.
+
+    The feature is the tiles' difference hashes; tiles_sha256 is the digest of their NPY files, one after the other.
+    """
     long, string = T.LongType(), T.StringType()
-    fields = [T.StructField("payload_bytes", long), T.StructField("payload_sha256", string), T.StructField("tail_crc32", long), T.StructField("media_bytes", long), T.StructField("media_sha256", string), T.StructField("feature", string)]
+    fields = [T.StructField("payload_bytes", long), T.StructField("payload_sha256", string), T.StructField("tail_crc32", long), T.StructField("media_bytes", long), T.StructField("media_sha256", string), T.StructField("feature", string), T.StructField("n_tiles", T.IntegerType()), T.StructField("tiles_sha256", string)]
 
     def make():
         def step(files: list[bytes]):
@@ -198,12 +230,13 @@ def read_back(docs: DataFrame, media: str = "media") -> DataFrame:
             for f in files:
                 image = decode(f)
                 if image is None:
-                    rows.append((None, None, None, len(f), hashlib.sha256(f).hexdigest(), None))
+                    rows.append((None, None, None, len(f), hashlib.sha256(f).hexdigest(), None, None, None))
                     continue
                 payload = image.tobytes()
-                feature = "-".join(h for _, h in tiles(image))
-                rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-WIDTH:]), len(f), hashlib.sha256(f).hexdigest(), feature))
-            types = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+                cut = tiles(image)
+                feature, files_ = "-".join(h for _, h in cut), hashlib.sha256(b"".join(n for n, _ in cut)).hexdigest()
+                rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-WIDTH:]), len(f), hashlib.sha256(f).hexdigest(), feature, len(cut), files_))
+            types = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int32(), pa.string()]
             return [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)]
 
         return step

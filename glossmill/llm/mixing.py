@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from glossmill.llm.runtime import checkpoint, let
+from glossmill.llm.runtime import checkpoint, let, quoted
 
 WORD = r"[^\x20\x09-\x0D]+"
 FAN, LARGE, SALTS = 32, 1024, 32
@@ -185,11 +185,11 @@ def _doc_of_row(copies: Column) -> Column:
 
 
 def apply_mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
-    """docs' rows, each as often as the mix takes it; rows that it doesn't take are gone."""
+    """docs' rows, each as often as the mix takes it; rows that it doesn't take are gone. Columns of any names stay as they are."""
     copies = mix(docs, weights, most).select("doc_id", "h", "copies")
-    key = Window.partitionBy("_id", "_h").orderBy("_copies")
-    copies = copies.select(F.col("doc_id").alias("_id"), F.col("h").alias("_h"), F.col("copies").alias("_copies")).withColumn("_k", F.row_number().over(key))
-    rows = docs.withColumn("_hash", F.xxhash64("doc_id", "text"))
-    rows = rows.withColumn("_row", F.row_number().over(Window.partitionBy("doc_id", "_hash").orderBy("_hash")))
-    both = rows.join(copies.where("_copies > 0"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_h")) & (F.col("_row") == F.col("_k")))
-    return both.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*docs.columns)
+    copies = copies.withColumn("k", F.row_number().over(Window.partitionBy("doc_id", "h").orderBy("copies"))).where("copies > 0")
+    # docs' columns travel in a struct of their own, so that no name of theirs meets one of these
+    rows = docs.select(F.struct(*(quoted(c) for c in docs.columns)).alias("row"), F.col("doc_id").alias("id"), F.xxhash64("doc_id", "text").alias("hash"))
+    rows = rows.withColumn("nth", F.row_number().over(Window.partitionBy("id", "hash").orderBy("hash")))
+    both = rows.join(copies, F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("hash") == F.col("h")) & (F.col("nth") == F.col("k")))
+    return both.select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("row.*")

@@ -14,7 +14,8 @@
 No bucket, group or candidate list is capped. Centres with many members are verified in salted groups.
 
 Edge cases: null and empty texts have an empty set and are linked with nothing; a text with fewer words than a
-shingle is one shingle; rows with the same id are one node; a row with a null id is linked with nothing, has a null
+shingle is one shingle; rows with the same id are one node, whatever their texts (linked with all that any of them is
+linked with), and each has its own text's set size; repeated rows of an id that is kept are all marked kept; a row with a null id is linked with nothing, has a null
 component and is kept.
 """
 
@@ -51,7 +52,7 @@ def shingles(texts: list[bytes], size: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of each text's shingles, repeats included, and where each text's begin."""
     w = textvec.split_words(texts, lower=True)
     total = len(w.start)
-    words = textvec.Prefix(w.buf).hash(w.start, w.end)
+    words = textvec.span_hashes(w.buf, w.start, w.end)
     count = np.diff(w.first)
     full = textvec.ngram_hash(words, size)[textvec.inside(w.first, size, total)] if total else words
     number = np.where(count >= size, count - size + 1, np.minimum(count, 1))
@@ -250,6 +251,37 @@ def _crowd_links(rows: DataFrame, docs: DataFrame, size: int, percent: int) -> D
     return placed.join(sets, placed["rep"] == sets["id"]).groupBy("crowd", "i", "j").applyInArrow(run, "a long, b long")
 
 
+def _joined(label: DataFrame, more: DataFrame) -> DataFrame:
+    """label (node, component) with further links (a, b): components of components, as few as the links are."""
+    named = more
+    for side in "ab":
+        own = label.select(F.col("node").alias(side), F.col("component").alias(f"_{side}"))
+        named = named.join(own, side, "left").withColumn(f"_{side}", F.coalesce(f"_{side}", side))
+    above = checkpoint(components(named.select(F.col("_a").alias("a"), F.col("_b").alias("b"))))
+    nodes = label.unionByName(more.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(label, "node", "left_anti").withColumn("component", F.col("node")))
+    return nodes.join(above.select(F.col("node").alias("component"), F.col("component").alias("top")), "component", "left").select("node", F.coalesce("top", "component").alias("component"))
+
+
+def _one_id_many_texts(docs: DataFrame, ids: DataFrame, size: int, percent: int) -> DataFrame:
+    """As near_duplicates where some ids (a column id) have rows of different texts: each text is a node of its own, and an id's nodes are linked."""
+    ids = ids.select("id", F.lit(True).alias("many"))
+    named = docs.join(ids, F.col("doc_id") == F.col("id"), "left")
+    node = F.when(F.col("many"), F.xxhash64("doc_id", "text", F.lit("node"))).otherwise(F.col("doc_id"))
+    named = checkpoint(named.select("doc_id", "text", "many", node.alias("node")))
+    got = near_duplicates(named.select(F.col("node").alias("doc_id"), "text"), size, percent).where("doc_id IS NOT NULL AND component_id IS NOT NULL")
+    got = checkpoint(got.select(F.col("doc_id").alias("node"), "n_shingles", F.col("component_id").alias("c")).distinct())
+    of_ids = named.where("many").select("doc_id", "node").distinct().join(got.select("node", "c"), "node")
+    bound = of_ids.groupBy("doc_id").agg(F.min("c").alias("b")).join(of_ids, "doc_id").select(F.col("c").alias("a"), "b")
+    above = components(bound)
+    rows = named.select("doc_id", "node").join(got, "node", "left").join(above.withColumnRenamed("node", "c"), "c", "left").select("doc_id", "n_shingles", F.coalesce("component", "c").alias("c"))
+    rows = checkpoint(rows)
+    least = checkpoint(rows.where("c IS NOT NULL").groupBy("c").agg(F.min("doc_id").alias("component_id")))
+    rows = rows.join(least, "c", "left").withColumn("n_shingles", F.coalesce("n_shingles", F.lit(0)))
+    null_ids = signatures(docs.where("doc_id IS NULL"), size, 1).select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+    rows = rows.where("doc_id IS NOT NULL").select("doc_id", "n_shingles", "component_id").unionByName(null_ids)
+    return rows.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of docs (doc_id, text)."""
     runtime.prepare(docs.sparkSession)
@@ -257,12 +289,19 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     bands = bands_for(percent)
     signed = checkpoint(signatures(docs, size, bands).drop("text"))
     real = signed.where("n > 0 AND doc_id IS NOT NULL")
+    # an empty text is no class of its own: it brings its id no link
+    repeated = signed.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("id")).agg(F.count("*").alias("k"), *(f(c).alias(f"{c}_{n}") for c in ("s1", "s2", "n") for n, f in (("lo", F.min), ("hi", F.max))))
+    repeated = repeated.where("k > 1 AND (s1_lo <> s1_hi OR s2_lo <> s2_hi OR n_lo <> n_hi)").select("id")
+    if repeated.head(1):
+        return _one_id_many_texts(docs, checkpoint(repeated), size, percent)
     reps = checkpoint(real.groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"), F.first("bands").alias("bands")))
     placed = reps.select("rep", F.explode("bands").alias("key"))
     shared = placed.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
+    # one row a key is written out before each join with it: then both sides are plain shuffles, and a hot key's is split
+    shared = checkpoint(shared)
     multi = placed.join(shared, "key")
     multi = checkpoint(multi)
-    centre = multi.groupBy("key").agg(F.min_by("rep", F.xxhash64("rep", "key")).alias("centre"))
+    centre = checkpoint(multi.groupBy("key").agg(F.min_by("rep", F.xxhash64("rep", "key")).alias("centre")))
     spokes = multi.join(centre, "key")
     pair = lambda a, b: (F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
     first = spokes.where("rep <> centre").select(*pair("rep", "centre")).distinct()
@@ -272,7 +311,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     rest = spokes.where("rep <> centre").join(label.withColumnRenamed("node", "rep"), "rep", "left")
     rest = rest.select("key", "rep", F.coalesce("component", "rep").alias("comp"))
     mixed = rest.groupBy("key").agg(F.count("*").alias("c"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key", "c")
-    rest = checkpoint(rest.join(mixed, "key"))
+    rest = checkpoint(rest.join(checkpoint(mixed), "key"))
     few = _pairs(rest.where(F.col("c") <= DIRECT), "key")
     many = checkpoint(rest.where(F.col("c") > DIRECT).select("key", "rep", "comp"))
     again = checkpoint(_agreeing(few.distinct(), reps, percent / 100 - SLACK))
@@ -281,7 +320,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
         more = more.unionByName(_crowd_links(many, docs, size, percent))
     more = checkpoint(more)
     if more.head(1):
-        label = components(links.unionByName(more))
+        label = _joined(label, more)
 
     names = reps.select("s1", "s2", "n", "rep").join(label, F.col("rep") == F.col("node"), "left").select("s1", "s2", "n", F.coalesce("component", "rep").alias("c"))
     linked = real.select("doc_id", "s1", "s2", "n").join(names, ["s1", "s2", "n"]).select("doc_id", "n", "c")

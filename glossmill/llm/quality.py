@@ -6,7 +6,7 @@ its word vector is the sum of the index vectors of the units beside it, scaled t
 and the spread of its shapes' vectors, the mean of its words' vectors, the shares of its kinds of characters and of
 repeated tokens. A two-layer network in numpy is fitted on these; its temperature is set on rows kept aside.
 
-All is learned from a bounded sample of labelled rows (SAMPLE of each class).
+All is learned from a bounded sample of labelled rows (SAMPLE of each class, labelled.SAMPLE_BYTES of text).
 
 Edge cases: null and empty texts are the zero document; with labels of one class or none the score is that class's
 share (0.5 with none); repeated rows get equal scores; columns of other names stay.
@@ -34,7 +34,7 @@ _KIND = np.arange(256, dtype=np.uint8)
 _KIND[[*range(97, 123), *range(128, 256)]] = 1
 _KIND[65:91] = 2
 _KIND[48:58] = 3
-_GROUP = np.zeros(256, np.int64)
+_GROUP = np.zeros(256, np.uint8)
 _GROUP[[*range(97, 123), *range(128, 256)]] = 1
 _GROUP[65:91] = 2
 _GROUP[48:58] = 3
@@ -48,17 +48,18 @@ def units(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
     new = np.ones(len(kind), bool)
     new[1:] = kind[1:] != kind[:-1]
     new[w.start] = True
-    before = np.concatenate(([0], np.cumsum(new)))
-    shape = textvec.Prefix(kind[new]).hash(before[w.start], before[w.end])
-    word = textvec.Prefix(textvec.LOWER[w.buf]).hash(w.start, w.end)
+    turns = np.cumsum(np.add.reduceat(new, np.column_stack([w.start, w.end]).ravel(), dtype=np.int64)[:-1]) if len(w.start) else np.zeros(0, np.int64)
+    turns = np.concatenate(([0], turns)) + (int(new[: w.start[0]].sum()) if len(w.start) else 0)  # runs before each word's start and end
+    shape = textvec.span_hashes(kind[new], turns[0::2][: len(w.start)], turns[1::2][: len(w.start)])
+    word = textvec.span_hashes(textvec.LOWER[w.buf], w.start, w.end)
     same = np.zeros(len(word), bool)
     same[1:] = word[1:] == word[:-1]
     same[w.first[:-1][w.first[:-1] < len(word)]] = False
     shape = textvec.mix(shape + same.astype(np.uint64))
     n = len(texts)
     count = np.diff(w.first)
-    doc_of_byte = np.repeat(np.arange(n), np.diff(w.doc_at))
-    groups = np.bincount(doc_of_byte * 5 + _GROUP[w.buf], minlength=5 * n).reshape(n, 5) / np.maximum(np.diff(w.doc_at), 1)[:, None]
+    group = _GROUP[w.buf]
+    groups = np.column_stack([np.add.reduceat(group == g, w.doc_at[:-1], dtype=np.int64) for g in range(5)]) / np.diff(w.doc_at)[:, None]
     again = np.bincount(w.doc, same, n) / np.maximum(count, 1)
     plain = np.column_stack([groups, again, np.log1p(count) / 10])
     return (shape % U(BUCKETS)).astype(np.int64), (word % U(BUCKETS)).astype(np.int64), w.first, plain
@@ -75,10 +76,10 @@ def index_vectors(seed: int) -> np.ndarray:
 def word_vectors(units_: np.ndarray, first: np.ndarray, seed: int) -> np.ndarray:
     """From the units of many texts, one after the other."""
     beside = np.zeros(BUCKETS * BUCKETS)
-    text = np.repeat(np.arange(len(first) - 1), np.diff(first))
+    text = np.repeat(np.arange(len(first) - 1, dtype=np.int32), np.diff(first))
     for d in range(1, WINDOW + 1):
         ok = text[d:] == text[:-d]
-        a, b = units_[:-d][ok], units_[d:][ok]
+        a, b = units_[:-d][ok].astype(np.int64), units_[d:][ok].astype(np.int64)
         beside += np.bincount(a * BUCKETS + b, minlength=BUCKETS**2) + np.bincount(b * BUCKETS + a, minlength=BUCKETS**2)
     out = beside.reshape(BUCKETS, BUCKETS).astype(np.float32) @ index_vectors(seed)
     return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-6)
@@ -161,7 +162,7 @@ def fit(shape: list[np.ndarray], word: list[np.ndarray], plain: np.ndarray, y: n
 
 
 def learn(docs: DataFrame, labels: DataFrame, folds: Column, label: str = "quality") -> Network:
-    """From a bounded sample of labelled rows; their units come to the driver."""
+    """From a bounded sample of labelled rows, fitted in one task; the driver gets the network alone."""
     runtime.prepare(docs.sparkSession)
     rows, share = labelled.sample(docs, labels, label, folds, SAMPLE)
 
@@ -176,11 +177,13 @@ def learn(docs: DataFrame, labels: DataFrame, folds: Column, label: str = "quali
             columns = [pa.array(c, pa.binary()) for c in zip(*out, strict=True)]
             yield pa.RecordBatch.from_arrays([*columns, batch.column(1)], ["shape", "word", "plain", "y"])
 
-    got = rows.mapInArrow(extract, "shape binary, word binary, plain binary, y int").toArrow()
-    back = sorted(zip(*(got.column(c).to_pylist() for c in ("word", "shape", "plain", "y")), strict=True))
-    ints = lambda b: np.frombuffer(b, np.uint16).astype(np.int64)
-    plain = np.array([np.frombuffer(r[2]) for r in back]) if back else np.zeros((0, 7))
-    return fit([ints(r[1]) for r in back], [ints(r[0]) for r in back], plain, np.array([r[3] for r in back], float), share)
+    def fitted(table: pa.Table) -> Network:
+        back = sorted(zip(*(table.column(c).to_pylist() for c in ("word", "shape", "plain", "y")), strict=True))
+        ints = lambda b: np.frombuffer(b, np.uint16)
+        return fit([ints(r[1]) for r in back], [ints(r[0]) for r in back], np.array([np.frombuffer(r[2]) for r in back]), np.array([r[3] for r in back], float), share)
+
+    none = np.zeros((0, 7))
+    return labelled.fit_apart(rows.mapInArrow(extract, "shape binary, word binary, plain binary, y int"), fitted) or fit([], [], none, none[:, 0], share)
 
 
 def predict(docs: DataFrame, net: Network, text: str = "text", name: str = "score") -> DataFrame:

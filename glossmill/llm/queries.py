@@ -113,11 +113,15 @@ WITH src AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL SELECT -7, 0, 'user', '{CONTROL_TEXT}' UNION ALL SELECT -7, 1, 'assistant', '{CONTROL_TEXT}'),
 sized AS (SELECT *, greatest(1, (length(text) + 3) // 4) AS tokens FROM src),
-summed AS (
+ordered AS (
   SELECT *, row_number() OVER w AS n, sum(tokens) OVER w - tokens AS before FROM sized
   WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text ROWS UNBOUNDED PRECEDING)),
+summed AS (
+  SELECT *, n = 1 AND role = 'system' AND tokens <= {chat_format.SYSTEM} AS is_system,
+    {chat_format.BUDGET - chat_format.LONGEST - chat_format.HISTORY_TOKENS} - coalesce(max(tokens) FILTER (WHERE n = 1 AND role = 'system' AND tokens <= {chat_format.SYSTEM}) OVER (PARTITION BY conv_id), 0) AS wide
+  FROM ordered),
 flagged AS (
-  SELECT *, CASE WHEN n > 1 AND (before // {chat_format.BUDGET - chat_format.LONGEST} <> lag(before // {chat_format.BUDGET - chat_format.LONGEST}) OVER w
+  SELECT *, CASE WHEN n > 1 AND (before // wide <> lag(before // wide) OVER w
     OR tokens > {chat_format.LONGEST} OR lag(tokens > {chat_format.LONGEST}) OVER w) THEN 1 ELSE 0 END AS opens
   FROM summed WINDOW w AS (PARTITION BY conv_id ORDER BY n)),
 placed AS (SELECT *, sum(opens) OVER (PARTITION BY conv_id ORDER BY n ROWS UNBOUNDED PRECEDING) AS win FROM flagged),
@@ -125,7 +129,7 @@ spans AS (
   SELECT *, max(n) OVER (PARTITION BY conv_id, win) AS last_n, max(before + tokens) OVER (PARTITION BY conv_id, win) AS last_sum,
     max(win) OVER (PARTITION BY conv_id) AS last_win FROM placed),
 counted AS (
-  SELECT *, 1 + CASE WHEN n = 1 AND role = 'system' THEN last_win
+  SELECT *, 1 + CASE WHEN is_system THEN last_win
     WHEN n > last_n - {chat_format.HISTORY} AND last_sum - before <= {chat_format.HISTORY_TOKENS} AND win < last_win THEN 1 ELSE 0 END AS times,
     length(role) + length(regexp_replace(role, '[^\\<>]', '', 'g')) + length(text) + length(regexp_replace(text, '[^\\<>]', '', 'g'))
       + {len(chat_format.HEAD + chat_format.HEAD_END + chat_format.TAIL)} AS chars FROM spans)

@@ -5,7 +5,8 @@ document covers its words, the first occurrence included. A duplicated (n+1)-gra
 only the shortest length looks at all windows; each longer one looks at the windows that the last one found.
 
 Edge cases: null and empty texts have no words and fail; a text shorter than n words has no n-gram; equal rows get
-equal results; a document of any length is hashed whole.
+equal results; a document of any length is hashed whole, block by block
+(of a long one, arrays of about a dozen numbers a word are held).
 """
 
 from __future__ import annotations
@@ -52,18 +53,15 @@ def measure(texts: list[bytes]) -> dict[str, np.ndarray]:
     docs = len(texts)
     w = textvec.split_words(texts)
     total = len(w.start)
-    points = textvec.code_points(w.buf)
-    chars = points[w.end] - points[w.start]
+    chars = np.add.reduceat((w.buf & 0xC0) != 0x80, np.column_stack([w.start, w.end]).ravel(), dtype=np.int64)[::2] if total else np.zeros(0, np.int64)
     doc = w.doc
     per_doc = lambda values: np.bincount(doc, values, docs)
     word_chars = per_doc(chars).astype(np.int64)
-    marks = np.zeros(len(w.buf) + 1, np.int64)
-    np.cumsum(_SYMBOL[w.buf], out=marks[1:])
-    out = {"n_words": np.diff(w.first), "word_chars": word_chars, "n_symbols": marks[w.doc_at[1:]] - marks[w.doc_at[:-1]]}
+    symbols = np.add.reduceat(_SYMBOL[w.buf], w.doc_at[:-1], dtype=np.int64)
+    out = {"n_words": np.diff(w.first), "word_chars": word_chars, "n_symbols": symbols}
 
-    prefix = textvec.Prefix(w.buf)
     salt = textvec.mix(np.arange(1, docs + 1, dtype=np.uint64) * U(0x9E3779B97F4A7C15))
-    hashes = prefix.hash(w.start, w.end)
+    hashes = textvec.span_hashes(w.buf, w.start, w.end)
     shares, at = {}, None
     for n in sorted(NGRAM_LIMITS):
         rolled = textvec.ngram_hash(hashes, n)
@@ -82,7 +80,7 @@ def measure(texts: list[bytes]) -> dict[str, np.ndarray]:
     full = words_before[1] > words_before[0]
     starts, ends, line_words = starts[full], ends[full], (words_before[0][full], words_before[1][full])
     line_doc = np.searchsorted(w.doc_at, starts, "right") - 1
-    key = prefix.hash(starts, ends) ^ salt[line_doc] if len(starts) else np.zeros(0, np.uint64)
+    key = textvec.span_hashes(w.buf, starts, ends) ^ salt[line_doc] if len(starts) else np.zeros(0, np.uint64)
     order = np.argsort(key, kind="stable")
     again = np.zeros(len(key), bool)
     again[order[1:][key[order][1:] == key[order][:-1]]] = True

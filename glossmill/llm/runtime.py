@@ -17,6 +17,8 @@ from pyspark.sql import types as T
 SLICE_BYTES = 1 << 19
 #: Documents in one vectorised step.
 SLICE_ROWS = 512
+#: Bytes of an Arrow batch, but for a single row that is longer.
+BATCH_BYTES = 4 << 20
 
 _shipped: set[str] = set()
 
@@ -37,14 +39,25 @@ def prepare(spark: SparkSession) -> None:
         sc.addPyFile(target)
         _shipped.add(sc.applicationId)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cuts lineage through spark.checkpoint.dir; only where that is unset (tests) a folder is made here."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names. Only a local session, as in tests, gets one of its own where it is unset."""
     sc = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if not named:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        named = tempfile.mkdtemp(prefix="glossmill-ckpt-")
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="glossmill-ckpt-"))
+        sc.setCheckpointDir(named)
+    return named
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Cuts lineage through spark.checkpoint.dir."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
@@ -91,10 +104,14 @@ def append_columns(
 ) -> DataFrame:
     """df with columns computed from its text column, in one pass without a shuffle.
 
-    make() runs once per task and returns the function of a list of texts; it gives one array per field.
+    make() runs once per task and returns the function of a list of texts; it gives one array per field. Columns of
+    df with the name of a field (whatever their case) are replaced.
     """
     names = [f.name for f in fields]
-    schema = T.StructType(df.schema.fields + fields)
+    taken = {n.lower() for n in names}
+    kept = [f for f in df.schema.fields if f.name.lower() not in taken]
+    df = df.select(*(quoted(f.name).alias(f"c{i}") for i, f in enumerate(kept)), quoted(text).alias("text"))
+    schema = T.StructType(kept + fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = None
@@ -102,14 +119,20 @@ def append_columns(
             if not batch.num_rows:
                 continue
             step = step or make()
-            texts = text_bytes(batch.column(batch.schema.get_field_index(text)))
+            *own, column = batch.columns
+            texts = text_bytes(column)
             for a, b in pieces(texts, max_bytes, max_rows):
                 out = step(texts[a:b])
-                yield pa.RecordBatch.from_arrays([*batch.slice(a, b - a).columns, *out], [*batch.schema.names, *names])
+                yield pa.RecordBatch.from_arrays([*(c.slice(a, b - a) for c in own), *out], [*(f.name for f in kept), *names])
 
     return df.mapInArrow(run, schema)
 
 
+def quoted(name: str) -> Column:
+    """The column of exactly this name, dots and all."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """body with value computed once."""
     return F.element_at(F.transform(F.array(value), body), 1)

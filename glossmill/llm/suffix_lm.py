@@ -33,6 +33,8 @@ SYMBOLS, END = 257, 10
 ADD = 0.1
 #: Bytes of text in a block.
 BLOCK_BYTES = 8 << 20
+#: Places whose windows are held at once.
+PLACES = 1 << 20
 #: Kinds of counts; a context's kind is CONTEXT and its length.
 WORD, WINDOW, TEXT, CONTEXT = 0, 1, 2, 3
 
@@ -50,7 +52,10 @@ def normal(w: textvec.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     keep[last] = True
     real = np.flatnonzero(keep)
     size = np.diff(np.searchsorted(real, w.doc_at))
-    place = np.arange(len(real)) + np.repeat(np.arange(1, len(size) + 1) * DEPTH, size)
+    if len(keep) < 1 << 30:
+        real = real.astype(np.int32)
+    place = np.arange(len(real), dtype=real.dtype)
+    place += np.repeat(np.arange(1, len(size) + 1, dtype=real.dtype) * DEPTH, size)
     out = np.full(len(real) + DEPTH * len(size), END, np.uint8)
     out[place] = buf[real]
     return out, place, np.cumsum(size) - size
@@ -63,6 +68,11 @@ def windows(symbols: np.ndarray, place: np.ndarray) -> np.ndarray:
     return key
 
 
+def blocks_of(place: np.ndarray) -> list[np.ndarray]:
+    """The places in runs of PLACES, so that a long text's windows are held a part at a time."""
+    return [place[i : i + PLACES] for i in range(0, len(place), PLACES)]
+
+
 def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
     keys, counts = (np.concatenate(x) for x in zip(*parts, strict=True))
     order = np.argsort(keys)
@@ -87,16 +97,17 @@ def _count(texts: DataFrame) -> DataFrame:
             for a, b in runtime.pieces(got):
                 w = textvec.split_words(got[a:b], lower=True)
                 symbols, place, _ = normal(w)
-                held[WORD].append(textvec.counts_of(np.sort(textvec.Prefix(w.buf).hash(w.start, w.end))))
-                held[WINDOW].append(textvec.counts_of(np.sort(windows(symbols, place))))
-                for kind, parts in held.items():
-                    if sum(len(k) for k, _ in parts) > 2_000_000:
-                        merged = _merged(parts)
-                        if len(merged[0]) > 1_000_000:
-                            yield out(kind, *merged)
-                            parts.clear()
-                        else:
-                            parts[:] = [merged]
+                held[WORD].append(textvec.counts_of(np.sort(textvec.span_hashes(w.buf, w.start, w.end))))
+                for part in blocks_of(place):
+                    held[WINDOW].append(textvec.counts_of(np.sort(windows(symbols, part))))
+                    for kind, parts in held.items():
+                        if sum(len(k) for k, _ in parts) > 2_000_000:
+                            merged = _merged(parts)
+                            if len(merged[0]) > 1_000_000:
+                                yield out(kind, *merged)
+                                parts.clear()
+                            else:
+                                parts[:] = [merged]
         for kind, parts in held.items():
             if parts:
                 yield out(kind, *_merged(parts))
@@ -192,9 +203,9 @@ def score(docs: DataFrame, train) -> DataFrame:
         texts = runtime.text_bytes(table.column("text").combine_chunks())
         for a, b in runtime.pieces(texts):
             w = textvec.split_words(texts[a:b], lower=True)
-            words.append(textvec.counts_of(np.sort(textvec.Prefix(w.buf).hash(w.start, w.end))))
+            words.append(textvec.counts_of(np.sort(textvec.span_hashes(w.buf, w.start, w.end))))
             symbols, place, _ = normal(w)
-            seen.append(np.unique(windows(symbols, place) >> U(8)))
+            seen += [np.unique(windows(symbols, part) >> U(8)) for part in blocks_of(place)]
         ctx = np.unique(np.concatenate(seen))
         kinds, keys = [WORD], [_merged(words)[0]]
         for k in range(DEPTH, -1, -1):
@@ -226,15 +237,19 @@ def score(docs: DataFrame, train) -> DataFrame:
         out = []
         for a, b in runtime.pieces(texts):
             w = textvec.split_words(texts[a:b], lower=True)
-            h = textvec.Prefix(w.buf).hash(w.start, w.end)
+            h = textvec.span_hashes(w.buf, w.start, w.end)
             at = np.searchsorted(keys[:-1], h)
             c = np.where(keys[at] == h, numbers[at], 0)
             n = b - a
             doc = w.doc
             end = float(base(np.array([texts_seen]))[0])
             symbols, place, first = normal(w)
-            logs = tree.window_logs(windows(symbols, place))
-            out.append((np.diff(w.first) + 1, np.bincount(doc, c > 0, n).astype(np.int64) + (texts_seen > 0), np.bincount(doc, base(c), n) + end, np.add.reduceat(logs, first)))
+            logs, at = np.zeros(n), 0
+            for part in blocks_of(place):
+                whose = np.searchsorted(first, np.arange(at, at + len(part)), "right") - 1
+                logs += np.bincount(whose, tree.window_logs(windows(symbols, part)), n)
+                at += len(part)
+            out.append((np.diff(w.first) + 1, np.bincount(doc, c > 0, n).astype(np.int64) + (texts_seen > 0), np.bincount(doc, base(c), n) + end, logs))
         tokens, seen, score0, score1 = (np.concatenate(x) for x in zip(*out, strict=True))
         return pa.table({"doc_id": table.column("doc_id"), "learned": table.column("learned"), "n_tokens": tokens.astype(np.int64), "n_known": seen, "train_tokens": np.full(len(tokens), total), "base_score": score0, "score": score1})
 

@@ -1,7 +1,7 @@
 """Vectorised text primitives over a run of documents held as one byte buffer.
 
-Words are maximal runs of bytes other than 0x20 and 0x09-0x0D. A substring's hash is a difference of prefix
-sums of random byte values times powers of an odd base, modulo 2**64, brought to a common start and mixed.
+Words are maximal runs of bytes other than 0x20 and 0x09-0x0D. A substring's hash is the sum of random byte
+values times powers of an odd base, modulo 2**64, from its start, mixed; long texts are hashed block by block.
 """
 
 from __future__ import annotations
@@ -20,22 +20,17 @@ SPACE[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
-_powers = np.ones(1, np.uint64)
-_inverses = np.ones(1, np.uint64)
+#: Symbols whose powers are held at once; longer texts are hashed in so many steps.
+BLOCK = 1 << 18
 
 
-def _grow(n: int) -> None:
-    global _powers, _inverses
-    if len(_powers) < n:
-        size = 1 << max(16, (n - 1).bit_length())
-        for base in (_BASE, _INVERSE):
-            out = np.full(size, base, np.uint64)
-            out[0] = 1
-            np.multiply.accumulate(out, out=out)
-            if base == _BASE:
-                _powers = out
-            else:
-                _inverses = out
+def _multiples(base: int) -> np.ndarray:
+    out = np.full(BLOCK + 1, base, np.uint64)
+    out[0] = 1
+    return np.multiply.accumulate(out, out=out)
+
+
+_POWERS, _INVERSES = _multiples(_BASE), _multiples(_INVERSE)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -44,17 +39,29 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(32))
 
 
-class Prefix:
-    """Prefix sums of a symbol sequence; hash() of any list of substrings."""
+def span_hashes(symbols: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hash of each span of the symbols; spans are in order and don't overlap. What goes on over a block's border is carried."""
+    out = np.zeros(len(start), np.uint64)
+    sums = np.zeros(min(BLOCK, len(symbols)) + 1, np.uint64)
+    for a in range(0, len(symbols), BLOCK):
+        b = min(a + BLOCK, len(symbols))
+        lo, hi = np.searchsorted(end, a, "right"), np.searchsorted(start, b)
+        if hi > lo:
+            np.cumsum(_VALUES[symbols[a:b]] * _POWERS[: b - a], out=sums[1 : b - a + 1])
+            s, e = np.maximum(start[lo:hi], a) - a, np.minimum(end[lo:hi], b) - a
+            part = (sums[e] - sums[s]) * _INVERSES[s]
+            if start[lo] < a:
+                part[:1] *= U(pow(_BASE, int(a - start[lo]), 1 << 64))
+            out[lo:hi] += part
+    return mix(out)
 
-    def __init__(self, symbols: np.ndarray):
-        n = len(symbols)
-        _grow(n + 1)
-        self.sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(_VALUES[symbols] * _powers[:n], out=self.sums[1:])
 
-    def hash(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return mix((self.sums[end] - self.sums[start]) * _inverses[start])
+def short_hashes(symbols: np.ndarray, start: np.ndarray, size: int) -> np.ndarray:
+    """As span_hashes, for spans of one small size that may overlap."""
+    out = np.zeros(len(start), np.uint64)
+    for j in range(size):
+        out += _VALUES[symbols[start + j]] * _POWERS[j]
+    return mix(out)
 
 
 @dataclass
@@ -110,10 +117,3 @@ def counts_of(sorted_values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return sorted_values, np.zeros(0, np.int64)
     at = np.concatenate(([0], np.flatnonzero(sorted_values[1:] != sorted_values[:-1]) + 1))
     return sorted_values[at], np.diff(np.append(at, len(sorted_values)))
-
-
-def code_points(buf: np.ndarray) -> np.ndarray:
-    """Prefix counts of code points in a UTF-8 buffer."""
-    out = np.zeros(len(buf) + 1, np.int64)
-    np.cumsum((buf & 0xC0) != 0x80, out=out[1:])
-    return out

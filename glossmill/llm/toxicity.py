@@ -1,9 +1,9 @@
 """Toxicity by a factorization machine over hashed terms.
 
-Terms are lower-cased runs of letters, and beginnings and ends of them, hashed. From a bounded sample of labelled
-rows the terms whose presence depends on the label (G test) become features; the machine has a weight and a vector
+Terms are lower-cased runs of letters, and beginnings and ends of them, hashed. From a sample of labelled rows, bounded in
+rows and bytes (labelled.SAMPLE, labelled.SAMPLE_BYTES), the terms whose presence depends on the label (G test) become features; the machine has a weight and a vector
 of factors for each, so pairs of terms (an insult and whom it means) count beyond their own weights. It is fitted
-by Adam on the log loss, weighted to the labels' true shares. Features are present or absent in the whole text, so
+by Adam on the log loss; both labels weigh the same in all, so that the rarer one is not overlooked at 0.5. Features are present or absent in the whole text, so
 one insult counts the same in a long document.
 
 Edge cases: null and empty texts have no terms and get the score of the bias; with labels of one class or none the
@@ -37,28 +37,33 @@ def terms(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     buf = w.buf.copy()
     upper = np.flatnonzero((buf[1:] >= 0x80) & (buf[1:] <= 0x9E) & (buf[1:] != 0x97) & (buf[:-1] == 0xC3)) + 1
     buf[upper] += 32  # Latin-1 capitals
-    prefix = textvec.Prefix(buf)
     size, doc = w.end - w.start, w.doc
-    out = [prefix.hash(w.start, w.end)]
+    out = [textvec.span_hashes(buf, w.start, w.end)]
     docs = [doc]
     for k in BEGINNINGS:
         long = size > k
-        out.append(prefix.hash(w.start[long], w.start[long] + k) + U(k))
+        out.append(textvec.short_hashes(buf, w.start[long], k) + U(k))
         docs.append(doc[long])
     for k in ENDS:
         long = size > k
-        out.append(prefix.hash(w.end[long] - k, w.end[long]) + U(k + 16))
+        out.append(textvec.short_hashes(buf, w.end[long] - k, k) + U(k + 16))
         docs.append(doc[long])
     return (np.concatenate(out) >> U(64 - BITS)).astype(np.int64), np.concatenate(docs)
 
 
 class Machine:
-    """place: feature of each hashed term or -1; bias, weights, factors."""
+    """chosen: the hashed terms that are features; bias, and weights and factors of each."""
 
-    def __init__(self, place: np.ndarray, bias: float, weights: np.ndarray, factors: np.ndarray):
-        self.place, self.bias, self.weights, self.factors = place, bias, weights, factors
+    def __init__(self, bias: float, chosen: np.ndarray | None = None, weights: np.ndarray | None = None, factors: np.ndarray | None = None):
+        self.bias = bias
+        self.chosen = np.zeros(0, np.int64) if chosen is None else chosen
+        self.weights, self.factors = (np.zeros(1), np.zeros((1, FACTORS))) if weights is None else (weights, factors)
+        self.place = None
 
     def score(self, texts: list[bytes]) -> np.ndarray:
+        if self.place is None:  # only where texts are scored; the machine itself is a few KB
+            self.place = np.full(1 << BITS, -1, np.int16)
+            self.place[self.chosen] = np.arange(len(self.chosen))
         term, doc = terms(texts)
         feature = self.place[term]
         hit = feature >= 0
@@ -76,10 +81,10 @@ def fit(held: list[np.ndarray], y: np.ndarray, share: float) -> Machine:
     """held: the distinct hashed terms of each row."""
     rows = len(y)
     ones = int(y.sum())
-    none = np.full(1 << BITS, -1, np.int16)
+    p = min(max(share, 1e-4), 1 - 1e-4) if rows else 0.5
+    alone = Machine(float(np.log(p / (1 - p))))
     if not rows or ones in (0, rows):
-        p = min(max(share, 1e-4), 1 - 1e-4) if rows else 0.5
-        return Machine(none, float(np.log(p / (1 - p))), np.zeros(1), np.zeros((1, FACTORS)))
+        return alone
     flat, row = np.concatenate(held).astype(np.int32), np.repeat(np.arange(rows, dtype=np.int32), [len(h) for h in held])
     size = 1 << BITS
     k1, k0 = np.bincount(flat[y[row] == 1], minlength=size), np.bincount(flat[y[row] == 0], minlength=size)
@@ -94,15 +99,16 @@ def fit(held: list[np.ndarray], y: np.ndarray, share: float) -> Machine:
     best = np.argsort(-g, kind="stable")[:FEATURES]
     chosen = often[best[g[best] >= LEAST_G]]
     if not len(chosen):
-        p = min(max(share, 1e-4), 1 - 1e-4)
-        return Machine(none, float(np.log(p / (1 - p))), np.zeros(1), np.zeros((1, FACTORS)))
-    none[chosen] = np.arange(len(chosen))
+        return alone
+    place = np.full(size, -1, np.int16)
+    place[chosen] = np.arange(len(chosen))
     x = np.zeros((rows, len(chosen)), np.float32)
-    there = none[flat]
+    there = place[flat]
     x[row[there >= 0], there[there >= 0]] = 1
-    weight = np.where(y == 1, share / ones, (1 - share) / (rows - ones)).astype(np.float32)
+    del flat, row, there, k1, k0
+    weight = np.where(y == 1, 0.5 / ones, 0.5 / (rows - ones)).astype(np.float32)
     rng = np.random.default_rng(3)
-    params = [np.array([np.log(share / (1 - share))], np.float32), np.zeros(len(chosen), np.float32), rng.normal(0, 0.01, (len(chosen), FACTORS)).astype(np.float32)]
+    params = [np.zeros(1, np.float32), np.zeros(len(chosen), np.float32), rng.normal(0, 0.01, (len(chosen), FACTORS)).astype(np.float32)]
     moments = [(np.zeros_like(q), np.zeros_like(q)) for q in params]
     for t in range(1, STEPS + 1):
         b, w, v = params
@@ -115,11 +121,11 @@ def fit(held: list[np.ndarray], y: np.ndarray, share: float) -> Machine:
             m += 0.1 * (gr - m)
             s += 0.01 * (gr * gr - s)
             q -= RATE * (m / (1 - 0.9**t)) / (np.sqrt(s / (1 - 0.99**t)) + 1e-8)
-    return Machine(none, float(params[0][0]), params[1].astype(float), params[2].astype(float))
+    return Machine(float(params[0][0]), chosen, params[1].astype(float), params[2].astype(float))
 
 
 def learn(docs: DataFrame, labels: DataFrame, folds: Column, label: str = "toxic") -> Machine:
-    """From a bounded sample of labelled rows; their hashed terms come to the driver."""
+    """From a bounded sample of labelled rows, fitted in one task; the driver gets the machine alone."""
     runtime.prepare(docs.sparkSession)
     rows, share = labelled.sample(docs, labels, label, folds)
 
@@ -135,9 +141,11 @@ def learn(docs: DataFrame, labels: DataFrame, folds: Column, label: str = "toxic
                 out += [ids[p:q].tobytes() for p, q in zip(ends[:-1], ends[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary()), batch.column(1)], ["terms", "y"])
 
-    got = rows.mapInArrow(extract, "terms binary, y int").toArrow()
-    pairs = sorted(zip(got.column("terms").to_pylist(), got.column("y").to_pylist(), strict=True))
-    return fit([np.frombuffer(t, np.uint32) for t, _ in pairs], np.array([y for _, y in pairs], np.float32), share)
+    def fitted(table: pa.Table) -> Machine:
+        pairs = sorted(zip(table.column("terms").to_pylist(), table.column("y").to_pylist(), strict=True))
+        return fit([np.frombuffer(t, np.uint32) for t, _ in pairs], np.array([y for _, y in pairs], np.float32), share)
+
+    return labelled.fit_apart(rows.mapInArrow(extract, "terms binary, y int"), fitted) or fit([], np.zeros(0), share)
 
 
 def predict(docs: DataFrame, machine: Machine, text: str = "text", name: str = "score") -> DataFrame:

@@ -70,6 +70,67 @@ def test_mixing_odd_rows(spark, odd_docs, no_docs):
     assert again.columns == odd_docs.columns and again.count() == sum(r["copies"] for r in rows)
 
 
+def test_names_of_any_kind_stay(spark, odd_docs):
+    """Columns named as those that the operators use inside, or with dots, come out as they went in; those named as new ones are replaced."""
+    names = ["h", "id", "nth", "k", "hash", "copies", "row", "col", "_hash", "_row", "_copy", "_id", "_h", "_k", "_copies", "bucket", "a.b", "source_", "media", "n_tokens", "ids"]
+    docs = odd_docs.withColumns({n: F.concat(F.lit(f"{n}:"), F.coalesce(F.col("doc_id"), F.lit(-1))) for n in names})
+    for r in mixing.apply_mix(docs).collect():
+        assert all(r[n] == f"{n}:{-1 if r['doc_id'] is None else r['doc_id']}" for n in names)
+    path = queries.vocabulary_path()
+    coded = bpe_automaton.digests(bpe_automaton.encode(docs, path), path)
+    tiled = media.with_tiles(media.store_text(docs))
+    for got, new in ((coded, {"n_tokens", "ids"}), (tiled, {"media"})):
+        assert len(got.columns) == len(set(got.columns))
+        for r in got.collect():
+            assert all(r[n] == f"{n}:{-1 if r['doc_id'] is None else r['doc_id']}" for n in names if n not in new)
+
+
+def brute_pairs(rows, level):
+    """The fold of one bucket, written out: words pass between the open document and the next."""
+    chance = lambda a, b: (int(_hash(a, b, level)) & (1 << 64) - 1) >> 11
+    open_, done = None, {}
+    for h, i, size, base, p in sorted(rows):
+        if p <= 1e-12 or p >= 1 - 1e-12:
+            done[i] = base + (p > 0.5)
+        elif open_ is None:
+            open_ = (h, i, size, base, p)
+        else:
+            ah, ai, asize, abase, ap = open_
+            up, down = min((1 - ap) * asize, p * size), min((1 - p) * size, ap * asize)
+            gain, lose = ((ah, ai, asize, abase, ap), (h, i, size, base, p)) if chance(ah, h) / (1 << 53) * (up + down) < down else ((h, i, size, base, p), (ah, ai, asize, abase, ap))
+            room, has = (1 - gain[4]) * gain[2], lose[4] * lose[2]
+            open_ = None
+            if room <= has:
+                done[gain[1]] = gain[3] + 1
+            if has <= room:
+                done[lose[1]] = lose[3]
+            if room < has:
+                open_ = (*lose[:4], lose[4] - room / lose[2])
+            elif has < room:
+                open_ = (*gain[:4], gain[4] + has / gain[2])
+    return done, open_
+
+
+_hashes = {}
+
+
+def _hash(a, b, level):
+    return _hashes[a, b, level]
+
+
+def test_pivotal_fold_equals_brute_force(spark):
+    rng = random.Random(4)
+    rows = [(rng.randrange(1 << 40), i, rng.randrange(1, 30), rng.randrange(2), rng.choice([0.0, 1.0, rng.random(), 0.5])) for i in range(40)]
+    both = [(a[0], b[0]) for a in rows for b in rows if a != b]
+    for r in spark.createDataFrame(both, "a long, b long").select("a", "b", F.xxhash64("a", "b", F.lit(0)).alias("x")).collect():
+        _hashes[r["a"], r["b"], 0] = r["x"]
+    df = spark.createDataFrame([("s", 0, *r) for r in rows], "source string, bucket long, h long, doc_id long, size long, base long, p double")
+    got = mixing._fold(df, 0).first()
+    done, open_ = brute_pairs(rows, 0)
+    assert {d["doc_id"]: d["copies"] for d in got["done"]} == done
+    assert (got["open"] is None) == (open_ is None) and (open_ is None or (got["open"]["doc_id"], got["open"]["p"]) == (open_[1], pytest.approx(open_[4])))
+
+
 # ---- classifiers
 @pytest.mark.parametrize("name,label,least", [("op2_toxicity", "toxic", 0.85), ("op3_quality", "quality", 0.9)])
 def test_classifiers_held_out(spark, name, label, least):
@@ -93,6 +154,63 @@ def test_classifiers_odd_rows(spark, odd_docs, no_docs, method, label):
     assert got[5]["own"] == got[6]["own"]
 
 
+def test_machine_equals_sum_over_pairs():
+    """The score is the logistic of the bias, the weights and the products of all pairs of factors."""
+    rng = np.random.default_rng(3)
+    texts = [b"alpha beta gamma", b"beta", b"", b"Alpha delta delta"]
+    chosen = np.unique(toxicity.terms(texts)[0])
+    machine = toxicity.Machine(-0.3, chosen, rng.normal(size=len(chosen)), rng.normal(size=(len(chosen), 3)))
+    for text, got in zip(texts, machine.score(texts), strict=True):
+        on = np.searchsorted(chosen, np.unique(toxicity.terms([text])[0]))
+        z = -0.3 + sum(machine.weights[i] for i in on) + sum(machine.factors[i] @ machine.factors[j] for i in on for j in on if i < j)
+        assert got == pytest.approx(1 / (1 + math.exp(-z)))
+
+
+def test_word_vectors_equal_brute_force():
+    """Random indexing, one neighbour at a time, and pooling, one text at a time."""
+    texts = [b"One two, THREE 44 five", b"", b"six six six seven two", b"x"]
+    shape, word, first, plain = quality.units(texts)
+    index = quality.index_vectors(12)
+    want = np.zeros((quality.BUCKETS, quality.DIM))
+    for a, b in zip(first[:-1], first[1:], strict=True):
+        for i in range(a, b):
+            for j in range(a, b):
+                if 0 < abs(i - j) <= quality.WINDOW:
+                    want[word[i]] += index[word[j]]
+    want /= np.maximum(np.linalg.norm(want, axis=1, keepdims=True), 1e-6)
+    assert np.allclose(quality.word_vectors(word, first, 12), want, atol=1e-6)
+    net = quality.Network(0.0)
+    net.shapes, net.words = quality.word_vectors(shape, first, 11), want
+    pooled = net.pooled(shape, word, first, plain)
+    for k, (a, b) in enumerate(zip(first[:-1], first[1:], strict=True)):
+        own = [net.shapes[s] for s in shape[a:b]]
+        parts = [np.mean(own, 0), np.std(own, 0), np.mean([want[x] for x in word[a:b]], 0)] if b > a else [np.zeros(3 * quality.DIM)]
+        assert np.allclose(pooled[k], np.concatenate([*parts, plain[k]]), atol=2e-3)
+
+
+def test_long_texts_are_hashed_the_same_in_blocks(monkeypatch):
+    from glossmill.llm import textvec
+
+    texts = [b"lorem ipsum dolor sit amet " * 40, b"", b"x" * 700, "wörter über 12 ABC".encode()]
+    whole = [toxicity.terms(texts), quality.units(texts), list(repetition.measure(texts).values()), [neardup.shingles(texts, 3)[0]], [hyperlang.bundles(texts)]]
+    monkeypatch.setattr(textvec, "BLOCK", 64)
+    monkeypatch.setattr(hyperlang, "PIECE", 100)
+    parts = [toxicity.terms(texts), quality.units(texts), list(repetition.measure(texts).values()), [neardup.shingles(texts, 3)[0]], [hyperlang.bundles(texts)]]
+    for a, b in zip(whole, parts, strict=True):
+        assert all(np.array_equal(x, y) for x, y in zip(a, b, strict=True))
+
+
+def test_sample_is_bounded(spark):
+    docs = spark.createDataFrame([(i, "x" * 100) for i in range(50)] + [(3, "a longer text of the same id"), (4, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(50)] + [(3, None)], "doc_id long, toxic int")
+    from glossmill.llm import labelled
+
+    rows, share = labelled.sample(docs, labels, "toxic", F.lit(True), most=10)
+    assert share == 0.5 and rows.groupBy("y").count().collect() == [(1, 10), (0, 10)] or rows.count() == 20
+    rows, _ = labelled.sample(docs, labels, "toxic", F.lit(True), most_bytes=450)
+    assert 4 <= rows.count() <= 8
+
+
 def test_factorization_learns_a_pair():
     """Only two terms together make label 1."""
     rng = random.Random(2)
@@ -188,6 +306,16 @@ def test_media_round_trips():
     assert (media.decode(b"P4\n10 1\n\xff\x00")[0] == [0] * 8 + [255] * 2).all()
     wide = rng.integers(0, 65536, (3, 4)).astype(">u2")
     assert (media.decode(b"P5\n4 3\n65535\n" + wide.tobytes()) == wide).all()
+    for broken in (b"P5\n0 0\n255\n", b"P2\n2 1\n255\n300 1", b"P2\n2 1\n255\n-3 1", b"P5\n1 1\n100\n\xff", b"P5\n1 1\n0\n\0", b"P1\n3 3\n10", b"BM", media.encode_bmp(grey)[:400]):
+        assert media.decode(broken) is None
+    masks = bytearray(media.encode_bmp(grey))
+    masks[30] = 3
+    assert media.decode(bytes(masks)) is None
+    tall = rng.integers(0, 256, (media.LONG + 77, 64)).astype(np.uint8)
+    short = media.area_resize(tall, 64, 64)
+    media_long, media.LONG = media.LONG, 1 << 30
+    assert np.allclose(short, media.area_resize(tall, 64, 64))
+    media.LONG = media_long
     assert media.decode(b"P5\n9 9\n255\nshort") is None and media.decode(b"GIF89a") is None and media.decode(None) is None
 
 
@@ -202,8 +330,10 @@ def test_media_query(spark, sf):
     for i, text, _, _ in documents(sf):
         data = text.encode()
         payload = data + bytes(-len(data) % 64 if data else 64)
-        stored = b"P5\n64 %d\n255\n" % (len(payload) // 64) + payload
+        grey = np.frombuffer(payload, np.uint8).reshape(-1, 64)
+        stored = media.encode_bmp(grey) if zlib.crc32(payload) % 2 else b"P5\n64 %d\n255\n" % (len(payload) // 64) + payload
         r = rows[i]
+        assert r["n_tiles"] == 4 and r["tiles_sha256"] == hashlib.sha256(b"".join(n for n, _ in media.tiles(grey))).hexdigest()
         assert (r["n_bytes"], r["payload_bytes"], r["media_bytes"], r["tail_crc32"]) == (len(data), len(payload), len(stored), zlib.crc32(payload[-64:]))
         assert (r["payload_sha256"], r["media_sha256"]) == (hashlib.sha256(payload).hexdigest(), hashlib.sha256(stored).hexdigest())
 
@@ -221,17 +351,23 @@ def tokenizer():
     return tokenizers.Tokenizer.from_file(queries.vocabulary_path())
 
 
-def test_tokens_equal_library(tokenizer):
-    encoder = bpe_automaton.Encoder(bpe_automaton.Automaton.load(queries.vocabulary_path()))
+def test_tokens_equal_library(tokenizer, monkeypatch):
+    with open(queries.vocabulary_path(), "rb") as f:
+        encoder = bpe_automaton.encoder_of(f.read())
     rng = random.Random(1)
     alphabet = "aabbttthhe ' 's'll'd're  \n\t\r\x0b\x1c\x85\xa0 é漢字١٢½Ⅷ😀-_!?**0099<|endoftext|>"
     texts = ["".join(rng.choice(alphabet) for _ in range(rng.randrange(60))) for _ in range(1500)]
     texts += ["".join(chr(rng.choice([rng.randrange(32, 0xD800), rng.randrange(0xE000, 0x33000), rng.randrange(32, 0x250)])) for _ in range(40)) for _ in range(1500)]
     texts += ["a" * k for k in range(1, 300, 7)] + ["", "<|endoftext|>", "x<|endoftext|>y <|endoftext|>", "'tis 'S it's we'll''s", " " * 9 + "x", "\n\n x", "-" * 5000]
-    for text, ids in zip(texts, encoder.encode(texts), strict=True):
-        want = tokenizer.encode(text, add_special_tokens=False).ids
+    for text in texts:
+        ids, want = encoder.encode(text), tokenizer.encode(text, add_special_tokens=False).ids
         assert np.frombuffer(ids, "<u4").tolist() == want
-        assert encoder.decode(ids).decode("utf-8", "replace") == tokenizer.decode(want, skip_special_tokens=False)
+        assert encoder.automaton.decode(ids).decode("utf-8", "replace") == tokenizer.decode(want, skip_special_tokens=False)
+    monkeypatch.setattr(bpe_automaton, "MOST_STATES", 37)
+    monkeypatch.setattr(bpe_automaton, "SPLIT", 20)
+    monkeypatch.setattr(bpe_automaton, "CACHE_WORDS", 5)
+    for text in [*texts[:300], *texts[-8:]]:
+        assert np.frombuffer(encoder.encode(text), "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
 
 
 def test_automaton_equals_merging():
@@ -260,7 +396,10 @@ def test_automaton_equals_merging():
         return seq
 
     words = [bytes(w) for n in range(1, 11) for w in itertools.product(b"ab", repeat=n)]
-    assert [list(x) for x in table.words(words)] == [merged(w) for w in words]
+    assert [table.word(w) for w in words] == [merged(w) for w in words]
+    # what a word takes is one look-up a byte: all transitions are in the table by now
+    table._compile = None
+    assert [table.word(w) for w in words] == [merged(w) for w in words]
 
 
 def test_bpe_odd_rows(spark, odd_docs, no_docs, tokenizer):
@@ -283,7 +422,7 @@ def test_chat_windows(spark):
     turns = [(1, 0, "system", "be kind")] + [(1, k, "user" if k % 2 else "assistant", f"turn {k} \\<turn x>\\l " + "y" * (k % 5 * 20)) for k in range(1, 40)]
     turns += [(2, 0, None, None), (2, 0, "assistant", "same"), (2, 0, "assistant", "same"), (None, None, "user", "x"), (3, 1, "assistant", "z" * 3000), (3, 2, "assistant", "")]
     df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
-    made = chat_format.windows(df, budget=100, longest=40, history=2, history_tokens=60)
+    made = chat_format.windows(df, budget=140, longest=40, history=2, history_tokens=60, system=10)
     assert made.where("conv_id = 1").count() > 3
     back = {}
     for r in sorted(chat_format.read_back(made).collect(), key=lambda r: (str(r["conv_id"]), r["window"])):
@@ -298,7 +437,7 @@ def test_chat_windows(spark):
     assert first["text"].startswith("<turn system>be kind</turn>\n") and 1 <= first["n_repeated"] <= 3
     for r in made.where("conv_id = 1").collect():
         fresh = r["text"].split("</turn>\n")[r["n_repeated"] : -1]
-        assert sum((len(chat_format_text(x)) + 3) // 4 for x in fresh) <= 100
+        assert sum(max(1, (len(chat_format_text(x)) + 3) // 4) for x in r["text"].split("</turn>\n")[:-1]) <= 140 and fresh
     assert chat_format.digests(chat_format.windows(df.where("false"))).count() == 0
 
 
@@ -364,6 +503,17 @@ def test_components(spark):
     assert got == {n: c for n, c in root.items() if any(n in e and e[0] != e[1] for e in edges)}
 
 
+def test_one_id_with_different_texts(spark):
+    """Ids 5 and 7 have two texts each: all that any of them is linked with is one component."""
+    t = ["the cat sat on the mat and slept there all day long", "a dog ran over the hill and barked at every passing car", "some birds sang in the tree while it rained on us all", "nothing like the others is said here by anyone at all"]
+    rows = [(3, t[0]), (5, t[0]), (5, t[1]), (9, t[1]), (7, t[2]), (7, None), (8, t[2]), (2, t[3]), (2, t[3]), (None, t[0]), (11, "")]
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 3, 85).collect()
+    assert len(got) == len(rows)
+    assert {r["doc_id"]: r["component_id"] for r in got} == {3: 3, 5: 3, 9: 3, 7: 7, 8: 7, 2: 2, None: None, 11: 11}
+    assert all(r["kept"] == (r["doc_id"] is None or r["doc_id"] == r["component_id"]) for r in got)
+    assert sorted(r["n_shingles"] for r in got if r["doc_id"] == 7) == [0, 10]
+
+
 def test_near_duplicates_odd_rows(spark, odd_docs, no_docs):
     rows = neardup.near_duplicates(odd_docs, 3, 85).collect()
     assert len(rows) == 10 and [r["component_id"] for r in rows if r["doc_id"] in (5, 6)] == [5, 5, 5]
@@ -380,12 +530,31 @@ def brute_repetition(text):
     return len(w), sum(len(x.decode()) for x in w), sum((text or "").count(s) for s in "#*$%&|<>"), sum(n - 1 for n in lines.values()), len(inside)
 
 
+def brute_shares(text):
+    """Characters in words inside duplicated n-grams, for each n, and in lines equal to an earlier one, over all."""
+    words = (text or "").encode().split()
+    size = [len(x.decode()) for x in words]
+    out = []
+    for n in repetition.NGRAM_LIMITS:
+        count = collections.Counter(tuple(words[i : i + n]) for i in range(len(words) - n + 1))
+        inside = {j for i in range(len(words) - n + 1) if count[tuple(words[i : i + n])] > 1 for j in range(i, i + n)}
+        out.append(sum(size[j] for j in inside) / max(1, sum(size)))
+    seen, again = set(), 0
+    for line in (text or "").encode().split(b"\n"):
+        again += sum(len(x.decode()) for x in line.split()) if line in seen else 0
+        seen.add(line)
+    return [*out, again / max(1, sum(size))]
+
+
 def test_repetition(spark, sf, odd_docs, no_docs):
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
     rows = {r["doc_id"]: r for r in queries.op9_repetition(spark, sf).collect()}
     for i, text, _, _ in documents(sf):
         want = brute_repetition(text)
         assert tuple(rows[i][n] for n in names) == want
+        shares = brute_shares(text)
+        assert [rows[i][f"dup_{n}gram_chars"] for n in repetition.NGRAM_LIMITS] + [rows[i]["dup_line_chars"]] == [pytest.approx(s) for s in shares]
+        assert rows[i]["kept"] == (not rows[i]["base_failed"] and all(s <= most for s, most in zip(shares, [*repetition.NGRAM_LIMITS.values(), repetition.LINE_LIMIT], strict=True)))
         assert rows[i]["base_failed"] == (want[0] < 10 or 100 * want[4] > 20 * want[0]) and not (rows[i]["base_failed"] and rows[i]["kept"])
     got = repetition.repetition_rules(odd_docs, prefix="r_").collect()
     assert [tuple(r[f"r_{n}"] for n in names) for r in got] == [brute_repetition(r["text"]) for r in got]
@@ -398,6 +567,29 @@ def test_language(spark, sf, odd_docs, no_docs):
     truth = {i: lang for i, _, lang, _ in documents(sf)}
     held = [r["lang_pred"] == truth[i] for i, r in rows.items() if r["held_out"]]
     assert np.mean(held) > 0.95 and all(r["held_out"] == (zlib.crc32(str(i).encode()) % 4 == 2) for i, r in rows.items())
+    # brute force: letter vectors bound by place, bundled, and compared by cosine
+    names, prototypes = hyperlang.learn(spark.createDataFrame([(x, l) for _, x, l, _ in documents(sf)], "text string, lang string"))
+    letters, vectors = hyperlang.letter_classes(), np.random.default_rng(7).choice(np.array([-1, 1], np.float32), (hyperlang.CLASSES, hyperlang.DIM))
+
+    def bundle(text):
+        codes = [0]
+        for c in text.lower():
+            if letters[ord(c)] or codes[-1]:
+                codes.append(int(letters[ord(c)]))
+        codes += [0] * (codes[-1] != 0)
+        total = np.zeros(hyperlang.DIM)
+        for a, b, c in zip(codes, codes[1:], codes[2:]):  # noqa: B905
+            if b:
+                total += np.roll(vectors[a], 2) * np.roll(vectors[b], 1) * vectors[c]
+        return total / max(np.linalg.norm(total), 1e-12)
+
+    some = [(i, x) for i, x, _, _ in documents(sf) if x][:25]
+    sums = {n: sum(bundle(x) for _, x, l, _ in documents(sf) if l == n) for n in names[:1]}
+    assert all(np.allclose(v / np.linalg.norm(v), prototypes[names.index(n)], atol=1e-4) for n, v in sums.items())
+    got = hyperlang.predict(spark.createDataFrame(some, "doc_id long, text string"), (names, prototypes)).collect()
+    for r, (_, x) in zip(sorted(got), sorted(some), strict=True):
+        cosines = prototypes @ bundle(x)
+        assert r["lang_pred"] == names[int(np.argmax(np.round(cosines, 5)))] and r["score"] == pytest.approx(max(cosines), abs=1e-4)
     model = hyperlang.learn(odd_docs)
     got = hyperlang.predict(odd_docs, model, prefix="p_").collect()
     assert [(r["p_lang_pred"], r["p_score"]) for r in got[:3]] == [("und", 0.0)] * 3 and got[5]["p_lang_pred"] == got[6]["p_lang_pred"]
