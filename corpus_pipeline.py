@@ -6,15 +6,14 @@ run() hands each stage's rows to the next through a Parquet table beside the che
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from glossmill.llm import bpe_automaton, mixing, neardup, quality, queries, runtime, toxicity
 
-SCORE = "__stage_score"
+SCORE, RANK = "__stage_score", "__stage_rank"
 
 
 def _accepted(docs: DataFrame, sf_dir: str, method, label: str, keep) -> DataFrame:
@@ -33,9 +32,15 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def neardup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group, that with the smallest id, stays."""
+    """One document of each group, that with the smallest id, stays; of several rows of that id the one with the first text. Rows with a null id stay."""
     gone = neardup.near_duplicates(docs, size=5, percent=80).where("NOT kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    docs = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    often = docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    if not often.head(1):
+        return docs
+    order = Window.partitionBy("doc_id").orderBy("text", F.xxhash64(*docs.columns))
+    first = docs.join(often, "doc_id", "left_semi").withColumn(RANK, F.row_number().over(order)).where(F.col(RANK) == 1)
+    return docs.join(often, "doc_id", "left_anti").select(*docs.columns).unionByName(first.select(*docs.columns))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,11 +62,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of sf_dir."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="pipeline-")
-    folder = f"{folder}/pipeline-{uuid.uuid4().hex}"
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over the documents of sf_dir. A stage's table is deleted once the next one is written; the last one stays."""
+    folder = f"{runtime.shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
+        if before:
+            path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{before}")
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        runtime.sweep(spark)
+        before = name
     return docs
