@@ -4,30 +4,28 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from glossmill.functions.text import squash
+from glossmill.operators.folding import fold_sorted
 
 
-def pack(sizes: Column, limit: int, items: int = 30) -> Column:
-    """Batch number of each size of an array: a batch closes when the next would pass the limit or the item count.
+def pack_step(limit: int, items: int = 30):
+    """Fold step: a batch closes when the next item would pass the limit or the item count. State: size, count, number."""
 
-    A fold with bounded state; the numbers are collected as differences, one array for the whole group.
-    """
-    start = F.expr("named_struct('n', 0L, 'k', 0, 'c', 0, 'out', CAST(array() AS array<int>))")
+    def step(state: tuple[int, int, int], size: int) -> tuple[tuple[int, int, int], int]:
+        n, k, batch = state
+        if k and (n + size > limit or k >= items):
+            n, k, batch = 0, 0, batch + 1
+        return (n + size, k + 1, batch), batch
 
-    def step(s: Column, x: Column) -> Column:
-        full = (s["k"] > 0) & ((s["n"] + x > limit) | (s["k"] >= items))
-        c = F.when(full, s["c"] + 1).otherwise(s["c"])
-        return F.struct((F.when(full, 0).otherwise(s["n"]) + x).cast("long").alias("n"), (F.when(full, 0).otherwise(s["k"]) + 1).alias("k"), c.alias("c"), F.concat(s["out"], F.array(c)).alias("out"))
-
-    return F.aggregate(sizes, start, step, lambda s: s["out"])
+    return step
 
 
 def pack_batches(rows: DataFrame, group: str, pos: str, size: Column, limit: int, items: int = 30) -> DataFrame:
-    """group, pos, size, batch for each row; order by pos inside each group."""
-    listed = rows.groupBy(group).agg(F.array_sort(F.collect_list(F.struct(F.col(pos).alias("pos"), size.cast("long").alias("size")))).alias("r"))
-    both = listed.select(group, F.explode(F.arrays_zip(F.col("r"), pack(F.col("r.size"), limit, items).alias("batch"))).alias("x"))
-    return both.select(group, F.col("x.r.pos").alias(pos), F.col("x.r.size").alias("size"), F.col("x.batch").alias("batch"))
+    """group, pos, size, batch for each row; order by pos inside each group. A group streams through one task, three numbers of state."""
+    sized = rows.select(group, pos, F.coalesce(size, F.lit(0)).cast("long").alias("size"))
+    return fold_sorted(sized, [group], [pos], ["size"], lambda: (0, 0, 0), pack_step(limit, items), "batch", T.IntegerType())
 
 
 def lanes(chunks: DataFrame, group: str, chunk: str, size: str, n: int) -> DataFrame:

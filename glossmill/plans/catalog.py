@@ -323,13 +323,14 @@ def language_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- jobs, load and history
 @query("""
 WITH e AS (SELECT user_id, event_id, ts, row_number() OVER w AS done, count(*) OVER (PARTITION BY user_id) AS total FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))
-SELECT event_id, max(round(least(100.0 * done / total, 99.0), 1)) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS percent FROM e
+SELECT event_id, CASE WHEN done = total THEN 100.0 WHEN done = 1 THEN 0.0 ELSE max(CASE WHEN done > 1 THEN round(least(100.0 * done / total, 99.0), 1) END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) END AS percent FROM e
 """)
 def progress_percent(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = Window.partitionBy("user_id")
     rows = read(spark, sf_dir, "events").select("user_id", "event_id", F.struct("ts", "event_id").alias("at"))
     rows = rows.withColumn("done", F.row_number().over(w.orderBy("at"))).withColumn("total", F.count("*").over(w))
-    return jobs.percent(rows, "user_id", "at", "done", "total").select("event_id", "percent")
+    rows = rows.withColumn("status", F.when(F.col("done") == F.col("total"), "done").when(F.col("done") == 1, "queued").otherwise("translating"))
+    return jobs.percent(rows, "user_id", "at", "done", "total", "status").select("event_id", "percent")
 
 
 def _samples(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -341,7 +342,8 @@ def _samples(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""
 WITH g AS (SELECT user_id, CAST(floor(epoch(ts)) AS BIGINT) AS s, count(*) AS c FROM events GROUP BY ALL),
 t AS (SELECT user_id, s, sum(c) OVER (PARTITION BY user_id ORDER BY s) AS done, sum(c) OVER (PARTITION BY user_id) AS total FROM g),
-f AS (SELECT *, first_value(s) OVER w AS s0, first_value(done) OVER w AS d0 FROM t WINDOW w AS (PARTITION BY user_id ORDER BY s RANGE BETWEEN 86400 PRECEDING AND CURRENT ROW))
+f0 AS (SELECT *, first_value(s) OVER w AS r0, first_value(done) OVER w AS q0, first_value(s) OVER a AS a0, first_value(done) OVER a AS b0 FROM t WINDOW w AS (PARTITION BY user_id ORDER BY s RANGE BETWEEN 86400 PRECEDING AND CURRENT ROW), a AS (PARTITION BY user_id ORDER BY s ROWS UNBOUNDED PRECEDING)),
+f AS (SELECT *, CASE WHEN r0 = s THEN a0 ELSE r0 END AS s0, CASE WHEN r0 = s THEN b0 ELSE q0 END AS d0 FROM f0)
 SELECT user_id, s, CASE WHEN s - s0 >= 1 AND done > d0 THEN CAST(floor((total - done) * (s - s0) / (done - d0) + 0.5) AS BIGINT) END AS eta_seconds FROM f WHERE s - s0 >= 1 AND done > d0
 """)
 def eta(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -362,9 +364,12 @@ def metrics_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""
 WITH e AS (SELECT user_id, event_type AS text, CASE WHEN value > 50 THEN 'de' ELSE 'fr' END AS target, min(CAST(floor(epoch(ts)) AS BIGINT)) AS s FROM events GROUP BY user_id, ts, event_type, CASE WHEN value > 50 THEN 'de' ELSE 'fr' END),
 u AS (SELECT user_id, s, min(text) AS text, min(target) AS target FROM e GROUP BY user_id, s),
-m AS (SELECT *, CASE WHEN lag(target) OVER w = target AND s - lag(s) OVER w <= 36000 AND (starts_with(text, lag(text) OVER w) OR starts_with(lag(text) OVER w, text)) THEN 0 ELSE 1 END AS new FROM u WINDOW w AS (PARTITION BY user_id ORDER BY s)),
+b AS (SELECT *, lag(text) OVER w AS pt, lag(target) OVER w AS pl, lag(s) OVER w AS ps, lead(s) OVER (PARTITION BY user_id, text, target ORDER BY s) IS NOT NULL AS again FROM u WINDOW w AS (PARTITION BY user_id ORDER BY s)),
+p AS (SELECT *, least(length(text), length(pt)) AS lim, len(list_filter(range(1, least(length(text), length(pt)) + 1), lambda i: left(text, i) = left(pt, i))) AS pre,
+  len(list_filter(range(1, least(length(text), length(pt)) + 1), lambda i: right(text, i) = right(pt, i))) AS suf FROM b),
+m AS (SELECT *, CASE WHEN pl = target AND s - ps <= 36000 AND pre + least(suf, lim - pre) >= 0.8 * lim THEN 0 ELSE 1 END AS new FROM p),
 d AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY s ROWS UNBOUNDED PRECEDING) AS draft FROM m),
-g AS (SELECT user_id, draft, max(s) AS s, max_by(text, s) AS text, max_by(target, s) AS target, count(*) AS edits FROM d GROUP BY user_id, draft),
+g AS (SELECT user_id, draft, max(s) AS s, max_by(text, s) AS text, max_by(target, s) AS target, max_by(again, s) AS again, count(*) AS edits FROM d GROUP BY user_id, draft HAVING NOT max_by(again, s)),
 r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY s DESC) AS rank FROM g)
 SELECT user_id, s, text, target, edits FROM r WHERE rank <= 50
 """)
@@ -378,8 +383,8 @@ def history_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 def retention(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = read(spark, sf_dir, "events")
     last = events.groupBy("user_id").agg(F.max("ts").alias("finished_at"))
-    now = events.agg(F.max("ts")).first()[0]
-    return jobs.expired(last, F.lit(now)).select("user_id")
+    now = events.agg(F.max("ts").alias("now"))  # one row
+    return jobs.expired(last.join(F.broadcast(now)), F.col("now")).select("user_id")
 
 
 @query("""
@@ -391,7 +396,11 @@ def debounced_input(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jobs.debounced(rows, "user_id", "s", 600)
 
 
-@query("SELECT user_id, CAST(floor(epoch(ts)) AS BIGINT) // 7200 AS slot, CAST(max(floor(epoch(ts))) AS BIGINT) AS s FROM events GROUP BY ALL")
+@query("""
+WITH RECURSIVE e AS (SELECT DISTINCT user_id, CAST(floor(epoch(ts)) AS BIGINT) AS s FROM events),
+w AS (SELECT user_id, min(s) AS s FROM e GROUP BY user_id UNION ALL SELECT w.user_id, (SELECT min(e.s) FROM e WHERE e.user_id = w.user_id AND e.s >= w.s + 7200) FROM w WHERE w.s IS NOT NULL)
+SELECT user_id, s FROM w WHERE s IS NOT NULL
+""")
 def throttled_writes(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read(spark, sf_dir, "events").select("user_id", F.unix_timestamp("ts").alias("s"))
     return jobs.throttled(rows, "user_id", "s", 7200)
@@ -419,8 +428,8 @@ def job_moves(spark: SparkSession, sf_dir: str) -> DataFrame:
 def listed_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first hundred ids asked for, each once, in the order asked; the cap is the feature."""
     events = read(spark, sf_dir, "events")
-    least = events.agg(F.min("event_id")).first()[0]
-    ids = events.select(F.col("user_id").alias("job"), (F.col("event_id") - F.lit(least)).alias("pos"))
+    least = events.agg(F.min("event_id").alias("least"))  # one row
+    ids = events.join(F.broadcast(least)).select(F.col("user_id").alias("job"), (F.col("event_id") - F.col("least")).alias("pos"))
     names = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("job"), F.col("c_name").alias("name"))
     return jobs.listed(names, ids).select("job", "pos", "name")
 
@@ -445,9 +454,29 @@ def page_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout.paragraphs(R.LINES.frame(spark)).select("page", "paragraph", "text")
 
 
-@query(f"SELECT page, kind FROM (VALUES (1, 'digital'), (2, 'scan'), (3, 'ocr'), (4, 'empty'), (5, 'mixed')) AS v(page, kind)")
+# a document is a page, its lines are spans: some hidden, some of one letter, some garbage, beside images of several sizes
+LINE_SPANS = """SELECT doc_id, CASE WHEN doc_id % 11 = 3 THEN left(line, 3) WHEN doc_id % 13 = 5 THEN regexp_replace(line, '[a-m]', chr(57344), 'g') ELSE line END AS text, (doc_id + pos) % 3 = 0 OR doc_id % 5 = 0 AS hidden, least(length(line), 30) * 2 AS area FROM l"""
+
+
+@query(rf"""
+WITH a AS (SELECT doc_id, string_split(text, chr(10)) AS a FROM documents), l AS (SELECT doc_id, unnest(a) AS line, generate_subscripts(a, 1) - 1 AS pos FROM a), s AS ({LINE_SPANS}),
+n AS (SELECT *, length(regexp_replace(text, '\s', '', 'g')) AS n, list_transform(regexp_split_to_array(text, '\s+'), lambda t: length(regexp_replace(t, '[^\p{{L}}]', '', 'g'))) AS k FROM s),
+v AS (SELECT doc_id, coalesce(sum(n) FILTER (WHERE NOT hidden), 0) AS vis, coalesce(sum(n) FILTER (WHERE hidden), 0) AS hid, coalesce(sum(area) FILTER (WHERE NOT hidden), 0) AS va, coalesce(sum(list_sum(k)) FILTER (WHERE NOT hidden), 0) AS letters,
+  coalesce(max(list_max(k)) FILTER (WHERE NOT hidden), 0) AS longest, coalesce(sum(length(regexp_replace(text, '[^' || chr(65533) || chr(57344) || '-' || chr(63743) || ']', '', 'g'))) FILTER (WHERE NOT hidden), 0) AS bad FROM n WHERE n > 0 GROUP BY doc_id),
+p AS (SELECT doc_id, 2000.0 AS area, (doc_id % 4) * 500.0 AS img FROM documents),
+j AS (SELECT p.doc_id, area, img / area > 0.5 AS scan, coalesce(vis, 0) AS vis, coalesce(hid, 0) AS hid, coalesce(va, 0) AS va, coalesce(letters, 0) AS letters, coalesce(longest, 0) AS longest, coalesce(bad, 0) AS bad FROM p LEFT JOIN v USING (doc_id))
+SELECT doc_id AS page, CASE WHEN vis = 0 AND hid = 0 THEN CASE WHEN scan THEN 'scanned' ELSE 'empty' END WHEN vis = 0 THEN 'ocr_layer'
+  WHEN vis < 200 AND va < 0.05 * area AND scan AND hid > vis THEN 'ocr_layer'
+  WHEN vis < 200 AND va < 0.05 * area AND scan AND (letters < 20 OR longest <= 3) THEN CASE WHEN hid > 0 THEN 'ocr_layer' ELSE 'scanned' END
+  WHEN bad > 0.2 * vis THEN 'garbled' ELSE 'digital' END AS kind FROM j
+""")
 def page_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return layout.page_kinds(R.SPANS.frame(spark)).select(F.col("page").cast("int").alias("page"), "kind")
+    docs = read(spark, sf_dir, "documents")
+    d, line = F.col("doc_id"), F.col("line")
+    text = F.when(d % 11 == 3, F.left(line, F.lit(3))).when(d % 13 == 5, F.regexp_replace(line, "[a-m]", "\ue000")).otherwise(line)
+    spans = lines_of(docs).select(d.alias("page"), text.alias("text"), (((d + F.col("pos")) % 3 == 0) | (d % 5 == 0)).alias("hidden"), (F.least(F.length("line"), F.lit(30)) * 2).alias("area"))
+    pages = docs.select(d.alias("page"), F.lit(2000.0).alias("area"), ((d % 4) * 500.0).alias("image_area"))
+    return layout.page_kinds(spans, pages)
 
 
 def _boxes(rows: DataFrame, key: str, x: Column, y: Column, w: int, h: int) -> DataFrame:

@@ -98,10 +98,6 @@ LINES = Relation(
     ],
 )
 
-SPANS = Relation(
-    "page long, chars long, hidden boolean, image_area double, page_area double",
-    [(1, 900, False, 0.0, 1000.0), (1, 20, True, 10.0, 1000.0), (2, 0, False, 950.0, 1000.0), (3, 500, True, 990.0, 1000.0), (4, 0, False, 0.0, 1000.0), (5, 300, False, 600.0, 1000.0)],
-)
 
 OLD_TERMS = Relation(
     "pos long, source_lang string, target_lang string, source string, target string",
