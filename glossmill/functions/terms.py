@@ -33,11 +33,24 @@ def pattern(term: Column) -> Column:
     return F.when(needle != "", F.when(kind == "substring", F.concat(F.lit("(?iu)"), quote(needle))).otherwise(word))
 
 
+#: The compatibility forms of full-width signs, letters and digits, ligatures, and the wide space.
+_WIDE = {chr(c + 0xFEE0): chr(c) for c in range(0x21, 0x7F)} | {"\u3000": " ", "\u00a0": " "}
+_LONG = {"ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl", "…": "...", "ß": "ss", "㎏": "kg", "㎜": "mm", "㎝": "cm", "㎞": "km", "℃": "°c", "№": "no"}
+
+
+def report_fold(c: Column) -> Column:
+    """Small letters, compatibility forms as what they stand for: the signs that texts of these languages have of them."""
+    c = F.translate(c, "".join(_WIDE), "".join(_WIDE.values()))
+    for one, several in _LONG.items():
+        c = F.replace(c, F.lit(one), F.lit(several))
+    return F.lower(c)
+
+
 def report_pattern(term: Column) -> Column:
-    """The quality report's looser rule: ASCII borders for ASCII terms, else a substring; case never counts."""
-    needle = squash(term)
-    plain = needle.rlike(r"^[A-Za-z0-9_\- ]+$")
-    return F.when(needle == "", None).otherwise(F.when(plain, F.concat(F.lit("(?iu)(?<![A-Za-z0-9])"), quote(needle), F.lit("(?![A-Za-z0-9])"))).otherwise(F.concat(F.lit("(?iu)"), quote(needle))))
+    """The quality report's looser rule, for folded texts: ASCII borders for ASCII terms, else a substring; case never counts."""
+    needle = F.trim(report_fold(term))
+    plain = needle.rlike(r"^[a-z0-9_\- ]+$")
+    return F.when(needle == "", None).otherwise(F.when(plain, F.concat(F.lit("(?<![a-z0-9])"), quote(needle), F.lit("(?![a-z0-9])"))).otherwise(quote(needle)))
 
 
 def occurs(text: Column, term_pattern: Column) -> Column:

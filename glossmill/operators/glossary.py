@@ -9,8 +9,8 @@ from glossmill.functions import terms
 from glossmill.functions.languages import normalize_code
 from glossmill.functions.text import has_tags, keep_outer_whitespace, squash, strip
 
-#: A glossary up to so many rows is broadcast and tried against each text; a larger one goes by a word first.
-BROADCAST_TERMS = 1000
+#: A glossary up to so many rows is broadcast; a larger one is joined with the texts' tokens, its anchors in so many salts.
+BROADCAST_TERMS, SALTS = 1000, 16
 
 
 def directed(entries: DataFrame, target_lang: str, source_lang: str = "auto") -> DataFrame:
@@ -31,33 +31,59 @@ def _words(c: Column) -> Column:
     return F.transform(F.regexp_extract_all(c, F.lit(f"{terms.WORD}+"), F.lit(0)), _fold)
 
 
-def _anchor(term: Column) -> Column:
-    """The longest word of a term by the pattern's own borders. Any text that holds the term has it among its words, with s or es at the end at most; null if the term has none."""
-    return F.get(F.array_sort(F.transform(_words(term), lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w")))), F.lit(0))["w"]
+def _pairs(c: Column) -> Column:
+    """Every two neighbouring characters, and every one, of a folded text."""
+    return F.concat(F.regexp_extract_all(c, F.lit("(?s)(?=(..))"), F.lit(1)), F.regexp_extract_all(c, F.lit("(?s)."), F.lit(0)))
 
 
-def match_terms(texts: DataFrame, entries: DataFrame, key: str, text: str, number: int | None = None) -> DataFrame:
-    """key, pos, source, target of each entry (pos, source, target) that occurs in each text, with its rank: longest first.
+def tokens(text: Column) -> Column:
+    """All that a term's anchor can be in a squashed text: its words, these without a plural ending, and, where scripts
+    without spaces or signs occur, its neighbouring characters."""
+    words = _words(text)
+    stems = F.concat(words, F.transform(words, lambda w: F.regexp_replace(w, r"(?:ES|S)$", "")), F.transform(words, lambda w: F.regexp_replace(w, r"S$", "")))
+    signs = F.regexp_replace(_fold(text), r"[\p{IsLatin}\p{Nd}_\s]{2,}", " ")  # plain words are covered by the words
+    return F.array_distinct(F.concat(stems, _pairs(F.when(text.rlike(terms.SPACELESS), _fold(text)).otherwise(signs))))
 
-    number: the entries' count, if known. Small glossaries are broadcast. Larger ones are joined first on the words
-    of the texts (and their stems without a plural ending); only terms that stand within words, or have no Latin
-    letter or digit that a word could lead to, are tried against each text.
+
+def anchor(term: Column, mode: Column) -> Column:
+    """A token that any text with the term has: its longest word by the pattern's own borders, or its first two characters."""
+    needle = squash(term)
+    longest = F.get(F.array_sort(F.transform(_words(needle), lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w")))), F.lit(0))["w"]
+    return F.when((mode != "substring") & longest.isNotNull(), longest).otherwise(F.left(_fold(needle), F.lit(2)))
+
+
+def candidates(texts: DataFrame, entries: DataFrame, key: str, found: Column, number: int) -> DataFrame:
+    """texts with each entry (a column anchor, no other of texts' names) whose anchor is among the tokens found in it.
+
+    A small glossary's anchors are one array that each text's tokens are met with, and its rows are broadcast: texts
+    stay where they are. A larger one is joined with the tokens alone, by salted anchors, and each text gets its
+    entries back in one join.
     """
-    entries = entries.select("pos", "source", "target", terms.pattern(F.col("source")).alias("rx"), terms.mode(F.col("source")).alias("mode")).where("rx IS NOT NULL")
-    number = entries.count() if number is None else number
-    rows = texts.select(key, F.col(text).alias("_t"))
-    hits = lambda joined: joined.where(terms.occurs(F.col("_t"), F.col("rx"))).select(key, "pos", "source", "target")
     if number <= BROADCAST_TERMS:
-        found = hits(rows.crossJoin(F.broadcast(entries)))
-    else:
-        anchored = entries.withColumn("_a", _anchor(F.col("source")))
-        words = _words(F.col("_t"))
-        words = F.array_distinct(F.concat(words, F.transform(words, lambda w: F.regexp_replace(w, r"(?:ES|S)$", "")), F.transform(words, lambda w: F.regexp_replace(w, r"S$", ""))))
-        by_word = anchored.where("mode <> 'substring' AND _a IS NOT NULL")
-        pairs = rows.select(key, F.explode(words).alias("_a")).join(by_word, "_a").drop("_a").join(rows, key)
-        others = anchored.where("mode = 'substring' OR _a IS NULL").drop("_a").withColumn("_s", _fold(squash(F.col("source"))))
-        folded = rows.withColumn("_f", _fold(squash(F.col("_t"))))
-        found = hits(pairs).unionByName(hits(folded.join(others, F.contains("_f", "_s")))).distinct()
+        anchors = sorted({r["anchor"] for r in entries.select("anchor").collect()})
+        if not anchors:
+            return texts.join(entries, F.lit(False))
+        met = texts.select("*", F.explode(F.array_intersect(found, F.array(*map(F.lit, anchors)))).alias("_a"))
+        return met.join(F.broadcast(entries), F.col("_a") == F.col("anchor")).drop("_a", "anchor")
+    rows = texts.select(F.col(key).alias("_key"), F.explode(found).alias("_a"), F.pmod(F.xxhash64(key), F.lit(SALTS)).cast("int").alias("_s"))
+    salted = entries.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    fields = [c for c in entries.columns if c != "anchor"]
+    hits = rows.join(salted, (F.col("_a") == F.col("anchor")) & (F.col("_s") == F.col("_salt")))
+    own = hits.groupBy("_key").agg(F.collect_set(F.struct(*fields)).alias("_e"))
+    return texts.join(own, F.col(key) == F.col("_key")).select(*texts.columns, F.explode("_e").alias("_e")).select(*texts.columns, "_e.*")
+
+
+def match_terms(texts: DataFrame, entries: DataFrame, key: str, text: str, number: int | None = None, carry: list[str] | None = None) -> DataFrame:
+    """key, carry, pos, source, target of each entry (pos, source, target) that occurs in each text, with its rank: longest first.
+
+    number: the entries' count, if known. Only entries whose anchor is in a text are tried against it.
+    """
+    entries = entries.select("pos", "source", "target", terms.pattern(F.col("source")).alias("rx"), anchor(F.col("source"), terms.mode(F.col("source"))).alias("anchor")).where("rx IS NOT NULL")
+    number = entries.count() if number is None else number
+    names = [key, *(carry or [])]
+    rows = texts.where(F.col(text).isNotNull()).select(*names, squash(F.col(text)).alias("_t"))
+    tried = candidates(rows, entries, key, tokens(F.col("_t")), number)
+    found = tried.where(F.regexp_like("_t", F.col("rx"))).select(*names, "pos", "source", "target")
     return found.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy(F.length("source").desc(), "pos")))
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from glossmill.functions import numbers, scripts, tags, terms
 from glossmill.functions import text as X
+from glossmill.operators import glossary
 
 UNTOUCHED, NUMBERS, TERM, TAGS = "untranslated", "missing numbers: ", "term not applied: ", "inline tags differ"
 MOST_SHOWN, MOST_ISSUES = 6, 5
@@ -28,8 +29,18 @@ def report_items(pairs: DataFrame, entries: DataFrame | None, source_lang: str,
     shown = F.concat(F.lit(NUMBERS), F.array_join(F.slice("miss", 1, MOST_SHOWN), ", "), F.when(F.size("miss") > MOST_SHOWN, " …").otherwise(""))
     rows = rows.withColumn("miss", F.when(s != t, miss))
     if entries is not None:
-        used = entries.select(terms.report_pattern(F.col("source")).alias("rs"), terms.report_pattern(F.col("target")).alias("rt"), F.col("pos").alias("e"), F.concat(F.lit(TERM), "source", F.lit(" → "), "target").alias("i"))
-        lost = rows.join(F.broadcast(used), F.regexp_like("s", F.col("rs")) & ~F.coalesce(F.regexp_like("t", F.col("rt")), F.lit(False))).groupBy("pos").agg(F.array_sort(F.collect_list(F.struct("e", "i"))).alias("lost"))
+        # terms are looked up by a token that any text with the term has, whatever the glossary's size
+        folded = F.trim(terms.report_fold(F.col("source")))
+        used = entries.select(folded.alias("anchor"), terms.report_pattern(F.col("source")).alias("rs"), terms.report_pattern(F.col("target")).alias("rt"), F.col("pos").alias("e"), F.concat(F.lit(TERM), "source", F.lit(" → "), "target").alias("i"))
+        # an ASCII term stands between ASCII borders, so its first word is a word of the text; another has a sign that is no ASCII word's
+        word, other = F.lit("[a-z0-9]+"), F.lit(r"[^a-z0-9_\- ]")
+        plain_anchor = F.coalesce(F.get(F.regexp_extract_all("anchor", word, F.lit(0)), F.lit(0)), F.left("anchor", F.lit(1)))
+        used = used.where("rs IS NOT NULL").withColumn("anchor", F.coalesce(F.get(F.regexp_extract_all("anchor", other, F.lit(0)), F.lit(0)), plain_anchor))
+        plain = terms.report_fold(F.col("s"))
+        found = F.array_distinct(F.concat(F.regexp_extract_all(plain, word, F.lit(0)), F.regexp_extract_all(plain, F.lit("(?s)[^a-z0-9]"), F.lit(0))))
+        tried = glossary.candidates(rows.select("pos", "s", "t"), used, "pos", found, used.count())
+        lost = tried.where(F.regexp_like(terms.report_fold(F.col("s")), F.col("rs")) & ~F.coalesce(F.regexp_like(terms.report_fold(F.col("t")), F.col("rt")), F.lit(False)))
+        lost = lost.groupBy("pos").agg(F.array_sort(F.collect_set(F.struct("e", "i"))).alias("lost"))
         rows = rows.join(lost, "pos", "left")
         missed = F.transform(F.coalesce("lost", F.expr("CAST(array() AS array<struct<e:bigint,i:string>>)")), lambda x: x["i"])
     else:

@@ -156,8 +156,8 @@ terms AS (SELECT *, CASE WHEN mode = 'acronym' THEN '' ELSE '(?i)' END || '(^|{B
 @query(f"WITH {HITS}, t AS (SELECT lang, {sql_squash('text')} AS x FROM documents) SELECT lang, source, target, count(*) AS n FROM t JOIN terms ON regexp_matches(x, rx) GROUP BY ALL")
 def glossary_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "lang", "text")
-    found = glossary.match_terms(docs, glossary.directed(R.TERMS.frame(spark), "de"), "doc_id", "text")
-    return found.join(docs.select("doc_id", "lang"), "doc_id").groupBy("lang", "source", "target").agg(F.count("*").alias("n"))
+    found = glossary.match_terms(docs, glossary.directed(R.TERMS.frame(spark), "de"), "doc_id", "text", carry=["lang"])
+    return found.groupBy("lang", "source", "target").agg(F.count("*").alias("n"))
 
 
 @query(f"WITH {HITS}, t AS (SELECT conv_id * 1000 + turn AS k, {sql_squash('text')} AS x FROM conversations), h AS (SELECT k, source, row_number() OVER (PARTITION BY k ORDER BY length(source) DESC, pos) AS rank FROM t JOIN terms ON regexp_matches(x, rx)) SELECT k, source, rank FROM h")
@@ -169,7 +169,7 @@ def glossary_hits_per_unit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {HITS}, t AS (SELECT conv_id * 1000 + turn AS k, {sql_squash('text')} AS x FROM conversations) SELECT source, count(*) AS n FROM t JOIN terms ON regexp_matches(x, rx) GROUP BY source")
 def glossary_hits_large(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As for a glossary too large to broadcast: joined by words first."""
+    """As for a glossary too large to broadcast: joined by salted anchors."""
     turns = read(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("k"), "text")
     found = glossary.match_terms(turns, glossary.directed(R.TERMS.frame(spark), "de"), "k", "text", number=glossary.BROADCAST_TERMS + 1)
     return found.groupBy("source").agg(F.count("*").alias("n"))

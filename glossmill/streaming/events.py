@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from glossmill.operators.lineage import shared_folder
+
 CHUNK = T.StructType(
     [T.StructField("choices", T.ArrayType(T.StructType([T.StructField("delta", T.StructType([T.StructField("content", T.StringType())])), T.StructField("finish_reason", T.StringType())])))]
 )
@@ -36,10 +38,17 @@ def request_state(events: DataFrame) -> DataFrame:
 
 
 def _finished(stream: DataFrame, mode: str) -> DataFrame:
-    """All that a bounded stream gives, through a memory table of its own."""
-    name = f"stream_{uuid.uuid4().hex}"
-    stream.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start().awaitTermination()
-    return stream.sparkSession.table(name)
+    """All that a bounded stream gives. In complete mode each batch is the whole result: the last one is read back from
+    the shared folder; else all batches are. Nothing is held by the driver."""
+    folder = f"{shared_folder(stream.sparkSession)}/stream-{uuid.uuid4().hex}"
+    written: list[str] = []
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/batch-{number}")
+        written.append(f"{folder}/batch-{number}")
+
+    stream.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/state").foreachBatch(keep).trigger(availableNow=True).start().awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(*(written[-1:] if mode == "complete" else written))
 
 
 def hourly(events: DataFrame, late: str = "1 hour") -> DataFrame:

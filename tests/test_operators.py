@@ -1,5 +1,6 @@
 from pyspark.sql import functions as F
 
+from glossmill.functions import terms
 from glossmill.operators import glossary, model
 
 
@@ -12,6 +13,8 @@ def test_large_glossary_equals_small(spark):
     small, large = ({tuple(r) for r in glossary.match_terms(texts, entries, "k", "text", number=n).collect()} for n in (1, glossary.BROADCAST_TERMS + 1))
     assert {(0, 0), (1, 1), (1, 2), (7, 6), (8, 6), (9, 8)} <= {(r[0], r[1]) for r in small}
     assert large == small
+    brute = texts.crossJoin(entries.withColumn("rx", terms.pattern(F.col("source")))).where(terms.occurs(F.col("text"), F.col("rx"))).select("k", "pos").collect()
+    assert {(r[0], r[1]) for r in small} == {tuple(r) for r in brute}
 
 
 def test_halving_ends_at_single_items(spark):
