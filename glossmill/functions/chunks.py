@@ -49,6 +49,41 @@ def paragraph_chunks(text: str, most: int) -> list[tuple[str, bool]]:
     return [(t, newline and i > 0) for i, (t, newline) in enumerate(out) if t]
 
 
+def packed_units(text: str, most: int) -> list[str]:
+    """The older packing: paragraphs together, blank lines between, as long as they fit; a longer paragraph by its sentences, one sentence alone anywhere."""
+    text = re.sub(r"\n{3,}", "\n\n", re.sub(r"\r\n?", "\n", text)).strip()
+    pieces: list[str] = []
+    for paragraph in filter(None, (p.strip() for p in text.split("\n\n"))):
+        sentences = [s.strip() for s in re.split(r"(?<=[.!?。！？])\s+|\n+", paragraph) if s.strip()]
+        if len(paragraph) <= most:
+            pieces.append(paragraph)
+        elif len(sentences) < 2:
+            pieces += (paragraph[i : i + most] for i in range(0, len(paragraph), most))
+        else:
+            pieces += _packed(sentences, most, " ")
+    return _packed(pieces, most, "\n\n")
+
+
+def _packed(parts: list[str], most: int, joiner: str) -> list[str]:
+    out: list[str] = []
+    for part in parts:
+        if out and len(out[-1]) + len(joiner) + len(part) <= most:
+            out[-1] += joiner + part
+        else:
+            out.append(part)
+    return out
+
+
+def pack_paragraphs(c: Column, max_chars: int) -> Column:
+    """Array of packed units."""
+
+    @F.pandas_udf("array<string>")
+    def pack(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: [] if t is None else packed_units(t, max_chars))
+
+    return pack(c)
+
+
 def units_of(text: str, most: int) -> list[dict]:
     text = re.sub(r"\n{3,}", "\n\n", re.sub(r"\r\n?", "\n", text))
     out, number = [], 0

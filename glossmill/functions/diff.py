@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 OPS = "array<struct<op:string,text:string>>"
 #: Cells of the table; a larger middle part is one removal and one addition.
 MOST_CELLS = 4_000_000
-_TOKEN = re.compile(r"[぀-ヿ㐀-鿿가-힣]|[^\W_]+|\s+|.", re.S)
+_TOKEN = re.compile(r"[ᄀ-ᇿ㄰-㆏぀-ヿ㐀-䶿一-鿿가-힣豈-﫿]|(?:(?![ᄀ-ᇿ㄰-㆏぀-ヿ㐀-䶿一-鿿가-힣豈-﫿])\w)+|\s+|.", re.S)
 
 
 def word_diff(a: str, b: str) -> list[dict]:

@@ -17,12 +17,30 @@ FORMALITY = {"ko": ["auto", "formal", "informal", "plain", "gaejoshik"], "ja": [
 DEFAULT_FORMALITY = ["auto", "formal", "informal"]
 # Extension, output extension, family, whether a bilingual output exists.
 FORMATS = (
-    (".txt", ".txt", "text", True), (".md", ".md", "markdown", True), (".markdown", ".md", "markdown", True), (".srt", ".srt", "subtitles", False),
-    (".vtt", ".vtt", "subtitles", False), (".html", ".html", "html", False), (".htm", ".html", "html", False), (".docx", ".docx", "office", True),
-    (".pptx", ".pptx", "office", False), (".xlsx", ".xlsx", "office", False), (".hwpx", ".hwpx", "office", False),
+    (".txt", ".txt", "text", True), (".md", ".md", "markdown", True), (".srt", ".srt", "subtitles", False),
+    (".vtt", ".vtt", "subtitles", False), (".html", ".html", "html", False), (".htm", ".htm", "html", False), (".docx", ".docx", "office", True),
+    (".pptx", ".pptx", "office", False), (".xlsx", ".xlsx", "office", False), (".hwpx", ".hwpx", "office", True),
+    (".hwp", ".docx", "hwp", True), (".pdf", ".pdf", "pdf", False), (".png", ".docx", "image", False), (".jpg", ".docx", "image", False), (".jpeg", ".docx", "image", False), (".webp", ".docx", "image", False),
 )
 
 
+# Extensions that are turned away, and what to save as instead.
+REJECTED = {
+    **dict.fromkeys(("doc", "dot", "dotx", "docm", "rtf", "odt"), "docx"), **dict.fromkeys(("ppt", "pps", "ppsx", "pptm", "odp"), "pptx"), **dict.fromkeys(("xls", "xlsm", "xlsb", "ods", "csv"), "xlsx"),
+    **dict.fromkeys(("hwt", "hwtx", "hml"), "hwpx"), **dict.fromkeys(("gif", "bmp", "heic"), "png"), **dict.fromkeys(("tif", "tiff"), "pdf"),
+}
+
+
+def dispatched(files: DataFrame, name: str, vision: bool = True) -> DataFrame:
+    """files with ext, family and hint: the reader of a file by its extension, or what to do about one that has none."""
+    ext = F.lower(F.regexp_extract(name, r"(\.[^./\\]*)$", 1))
+    kinds = F.create_map(*(F.lit(x) for e, _, family, _ in FORMATS if vision or family != "image" for x in (e, family)))
+    better = F.create_map(*(F.lit(x) for e, to in REJECTED.items() for x in (f".{e}", f"save as .{to}")))
+    rows = files.withColumn("ext", ext).withColumn("family", F.try_element_at(kinds, F.col("ext")))
+    known = "supported: " + ", ".join(e for e, _, family, _ in FORMATS if vision or family != "image")
+    return rows.withColumn("hint", F.when(F.col("family").isNull(), F.coalesce(F.try_element_at(better, F.col("ext")), F.lit(known))))
+
+
 def language_table(spark: SparkSession) -> DataFrame:
     rows = [(c, c in FAVOURITES, FORMALITY.get(c, DEFAULT_FORMALITY)) for c in CODES]
     return spark.createDataFrame(rows, "code string, favourite boolean, formality array<string>")

@@ -10,7 +10,7 @@ from functools import lru_cache
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from glossmill.functions.text import let
+from glossmill.functions.text import let, strip
 
 HANGUL = r"[ᄀ-ᇿ㄰-㆏가-힯]"
 KANA = r"[぀-ヿㇰ-ㇿｦ-ﾝ]"
@@ -90,6 +90,31 @@ def _summary(languages: Column) -> Column:
     return let(mode, lambda m: F.struct(m.alias("mode"), F.when(m == "single", top["code"]).alias("primary_language"), languages.alias("languages")))
 
 
+def detection_units(c: Column) -> Column:
+    """Sentences and paragraphs of eight characters or more; the whole text if there is none."""
+    parts = F.transform(F.split(strip(c), r"(?U)\n{2,}|(?<=[.!?。！？])\s+"), strip)
+    long = F.filter(parts, lambda x: F.length(x) >= 8)
+    return F.when(F.size(long) > 0, long).otherwise(F.array(strip(c)))
+
+
+def unit_evidence(unit: Column) -> Column:
+    """struct<ko, ja, han, rest, length> of a unit: counts of its Asian characters, and what is left for a detector of other languages, punctuation and digits as one space."""
+    asian = "[" + "".join(p[1:-1] for p in (HANGUL, KANA, HAN)) + "]"
+    bare = F.regexp_replace(unit, asian, "")
+    rest = strip(F.regexp_replace(bare, rf"(?U){IGNORED}+", " "))
+    return F.struct(count(unit, HANGUL).alias("ko"), count(unit, KANA).alias("ja"), count(unit, HAN).alias("han"), rest.alias("rest"), F.length(F.regexp_replace(bare, rf"(?U){IGNORED}", "")).alias("length"))
+
+
+def detect_by_units(rows: DataFrame, key: str, text: str, detector) -> DataFrame:
+    """key, code, n: language counts by units. detector: the Column of a unit's rest to array<struct<code, p>>; each
+    language gets the unit's other characters by its probability."""
+    units = rows.select(key, F.explode(detection_units(F.col(text))).alias("u")).withColumn("e", unit_evidence(F.col("u")))
+    guesses = units.where("e.length >= 4").select(key, "e", F.explode(detector(F.col("e.rest"))).alias("g"), F.aggregate(detector(F.col("e.rest")), F.lit(0.0), lambda a, x: a + x["p"]).alias("all"))
+    latin = guesses.where("all > 0 AND g.p > 0").select(key, F.col("g.code").alias("code"), (F.col("e.length") * F.col("g.p") / F.col("all")).alias("n"))
+    asian = units.select(key, F.explode(F.array(*(F.struct(F.lit(x).alias("code"), F.col(f"e.{x}").cast("double").alias("n")) for x in ("ko", "ja", "han")))).alias("x")).select(key, "x.*")
+    return latin.unionByName(asian.where("n > 0")).groupBy(key, "code").agg(F.sum("n").alias("n"))
+
+
 def given_language(c: Column, code: Column) -> Column:
     """The summary for a language that was chosen."""
     n = F.length(F.regexp_replace(c, r"(?U)\s", "")).cast("long")

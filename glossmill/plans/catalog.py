@@ -12,6 +12,7 @@ from glossmill.functions import text as X
 from glossmill.functions.chunks import join_units, split_units
 from glossmill.operators import glossary, jobs, layout, model, packing, report
 from glossmill.plans import fixtures as R
+from glossmill.plans.shipping import ship
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -29,6 +30,7 @@ def query(sql: str | None = None):
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
