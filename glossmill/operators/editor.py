@@ -30,7 +30,7 @@ def draft_entries(texts: DataFrame, entries: DataFrame, key: str, text: str) ->
     from glossmill.operators import glossary
 
     fold = lambda c: F.lower(F.regexp_replace(c, r"(?U)\s+", " "))
-    own = entries.where("enabled").select("pos", fold(F.col("source")).alias("needle")).where("needle <> ''").withColumn("anchor", F.left("needle", F.lit(2)))
+    own = entries.where("enabled").select("pos", fold(F.col("source")).alias("needle")).where("needle <> ''").withColumn("anchors", F.array(F.left("needle", F.lit(2))))
     rows = texts.where(F.col(text).isNotNull()).select(key, fold(F.col(text)).alias("_t"))
     pairs = F.array_distinct(F.concat(F.regexp_extract_all("_t", F.lit("(?s)(?=(..))"), F.lit(1)), F.regexp_extract_all("_t", F.lit("(?s)."), F.lit(0))))
     return glossary.candidates(rows, own, key, pairs, own.count()).where(F.contains("_t", F.col("needle"))).select(key, "pos")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from glossmill.functions import terms
 from glossmill.functions.languages import normalize_code
@@ -26,48 +27,50 @@ def _fold(c: Column) -> Column:
     return F.upper(F.translate(c, "İKÅΩẞϴ", "ikåωßθ"))
 
 
-def _words(c: Column) -> Column:
-    """The runs between the borders that terms.pattern knows, folded."""
-    return F.transform(F.regexp_extract_all(c, F.lit(f"{terms.WORD}+"), F.lit(0)), _fold)
+def _words(folded: Column) -> Column:
+    """The runs between the borders that terms.pattern knows."""
+    return F.regexp_extract_all(folded, F.lit(f"{terms.WORD}+"), F.lit(0))
 
 
-def _pairs(c: Column) -> Column:
-    """Every two neighbouring characters, and every one, of a folded text."""
-    return F.concat(F.regexp_extract_all(c, F.lit("(?s)(?=(..))"), F.lit(1)), F.regexp_extract_all(c, F.lit("(?s)."), F.lit(0)))
+def _pairs(folded: Column) -> Column:
+    """Every two neighbouring characters, and every one."""
+    return F.concat(F.regexp_extract_all(folded, F.lit("(?s)(?=(..))"), F.lit(1)), F.regexp_extract_all(folded, F.lit("(?s)."), F.lit(0)))
 
 
-def tokens(text: Column) -> Column:
-    """All that a term's anchor can be in a squashed text: its words, these without a plural ending, and, where scripts
-    without spaces or signs occur, its neighbouring characters."""
-    words = _words(text)
-    stems = F.concat(words, F.transform(words, lambda w: F.regexp_replace(w, r"(?:ES|S)$", "")), F.transform(words, lambda w: F.regexp_replace(w, r"S$", "")))
-    signs = F.regexp_replace(_fold(text), r"[\p{IsLatin}\p{Nd}_\s]{2,}", " ")  # plain words are covered by the words
-    return F.array_distinct(F.concat(stems, _pairs(F.when(text.rlike(terms.SPACELESS), _fold(text)).otherwise(signs))))
-
-
-def anchor(term: Column, mode: Column) -> Column:
-    """A token that any text with the term has: its longest word by the pattern's own borders, or its first two characters."""
-    needle = squash(term)
+def anchors(term: Column, mode: Column) -> Column:
+    """struct<by_pairs, anchors>: what any text with the term has one of: its longest word by the pattern's own borders,
+    with the plural endings that the pattern allows; or, for a term that may stand inside a word or has none, its first
+    two characters."""
+    needle = _fold(squash(term))
     longest = F.get(F.array_sort(F.transform(_words(needle), lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w")))), F.lit(0))["w"]
-    return F.when((mode != "substring") & longest.isNotNull(), longest).otherwise(F.left(_fold(needle), F.lit(2)))
+    by_word = (mode != "substring") & longest.isNotNull()
+    forms = F.when(by_word, F.array(longest, F.concat(longest, F.lit("S")), F.concat(longest, F.lit("ES")))).otherwise(F.array(F.left(needle, F.lit(2))))
+    return F.struct((~by_word).alias("by_pairs"), forms.alias("anchors"))
 
 
 def candidates(texts: DataFrame, entries: DataFrame, key: str, found: Column, number: int) -> DataFrame:
-    """texts with each entry (a column anchor, no other of texts' names) whose anchor is among the tokens found in it.
+    """texts with each entry once that has one of its anchors (a column of arrays) among the tokens found in the text.
 
     A small glossary's anchors are one array that each text's tokens are met with, and its rows are broadcast: texts
     stay where they are. A larger one is joined with the tokens alone, by salted anchors, and each text gets its
     entries back in one join.
     """
+    fields = [c for c in entries.columns if c != "anchors"]
     if number <= BROADCAST_TERMS:
-        anchors = sorted({r["anchor"] for r in entries.select("anchor").collect()})
-        if not anchors:
-            return texts.join(entries, F.lit(False))
-        met = texts.select("*", F.explode(F.array_intersect(found, F.array(*map(F.lit, anchors)))).alias("_a"))
-        return met.join(F.broadcast(entries), F.col("_a") == F.col("anchor")).drop("_a", "anchor")
-    rows = texts.select(F.col(key).alias("_key"), F.explode(found).alias("_a"), F.pmod(F.xxhash64(key), F.lit(SALTS)).cast("int").alias("_s"))
-    salted = entries.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    fields = [c for c in entries.columns if c != "anchor"]
+        rows = entries.collect()
+        places: dict[str, list[int]] = {}
+        for n, r in enumerate(rows):
+            for a in r["anchors"]:
+                places.setdefault(a, []).append(n)
+        if not places:
+            return texts.join(entries.drop("anchors"), F.lit(False))
+        named = entries.sparkSession.createDataFrame([(n, *(r[c] for c in fields)) for n, r in enumerate(rows)], T.StructType([T.StructField("_n", T.IntegerType()), *(entries.schema[c] for c in fields)]))
+        of = F.create_map(*(F.lit(x) for a, numbers in places.items() for x in (a, numbers)))
+        met = F.array_intersect(found, F.array(*map(F.lit, places)))
+        tried = texts.select("*", F.explode(F.array_distinct(F.flatten(F.transform(met, lambda a: F.try_element_at(of, a))))).alias("_n"))
+        return tried.join(F.broadcast(named), "_n").drop("_n")
+    rows = texts.select(F.col(key).alias("_key"), F.explode(F.array_distinct(found)).alias("_a"), F.pmod(F.xxhash64(key), F.lit(SALTS)).cast("int").alias("_s"))
+    salted = entries.select(*fields, F.explode("anchors").alias("anchor")).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     hits = rows.join(salted, (F.col("_a") == F.col("anchor")) & (F.col("_s") == F.col("_salt")))
     own = hits.groupBy("_key").agg(F.collect_set(F.struct(*fields)).alias("_e"))
     return texts.join(own, F.col(key) == F.col("_key")).select(*texts.columns, F.explode("_e").alias("_e")).select(*texts.columns, "_e.*")
@@ -78,11 +81,16 @@ def match_terms(texts: DataFrame, entries: DataFrame, key: str, text: str, numbe
 
     number: the entries' count, if known. Only entries whose anchor is in a text are tried against it.
     """
-    entries = entries.select("pos", "source", "target", terms.pattern(F.col("source")).alias("rx"), anchor(F.col("source"), terms.mode(F.col("source"))).alias("anchor")).where("rx IS NOT NULL")
+    entries = entries.select("pos", "source", "target", terms.pattern(F.col("source")).alias("rx"), anchors(F.col("source"), terms.mode(F.col("source"))).alias("a")).where("rx IS NOT NULL")
     number = entries.count() if number is None else number
+    by_pairs = bool(entries.where("a.by_pairs").head(1))
+    entries = entries.select("pos", "source", "target", "rx", "a.anchors")
     names = [key, *(carry or [])]
-    rows = texts.where(F.col(text).isNotNull()).select(*names, squash(F.col(text)).alias("_t"))
-    tried = candidates(rows, entries, key, tokens(F.col("_t")), number)
+    rows = texts.where(F.col(text).isNotNull()).select(*names, squash(F.col(text)).alias("_t")).withColumn("_f", _fold(F.col("_t")))
+    found = _words(F.col("_f"))
+    if by_pairs:
+        found = F.concat(found, _pairs(F.col("_f")))
+    tried = candidates(rows, entries, key, found, number)
     found = tried.where(F.regexp_like("_t", F.col("rx"))).select(*names, "pos", "source", "target")
     return found.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy(F.length("source").desc(), "pos")))
 

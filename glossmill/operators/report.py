@@ -35,7 +35,7 @@ def report_items(pairs: DataFrame, entries: DataFrame | None, source_lang: str,
         # an ASCII term stands between ASCII borders, so its first word is a word of the text; another has a sign that is no ASCII word's
         word, other = F.lit("[a-z0-9]+"), F.lit(r"[^a-z0-9_\- ]")
         plain_anchor = F.coalesce(F.get(F.regexp_extract_all("anchor", word, F.lit(0)), F.lit(0)), F.left("anchor", F.lit(1)))
-        used = used.where("rs IS NOT NULL").withColumn("anchor", F.coalesce(F.get(F.regexp_extract_all("anchor", other, F.lit(0)), F.lit(0)), plain_anchor))
+        used = used.where("rs IS NOT NULL").withColumn("anchors", F.array(F.coalesce(F.get(F.regexp_extract_all("anchor", other, F.lit(0)), F.lit(0)), plain_anchor))).drop("anchor")
         plain = terms.report_fold(F.col("s"))
         found = F.array_distinct(F.concat(F.regexp_extract_all(plain, word, F.lit(0)), F.regexp_extract_all(plain, F.lit("(?s)[^a-z0-9]"), F.lit(0))))
         tried = glossary.candidates(rows.select("pos", "s", "t"), used, "pos", found, used.count())
