@@ -37,7 +37,7 @@ from pyspark.sql import types as T
 from glossmill.llm import runtime
 
 #: States of a compiled byte automaton, and words whose tokens a task keeps; past it the table starts anew.
-MOST_STATES, CACHE_WORDS = 200_000, 200_000
+MOST_STATES, CACHE_WORDS = 120_000, 150_000
 #: Longer words are not kept.
 CACHE_LENGTH = 64
 #: Code points of a text that are split into words at a time.
@@ -69,7 +69,10 @@ def code_point_classes(tokenizer: str | None = None) -> np.ndarray:
         import regex
         from tokenizers import Tokenizer
 
-        split = Tokenizer.from_str(tokenizer).pre_tokenizer
+        data = json.loads(tokenizer)
+        data["model"] |= {"vocab": {}, "merges": []}  # the pre-tokenizer alone is asked
+        data |= {"added_tokens": [], "post_processor": None, "decoder": None}
+        split = Tokenizer.from_str(json.dumps(data)).pre_tokenizer
         newer = regex.compile(r"[\p{L}\p{N}]")
         for i in np.flatnonzero(fresh).tolist():
             if newer.match(chr(i)):
