@@ -5,6 +5,7 @@ from __future__ import annotations
 import gc
 import os
 import tempfile
+import uuid
 import zipfile
 from collections.abc import Callable, Iterator
 
@@ -61,6 +62,23 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame, written: list[str] | None = None) -> DataFrame:
+    """df as a compressed table in the shared folder; its path is added to written, for drop() once nothing reads it any more."""
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    if written is not None:
+        written.append(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def drop(spark: SparkSession, written: list[str]) -> None:
+    """Deletes tables that stored() wrote."""
+    for path in written:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+    written.clear()
+
+
 def sweep(spark: SparkSession) -> None:
     """Lets Spark delete shuffle files and checkpoints that nothing refers to any more; else they stay until the
     driver happens to collect its garbage, and an iteration's leftovers pile up on the disks."""

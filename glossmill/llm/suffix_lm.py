@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from glossmill.llm import runtime, textvec
-from glossmill.llm.runtime import checkpoint
+from glossmill.llm.runtime import stored
 from glossmill.llm.textvec import U
 
 DEPTH, LEAST, PULL = 6, 8, 4.0
@@ -117,7 +117,7 @@ def _count(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n"))
 
 
-def _contexts(counts: DataFrame, total: int) -> DataFrame:
+def _contexts(counts: DataFrame, total: int, written: list[str] | None = None) -> DataFrame:
     """len, ctx, t, nodes of all retained contexts: total, and the count of each next symbol (times 256, plus the symbol). The root is of length 0."""
     size = F.explode(F.sequence(F.lit(0), F.lit(DEPTH))).alias("len")
     bits = lambda n: F.expr(f"shiftleft(1L, cast(8 * ({n}) AS int)) - 1")
@@ -125,7 +125,7 @@ def _contexts(counts: DataFrame, total: int) -> DataFrame:
     each = each.groupBy("len", F.col("key").bitwiseAND(bits("len + 1")).alias("k")).agg(F.sum("n").alias("n"))
     node = F.shiftleft("n", 8).bitwiseOR(F.col("k").bitwiseAND(F.lit(255)))
     frequent = each.groupBy("len", F.shiftright("k", 8).alias("ctx")).agg(F.sum("n").alias("t"), F.collect_list(node).alias("nodes"))
-    frequent = checkpoint(frequent.where((F.col("t") >= LEAST) | (F.col("len") == 0)))
+    frequent = stored(frequent.where((F.col("t") >= LEAST) | (F.col("len") == 0)), written)
     runtime.sweep(counts.sparkSession)
     flat = frequent.select("len", "ctx", "t", F.size("nodes").alias("v"), F.explode("nodes").alias("node"))
     flat = flat.select("len", "ctx", "t", "v", F.col("node").bitwiseAND(F.lit(255)).alias("sym"), F.shiftright("node", 8).alias("n"))
@@ -183,16 +183,18 @@ def score(docs: DataFrame, train) -> DataFrame:
     spark = docs.sparkSession
     runtime.prepare(spark)
     docs = docs.select("doc_id", "text", F.coalesce(train, F.lit(False)).alias("learned"))
-    counts = checkpoint(_count(docs.where("learned").select("text")))
+    written: list[str] = []
+    counts = stored(_count(docs.where("learned").select("text")), written)
     runtime.sweep(spark)
     of = {r["kind"]: r for r in counts.groupBy("kind").agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect()}
     texts = of[TEXT]["n"] if TEXT in of else 0
     total = (of[WORD]["n"] if WORD in of else 0) + texts
     distinct = (of[WORD]["v"] if WORD in of else 0) + (1 if texts else 0)
     total_symbols = of[WINDOW]["n"] if WINDOW in of else 0
-    tree = checkpoint(_contexts(counts, total_symbols).select((F.col("len") + CONTEXT).cast("int").alias("kind"), F.col("ctx").alias("key"), F.col("t").alias("n"), "nodes"))
+    tree = _contexts(counts, total_symbols, written).select((F.col("len") + CONTEXT).cast("int").alias("kind"), F.col("ctx").alias("key"), F.col("t").alias("n"), "nodes")
+    learned = stored(counts.where(F.col("kind") == WORD).select("kind", "key", "n", F.lit(None).cast("array<bigint>").alias("nodes")).unionByName(tree))
+    runtime.drop(spark, written)  # all that goes on is the words and the retained contexts
     runtime.sweep(spark)
-    learned = counts.where(F.col("kind") == WORD).select("kind", "key", "n", F.lit(None).cast("array<bigint>").alias("nodes")).unionByName(tree)
 
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, math.ceil(size / BLOCK_BYTES))
