@@ -18,6 +18,7 @@ without training rows the base counts are 0 and the tree is uniform.
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +34,8 @@ SYMBOLS, END = 257, 10
 ADD = 0.1
 #: Bytes of text in a block.
 BLOCK_BYTES = 8 << 20
+#: Blocks are joined and scored in so many turns, each of which leaves the disks before the next.
+TURNS = 4
 #: Places whose windows are held at once.
 PLACES = 1 << 20
 #: Kinds of counts; a context's kind is CONTEXT and its length.
@@ -40,7 +43,7 @@ WORD, WINDOW, TEXT, CONTEXT = 0, 1, 2, 3
 
 
 def normal(w: textvec.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Symbols of all documents with DEPTH end symbols before each, places of the real ones, and each document's first of these."""
+    """Symbols of all documents with DEPTH end symbols before each, which are real, and each document's first real one."""
     buf = w.buf.copy()
     keep = ~textvec.SPACE[buf]
     buf[w.end] = 32
@@ -50,34 +53,47 @@ def normal(w: textvec.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     keep[w.end] = True
     buf[last] = END
     keep[last] = True
-    real = np.flatnonzero(keep)
-    size = np.diff(np.searchsorted(real, w.doc_at))
-    if len(keep) < 1 << 30:
-        real = real.astype(np.int32)
-    place = np.arange(len(real), dtype=real.dtype)
-    place += np.repeat(np.arange(1, len(size) + 1, dtype=real.dtype) * DEPTH, size)
-    out = np.full(len(real) + DEPTH * len(size), END, np.uint8)
-    out[place] = buf[real]
-    return out, place, np.cumsum(size) - size
-
-
-def windows(symbols: np.ndarray, place: np.ndarray) -> np.ndarray:
-    key = np.zeros(len(place), np.uint64)
-    for j in range(DEPTH, -1, -1):
-        key = (key << U(8)) | symbols[place - j].astype(np.uint64)
-    return key
-
-
-def blocks_of(place: np.ndarray) -> list[np.ndarray]:
-    """The places in runs of PLACES, so that a long text's windows are held a part at a time."""
-    return [place[i : i + PLACES] for i in range(0, len(place), PLACES)]
+    size = np.add.reduceat(keep, w.doc_at[:-1], dtype=np.int64)
+    pad, real = bytes([END]) * DEPTH, buf[keep].tobytes()
+    ends = np.cumsum(size).tolist()
+    out = pad + pad.join(real[a:b] for a, b in zip([0, *ends], ends))
+    first = np.cumsum(size + DEPTH) - size
+    is_real = np.ones(len(out), bool)
+    for j in range(1, DEPTH + 1):
+        is_real[first - j] = False
+    return np.frombuffer(out, np.uint8), is_real, first
+
+
+def windows(symbols: np.ndarray) -> np.ndarray:
+    """Of each symbol but the first DEPTH: itself in the lowest byte, and those before it, the nearest lowest."""
+    one = symbols.astype(np.uint64)
+    two = one[1:] | (one[:-1] << U(8))
+    four = two[2:] | (two[:-2] << U(16))
+    return four[3:] | (two[1:-4] << U(32)) | (one[:-6] << U(48))
+
+
+def blocks_of(symbols: np.ndarray, real: np.ndarray, first: np.ndarray):
+    """For runs of PLACES symbols, so that a long text's windows are held a part at a time: the windows of the real
+    symbols among them, the first document and the one after the last that they are of, and each one's first window."""
+    end = np.append(first[1:] - DEPTH, len(symbols))
+    for a in range(DEPTH, len(symbols), PLACES):
+        b = min(a + PLACES, len(symbols))
+        lo, hi = int(np.searchsorted(end, a, "right")), int(np.searchsorted(first, b))
+        if hi > lo:
+            size = np.minimum(end[lo:hi], b) - np.maximum(first[lo:hi], a)
+            yield windows(symbols[a - DEPTH : b])[real[a:b]], lo, hi, np.cumsum(size) - size
+
+
+def _distinct(ordered: np.ndarray) -> np.ndarray:
+    """Places of the first of each run of equal values."""
+    return np.concatenate(([0], np.flatnonzero(ordered[1:] != ordered[:-1]) + 1)) if len(ordered) else np.zeros(0, np.int64)
 
 
 def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
     keys, counts = (np.concatenate(x) for x in zip(*parts, strict=True))
-    order = np.argsort(keys)
+    order = np.argsort(keys, kind="stable")  # merges ordered parts
     keys = keys[order]
-    at = np.concatenate(([0], np.flatnonzero(keys[1:] != keys[:-1]) + 1)) if len(keys) else np.zeros(0, np.int64)
+    at = _distinct(keys)
     return keys[at], np.add.reduceat(counts[order], at) if len(keys) else counts
 
 
@@ -96,10 +112,9 @@ def _count(texts: DataFrame) -> DataFrame:
             number += len(got)
             for a, b in runtime.pieces(got):
                 w = textvec.split_words(got[a:b], lower=True)
-                symbols, place, _ = normal(w)
                 held[WORD].append(textvec.counts_of(np.sort(textvec.span_hashes(w.buf, w.start, w.end))))
-                for part in blocks_of(place):
-                    held[WINDOW].append(textvec.counts_of(np.sort(windows(symbols, part))))
+                for part, *_ in blocks_of(*normal(w)):
+                    held[WINDOW].append(textvec.counts_of(np.sort(part)))
                     for kind, parts in held.items():
                         if sum(len(k) for k, _ in parts) > 2_000_000:
                             merged = _merged(parts)
@@ -114,7 +129,8 @@ def _count(texts: DataFrame) -> DataFrame:
         if number:
             yield out(TEXT, np.zeros(1, np.uint64), np.array([number]))
 
-    return texts.mapInArrow(run, "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n"))
+    # A task has summed its own counts, so nothing is gained by another sum before the shuffle.
+    return texts.mapInArrow(run, "kind int, key long, n long").repartition("kind", "key").groupBy("kind", "key").agg(F.sum("n").alias("n"))
 
 
 def _contexts(counts: DataFrame, total: int, written: list[str] | None = None) -> DataFrame:
@@ -151,31 +167,44 @@ class Tree:
         self.levels = []
         for k in range(DEPTH + 1):
             at = np.flatnonzero(length == k)
-            key = (ctx[at].astype(np.uint64) << U(8)) | sym[at].astype(np.uint64)
+            key = ((ctx[at].astype(np.uint64) << U(8)) | sym[at].astype(np.uint64)).byteswap()
             order = np.argsort(key)
             key, c = key[order], n[at][order].astype(np.float64)
-            up = key >> U(8)
-            first = np.concatenate(([0], np.flatnonzero(up[1:] != up[:-1]) + 1)) if len(up) else np.zeros(0, np.int64)
-            self.levels.append((key, c, up[first], np.add.reduceat(c, first) if len(up) else c))
+            contexts, whose = np.unique(key << U(8), return_inverse=True)
+            self.levels.append((key, c, contexts, np.bincount(whose, c, len(contexts))))
 
     def window_logs(self, keys: np.ndarray) -> np.ndarray:
-        """log10 probability of each window's last symbol after the others."""
-        keys, back = np.unique(keys, return_inverse=True)
-        chance = np.full(len(keys), 1 / SYMBOLS)
+        """log10 probability of each window's last symbol after the others.
+
+        Windows are put in order with the last symbol highest and the nearest next to it, so that those that share
+        the last symbol and a context of any length follow one another; a context is looked up once for all of them.
+        """
+        if not len(keys):
+            return np.zeros(0)
+        turned = keys.byteswap()
+        order = np.argsort(turned)
+        turned = turned[order]
+        chance, before = np.array([1 / SYMBOLS]), np.zeros(1, np.int64)
         for k, (key, c, contexts, totals) in enumerate(self.levels):
+            prefix = turned & ~U((1 << 8 * (7 - k)) - 1)
+            at = _distinct(prefix)
+            prefix = prefix[at]
+            chance, before = chance[np.searchsorted(before, at, "right") - 1], at
             if not len(key):
                 continue
-            low = keys & U((1 << 8 * (k + 1)) - 1)
-            at = np.minimum(np.searchsorted(contexts, low >> U(8)), len(contexts) - 1)
-            known = np.flatnonzero(contexts[at] == low >> U(8))
-            low, at = low[known], at[known]
+            up = prefix << U(8)
+            i = np.minimum(np.searchsorted(contexts, up), len(contexts) - 1)
+            known = np.flatnonzero(contexts[i] == up)
+            low, i = prefix[known], i[known]
             j = np.minimum(np.searchsorted(key, low), len(key) - 1)
-            chance[known] = (np.where(key[j] == low, c[j], 0) + PULL * chance[known]) / (totals[at] + PULL)
-        return np.log10(chance)[back]
+            chance[known] = (np.where(key[j] == low, c[j], 0) + PULL * chance[known]) / (totals[i] + PULL)
+        out = np.empty(len(keys))
+        out[order] = np.repeat(np.log10(chance), np.diff(np.append(before, len(keys))))
+        return out
 
     def logs(self, symbols: np.ndarray) -> np.ndarray:
         """log10 probability of each symbol; those of the first DEPTH are 0 and not to be used."""
-        return np.concatenate((np.zeros(DEPTH), self.window_logs(windows(symbols, np.arange(DEPTH, len(symbols))))))
+        return np.concatenate((np.zeros(DEPTH), self.window_logs(windows(symbols))))
 
 
 def score(docs: DataFrame, train) -> DataFrame:
@@ -184,6 +213,7 @@ def score(docs: DataFrame, train) -> DataFrame:
     runtime.prepare(spark)
     docs = docs.select("doc_id", "text", F.coalesce(train, F.lit(False)).alias("learned"))
     written: list[str] = []
+    last: list[str] = []
     counts = stored(_count(docs.where("learned").select("text")), written)
     runtime.sweep(spark)
     of = {r["kind"]: r for r in counts.groupBy("kind").agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect()}
@@ -192,7 +222,7 @@ def score(docs: DataFrame, train) -> DataFrame:
     distinct = (of[WORD]["v"] if WORD in of else 0) + (1 if texts else 0)
     total_symbols = of[WINDOW]["n"] if WINDOW in of else 0
     tree = _contexts(counts, total_symbols, written).select((F.col("len") + CONTEXT).cast("int").alias("kind"), F.col("ctx").alias("key"), F.col("t").alias("n"), "nodes")
-    learned = stored(counts.where(F.col("kind") == WORD).select("kind", "key", "n", F.lit(None).cast("array<bigint>").alias("nodes")).unionByName(tree))
+    learned = stored(counts.where(F.col("kind") == WORD).select("kind", "key", "n", F.lit(None).cast("array<bigint>").alias("nodes")).unionByName(tree), last)
     runtime.drop(spark, written)  # all that goes on is the words and the retained contexts
     runtime.sweep(spark)
 
@@ -206,19 +236,19 @@ def score(docs: DataFrame, train) -> DataFrame:
         for a, b in runtime.pieces(texts):
             w = textvec.split_words(texts[a:b], lower=True)
             words.append(textvec.counts_of(np.sort(textvec.span_hashes(w.buf, w.start, w.end))))
-            symbols, place, _ = normal(w)
-            seen += [np.unique(windows(symbols, part) >> U(8)) for part in blocks_of(place)]
-        ctx = np.unique(np.concatenate(seen))
+            for part, *_ in blocks_of(*normal(w)):
+                part = np.sort(part.byteswap() << U(8))  # without the last symbol, the nearest highest
+                seen.append(part[_distinct(part)])
+        ctx = np.sort(np.concatenate(seen), kind="stable")
         kinds, keys = [WORD], [_merged(words)[0]]
         for k in range(DEPTH, -1, -1):
-            ctx = np.unique(ctx & U((1 << 8 * k) - 1))
+            ctx = ctx & ~U((1 << 8 * (8 - k)) - 1)
+            ctx = ctx[_distinct(ctx)]
             kinds.append(CONTEXT + k)
-            keys.append(ctx)
+            keys.append(ctx.byteswap())
         kind = np.repeat(np.array(kinds, np.int32), [len(x) for x in keys])
         return pa.table({"block": pa.array(np.full(len(kind), table.column("block")[0].as_py(), np.int64)), "kind": pa.array(kind), "key": pa.array(np.concatenate(keys).view(np.int64))})
 
-    met = dealt.groupBy("block").applyInArrow(met_in, "block long, kind int, key long")
-    known = met.join(learned, ["kind", "key"]).select("block", "kind", "key", "n", "nodes")
     rest = math.log10(total + ADD * (distinct + 1)) if total else 0.0
 
     def base(c: np.ndarray) -> np.ndarray:
@@ -245,15 +275,21 @@ def score(docs: DataFrame, train) -> DataFrame:
             n = b - a
             doc = w.doc
             end = float(base(np.array([texts_seen]))[0])
-            symbols, place, first = normal(w)
-            logs, at = np.zeros(n), 0
-            for part in blocks_of(place):
-                whose = np.searchsorted(first, np.arange(at, at + len(part)), "right") - 1
-                logs += np.bincount(whose, tree.window_logs(windows(symbols, part)), n)
-                at += len(part)
+            logs = np.zeros(n)
+            for part, lo, hi, at in blocks_of(*normal(w)):
+                logs[lo:hi] += np.add.reduceat(tree.window_logs(part), at)
             out.append((np.diff(w.first) + 1, np.bincount(doc, c > 0, n).astype(np.int64) + (texts_seen > 0), np.bincount(doc, base(c), n) + end, logs))
         tokens, seen, score0, score1 = (np.concatenate(x) for x in zip(*out, strict=True))
         return pa.table({"doc_id": table.column("doc_id"), "learned": table.column("learned"), "n_tokens": tokens.astype(np.int64), "n_known": seen, "train_tokens": np.full(len(tokens), total), "base_score": score0, "score": score1})
 
     texts_seen = texts
-    return dealt.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(run, "doc_id long, learned boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    scored = []
+    for turn in range(min(TURNS, blocks)):
+        part = dealt.where(F.col("block") % TURNS == turn)
+        met = part.groupBy("block").applyInArrow(met_in, "block long, kind int, key long")
+        known = met.join(learned, ["kind", "key"]).select("block", "kind", "key", "n", "nodes")
+        out = part.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(run, "doc_id long, learned boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+        scored.append(stored(out))
+        runtime.sweep(spark)
+    runtime.drop(spark, last)
+    return reduce(DataFrame.unionByName, scored)
