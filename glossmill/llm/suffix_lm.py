@@ -38,6 +38,8 @@ BLOCK_BYTES = 8 << 20
 TURNS = 4
 #: Places whose windows are held at once.
 PLACES = 1 << 20
+#: Counts that a task holds before it sums them, and sums that it hands on.
+HELD, FULL = 3_000_000, 2_000_000
 #: Kinds of counts; a context's kind is CONTEXT and its length.
 WORD, WINDOW, TEXT, CONTEXT = 0, 1, 2, 3
 
@@ -116,9 +118,9 @@ def _count(texts: DataFrame) -> DataFrame:
                 for part, *_ in blocks_of(*normal(w)):
                     held[WINDOW].append(textvec.counts_of(np.sort(part)))
                     for kind, parts in held.items():
-                        if sum(len(k) for k, _ in parts) > 2_000_000:
+                        if sum(len(k) for k, _ in parts) > HELD:
                             merged = _merged(parts)
-                            if len(merged[0]) > 1_000_000:
+                            if len(merged[0]) > FULL:
                                 yield out(kind, *merged)
                                 parts.clear()
                             else:
@@ -177,27 +179,31 @@ class Tree:
         """log10 probability of each window's last symbol after the others.
 
         Windows are put in order with the last symbol highest and the nearest next to it, so that those that share
-        the last symbol and a context of any length follow one another; a context is looked up once for all of them.
+        the last symbol and a context of any length follow one another; a context is looked up once for all of them, and
+        only if the one before it is retained.
         """
         if not len(keys):
             return np.zeros(0)
         turned = keys.byteswap()
         order = np.argsort(turned)
         turned = turned[order]
-        chance, before = np.array([1 / SYMBOLS]), np.zeros(1, np.int64)
+        chance, before, known = np.array([1 / SYMBOLS]), np.zeros(1, np.int64), np.ones(1, bool)
         for k, (key, c, contexts, totals) in enumerate(self.levels):
+            if not len(key) or not known.any():
+                break
             prefix = turned & ~U((1 << 8 * (7 - k)) - 1)
             at = _distinct(prefix)
-            prefix = prefix[at]
-            chance, before = chance[np.searchsorted(before, at, "right") - 1], at
-            if not len(key):
-                continue
-            up = prefix << U(8)
-            i = np.minimum(np.searchsorted(contexts, up), len(contexts) - 1)
-            known = np.flatnonzero(contexts[i] == up)
-            low, i = prefix[known], i[known]
+            up = np.searchsorted(before, at, "right") - 1
+            chance, tried, before = chance[up], np.flatnonzero(known[up]), at
+            low = prefix[at[tried]]
+            ctx = low << U(8)
+            i = np.minimum(np.searchsorted(contexts, ctx), len(contexts) - 1)
+            hit = contexts[i] == ctx
+            tried, low, i = tried[hit], low[hit], i[hit]
             j = np.minimum(np.searchsorted(key, low), len(key) - 1)
-            chance[known] = (np.where(key[j] == low, c[j], 0) + PULL * chance[known]) / (totals[i] + PULL)
+            chance[tried] = (np.where(key[j] == low, c[j], 0) + PULL * chance[tried]) / (totals[i] + PULL)
+            known = np.zeros(len(at), bool)
+            known[tried] = True
         out = np.empty(len(keys))
         out[order] = np.repeat(np.log10(chance), np.diff(np.append(before, len(keys))))
         return out
