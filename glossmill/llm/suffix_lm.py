@@ -33,15 +33,18 @@ DEPTH, LEAST, PULL = 6, 8, 4.0
 SYMBOLS, END = 257, 10
 ADD = 0.1
 #: Bytes of text in a block.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 12 << 20
 #: Blocks are joined and scored in so many turns, each of which leaves the disks before the next.
 TURNS = 4
-#: Places whose windows are held at once.
-PLACES = 1 << 20
+#: Places whose windows are held at once, and windows that are scored together, with one such part more at most.
+PLACES, TOGETHER = 1 << 20, 2 << 20
 #: Counts that a task holds before it sums them, and sums that it hands on.
 HELD, FULL = 3_000_000, 2_000_000
-#: Kinds of counts; a context's kind is CONTEXT and its length.
-WORD, WINDOW, TEXT, CONTEXT = 0, 1, 2, 3
+#: Kinds of counts.
+WORD, WINDOW, TEXT = 0, 1, 2
+#: All keys are single longs, so that they are sorted and joined as such: a word's is negative, the others' have a tag
+#: in the highest byte, a context's is its length and one.
+TAG, MASK, WINDOW_TAG, TEXT_TAG = 56, (1 << 56) - 1, 8, 9
 
 
 def normal(w: textvec.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -86,6 +89,10 @@ def blocks_of(symbols: np.ndarray, real: np.ndarray, first: np.ndarray):
             yield windows(symbols[a - DEPTH : b])[real[a:b]], lo, hi, np.cumsum(size) - size
 
 
+def word_keys(hashes: np.ndarray) -> np.ndarray:
+    return (hashes >> U(1)) | U(1 << 63)
+
+
 def _distinct(ordered: np.ndarray) -> np.ndarray:
     """Places of the first of each run of equal values."""
     return np.concatenate(([0], np.flatnonzero(ordered[1:] != ordered[:-1]) + 1)) if len(ordered) else np.zeros(0, np.int64)
@@ -107,14 +114,15 @@ def _count(texts: DataFrame) -> DataFrame:
         number = 0
 
         def out(kind: int, keys: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), kind, np.int32)), pa.array(keys.view(np.int64)), pa.array(counts.astype(np.int64))], ["kind", "key", "n"])
+            keys = keys if kind == WORD else keys | U((WINDOW_TAG if kind == WINDOW else TEXT_TAG) << TAG)
+            return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(counts.astype(np.int64))], ["key", "n"])
 
         for batch in batches:
             got = runtime.text_bytes(batch.column(0))
             number += len(got)
             for a, b in runtime.pieces(got):
                 w = textvec.split_words(got[a:b], lower=True)
-                held[WORD].append(textvec.counts_of(np.sort(textvec.span_hashes(w.buf, w.start, w.end))))
+                held[WORD].append(textvec.counts_of(np.sort(word_keys(textvec.span_hashes(w.buf, w.start, w.end)))))
                 for part, *_ in blocks_of(*normal(w)):
                     held[WINDOW].append(textvec.counts_of(np.sort(part)))
                     for kind, parts in held.items():
@@ -132,28 +140,35 @@ def _count(texts: DataFrame) -> DataFrame:
             yield out(TEXT, np.zeros(1, np.uint64), np.array([number]))
 
     # A task has summed its own counts, so nothing is gained by another sum before the shuffle.
-    return texts.mapInArrow(run, "kind int, key long, n long").repartition("kind", "key").groupBy("kind", "key").agg(F.sum("n").alias("n"))
+    summed = texts.mapInArrow(run, "key long, n long").repartition("key").groupBy("key").agg(F.sum("n").alias("n"))
+    kind = F.when(F.col("key") < 0, WORD).when(F.shiftright("key", TAG) == WINDOW_TAG, WINDOW).otherwise(TEXT)
+    return summed.select(kind.alias("kind"), "key", "n")
 
 
 def _contexts(counts: DataFrame, total: int, written: list[str] | None = None) -> DataFrame:
     """len, ctx, t, nodes of all retained contexts: total, and the count of each next symbol (times 256, plus the symbol). The root is of length 0."""
-    size = F.explode(F.sequence(F.lit(0), F.lit(DEPTH))).alias("len")
     bits = lambda n: F.expr(f"shiftleft(1L, cast(8 * ({n}) AS int)) - 1")
-    each = counts.where(F.col("kind") == WINDOW).select("key", "n", size)
-    each = each.groupBy("len", F.col("key").bitwiseAND(bits("len + 1")).alias("k")).agg(F.sum("n").alias("n"))
+    # a node is one long: length, context, symbol; and so is a context, c: length and symbols
+    of_len = lambda n, by: F.shiftleft(F.expr(f"cast({n} AS bigint)"), by)
+    each = counts.where(F.col("kind") == WINDOW).select("key", "n", F.explode(F.sequence(F.lit(0), F.lit(DEPTH))).alias("len"))
+    each = each.groupBy(of_len("len", 56).bitwiseOR(F.col("key").bitwiseAND(bits("len + 1"))).alias("k")).agg(F.sum("n").alias("n"))
     node = F.shiftleft("n", 8).bitwiseOR(F.col("k").bitwiseAND(F.lit(255)))
-    frequent = each.groupBy("len", F.shiftright("k", 8).alias("ctx")).agg(F.sum("n").alias("t"), F.collect_list(node).alias("nodes"))
-    frequent = stored(frequent.where((F.col("t") >= LEAST) | (F.col("len") == 0)), written)
+    frequent = each.groupBy(F.shiftright("k", 8).alias("c")).agg(F.sum("n").alias("t"), F.collect_list(node).alias("nodes"))
+    frequent = stored(frequent.where((F.col("t") >= LEAST) | (F.col("c") == 0)), written)
     runtime.sweep(counts.sparkSession)
-    flat = frequent.select("len", "ctx", "t", F.size("nodes").alias("v"), F.explode("nodes").alias("node"))
-    flat = flat.select("len", "ctx", "t", "v", F.col("node").bitwiseAND(F.lit(255)).alias("sym"), F.shiftright("node", 8).alias("n"))
-    below = flat.select((F.col("len") + 1).alias("len"), F.col("ctx").alias("up"), "sym", F.col("n").alias("pn"), F.col("t").alias("pt"))
-    child = flat.where("len > 0").withColumn("up", F.col("ctx").bitwiseAND(bits("len - 1")))
+    flat = frequent.select("c", "t", F.size("nodes").alias("v"), F.explode("nodes").alias("node"))
+    flat = flat.select("c", F.shiftright("c", 48).alias("len"), "t", "v", F.col("node").bitwiseAND(F.lit(255)).alias("sym"), F.shiftright("node", 8).alias("n"))
+    after = lambda c: F.shiftleft(c, 8).bitwiseOR(F.col("sym"))
+    below = flat.select(after(F.col("c")).alias("up"), F.col("n").alias("pn"), F.col("t").alias("pt"))
+    suffix = of_len("len - 1", 48).bitwiseOR(F.col("c").bitwiseAND(bits("len - 1")))
+    child = flat.where("len > 0").withColumn("up", after(suffix))
     gain = F.sum(F.col("n") * F.log((F.col("n") / F.col("t")) / (F.col("pn") / F.col("pt"))))
-    good = child.join(below, ["len", "up", "sym"]).groupBy("len", "ctx").agg(gain.alias("gain"), F.max("v").alias("v")).where(F.col("gain") >= F.col("v") * (math.log(max(total, 1)) / 2))
-    closed = good.select(F.explode(F.sequence(F.lit(0), F.col("len"))).alias("l"), "ctx").select(F.col("l").alias("len"), F.col("ctx").bitwiseAND(bits("l")).alias("ctx"))
-    closed = closed.unionByName(frequent.where("len = 0").select("len", "ctx")).distinct()
-    return frequent.join(closed, ["len", "ctx"])
+    good = child.join(below, "up").groupBy("c").agg(gain.alias("gain"), F.max("v").alias("v")).where(F.col("gain") >= F.col("v") * (math.log(max(total, 1)) / 2))
+    closed = good.select(F.explode(F.sequence(F.lit(0).cast("long"), F.shiftright("c", 48))).alias("l"), "c")
+    closed = closed.select(of_len("l", 48).bitwiseOR(F.col("c").bitwiseAND(bits("l"))).alias("c"))
+    closed = closed.unionByName(frequent.where("c = 0").select("c")).distinct()
+    length = F.shiftright("c", 48)
+    return frequent.join(closed, "c").select(length.cast("int").alias("len"), F.col("c").bitwiseAND(F.lit((1 << 48) - 1)).alias("ctx"), "t", "nodes")
 
 
 def _retained(counts: DataFrame, total: int) -> pa.Table:
@@ -166,46 +181,74 @@ class Tree:
     """A suffix tree, or the part of it that a block's texts meet: by length, the retained contexts with their totals and next symbols."""
 
     def __init__(self, length: np.ndarray, ctx: np.ndarray, sym: np.ndarray, n: np.ndarray):
+        """All next symbols of a context stand one after the other."""
         self.levels = []
         for k in range(DEPTH + 1):
             at = np.flatnonzero(length == k)
-            key = ((ctx[at].astype(np.uint64) << U(8)) | sym[at].astype(np.uint64)).byteswap()
-            order = np.argsort(key)
-            key, c = key[order], n[at][order].astype(np.float64)
-            contexts, whose = np.unique(key << U(8), return_inverse=True)
-            self.levels.append((key, c, contexts, np.bincount(whose, c, len(contexts))))
+            self._add(ctx[at], sym[at], n[at])
+
+    @classmethod
+    def of_rows(cls, keys: np.ndarray, size: np.ndarray, nodes: np.ndarray) -> Tree:
+        """keys of contexts, the number of next symbols of each, and these with their counts, all in one array."""
+        none = np.zeros(0, np.int64)
+        tree = cls(none, none, none, none)
+        tree.levels = []
+        first = np.cumsum(size) - size
+        for k in range(DEPTH + 1):
+            rows = np.flatnonzero(keys >> TAG == k + 1)
+            own = size[rows]
+            node = nodes[np.repeat(first[rows] - (np.cumsum(own) - own), own) + np.arange(own.sum())]
+            tree._add(np.repeat(keys[rows] & MASK, own), node & 255, node >> 8)
+        return tree
+
+    def _add(self, ctx: np.ndarray, sym: np.ndarray, n: np.ndarray) -> None:
+        first = _distinct(ctx)
+        totals = np.add.reduceat(n, first).astype(np.float64) if len(first) else np.zeros(0)
+        of_node = np.repeat(totals, np.diff(np.append(first, len(ctx))))
+        contexts = ctx[first].astype(np.uint64).byteswap()
+        key = ((ctx.astype(np.uint64) << U(8)) | sym.astype(np.uint64)).byteswap()
+        order, by_name = np.argsort(key), np.argsort(contexts)
+        self.levels.append((key[order], n[order].astype(np.float64), of_node[order], contexts[by_name], totals[by_name]))
 
     def window_logs(self, keys: np.ndarray) -> np.ndarray:
         """log10 probability of each window's last symbol after the others.
 
         Windows are put in order with the last symbol highest and the nearest next to it, so that those that share
-        the last symbol and a context of any length follow one another; a context is looked up once for all of them, and
-        only if the one before it is retained.
+        the last symbol and a context of any length follow one another; a context is looked up once for all of them,
+        only if the one before it is retained, and by itself only if the symbol was not seen after it.
         """
         if not len(keys):
             return np.zeros(0)
         turned = keys.byteswap()
         order = np.argsort(turned)
         turned = turned[order]
+        place = _distinct(turned)
+        number, turned = np.diff(np.append(place, len(turned))), turned[place]
         chance, before, known = np.array([1 / SYMBOLS]), np.zeros(1, np.int64), np.ones(1, bool)
-        for k, (key, c, contexts, totals) in enumerate(self.levels):
+        for k, (key, c, of_node, contexts, totals) in enumerate(self.levels):
             if not len(key) or not known.any():
                 break
             prefix = turned & ~U((1 << 8 * (7 - k)) - 1)
             at = _distinct(prefix)
-            up = np.searchsorted(before, at, "right") - 1
+            begins = np.zeros(len(turned), bool)
+            begins[before] = True
+            up = np.cumsum(begins)[at] - 1
             chance, tried, before = chance[up], np.flatnonzero(known[up]), at
             low = prefix[at[tried]]
-            ctx = low << U(8)
-            i = np.minimum(np.searchsorted(contexts, ctx), len(contexts) - 1)
-            hit = contexts[i] == ctx
-            tried, low, i = tried[hit], low[hit], i[hit]
             j = np.minimum(np.searchsorted(key, low), len(key) - 1)
-            chance[tried] = (np.where(key[j] == low, c[j], 0) + PULL * chance[tried]) / (totals[i] + PULL)
+            seen = key[j] == low
+            n, total = np.where(seen, c[j], 0.0), np.where(seen, of_node[j], 0.0)
+            unseen = np.flatnonzero(~seen)
+            ctx = low[unseen] << U(8)
+            i = np.minimum(np.searchsorted(contexts, ctx), len(contexts) - 1)
+            total[unseen] = np.where(contexts[i] == ctx, totals[i], 0.0)
+            hit = total > 0
+            tried = tried[hit]
+            chance[tried] = (n[hit] + PULL * chance[tried]) / (total[hit] + PULL)
             known = np.zeros(len(at), bool)
             known[tried] = True
         out = np.empty(len(keys))
-        out[order] = np.repeat(np.log10(chance), np.diff(np.append(before, len(keys))))
+        out[order] = np.repeat(np.repeat(np.log10(chance), np.diff(np.append(before, len(turned)))), number)
         return out
 
     def logs(self, symbols: np.ndarray) -> np.ndarray:
@@ -227,8 +270,9 @@ def score(docs: DataFrame, train) -> DataFrame:
     total = (of[WORD]["n"] if WORD in of else 0) + texts
     distinct = (of[WORD]["v"] if WORD in of else 0) + (1 if texts else 0)
     total_symbols = of[WINDOW]["n"] if WINDOW in of else 0
-    tree = _contexts(counts, total_symbols, written).select((F.col("len") + CONTEXT).cast("int").alias("kind"), F.col("ctx").alias("key"), F.col("t").alias("n"), "nodes")
-    learned = stored(counts.where(F.col("kind") == WORD).select("kind", "key", "n", F.lit(None).cast("array<bigint>").alias("nodes")).unionByName(tree), last)
+    key = F.shiftleft((F.col("len") + 1).cast("long"), TAG).bitwiseOR(F.col("ctx"))
+    tree = _contexts(counts, total_symbols, written).select(key.alias("key"), F.col("t").alias("n"), "nodes")
+    learned = stored(counts.where(F.col("kind") == WORD).select("key", "n", F.lit(None).cast("array<bigint>").alias("nodes")).unionByName(tree), last)
     runtime.drop(spark, written)  # all that goes on is the words and the retained contexts
     runtime.sweep(spark)
 
@@ -241,19 +285,18 @@ def score(docs: DataFrame, train) -> DataFrame:
         texts = runtime.text_bytes(table.column("text").combine_chunks())
         for a, b in runtime.pieces(texts):
             w = textvec.split_words(texts[a:b], lower=True)
-            words.append(textvec.counts_of(np.sort(textvec.span_hashes(w.buf, w.start, w.end))))
+            words.append(textvec.counts_of(np.sort(word_keys(textvec.span_hashes(w.buf, w.start, w.end)))))
             for part, *_ in blocks_of(*normal(w)):
                 part = np.sort(part.byteswap() << U(8))  # without the last symbol, the nearest highest
                 seen.append(part[_distinct(part)])
         ctx = np.sort(np.concatenate(seen), kind="stable")
-        kinds, keys = [WORD], [_merged(words)[0]]
+        keys = [_merged(words)[0]]
         for k in range(DEPTH, -1, -1):
             ctx = ctx & ~U((1 << 8 * (8 - k)) - 1)
             ctx = ctx[_distinct(ctx)]
-            kinds.append(CONTEXT + k)
-            keys.append(ctx.byteswap())
-        kind = np.repeat(np.array(kinds, np.int32), [len(x) for x in keys])
-        return pa.table({"block": pa.array(np.full(len(kind), table.column("block")[0].as_py(), np.int64)), "kind": pa.array(kind), "key": pa.array(np.concatenate(keys).view(np.int64))})
+            keys.append(ctx.byteswap() | U((k + 1) << TAG))
+        key = np.concatenate(keys).view(np.int64)
+        return pa.table({"block": pa.array(np.full(len(key), table.column("block")[0].as_py(), np.int64)), "key": pa.array(key)})
 
     rest = math.log10(total + ADD * (distinct + 1)) if total else 0.0
 
@@ -261,39 +304,50 @@ def score(docs: DataFrame, train) -> DataFrame:
         return np.log10((c + ADD) / 1.0) - (rest if total else math.log10(ADD))
 
     def run(table: pa.Table, found: pa.Table) -> pa.Table:
-        kind, keys, numbers = (found.column(c).to_numpy() for c in ("kind", "key", "n"))
+        keys, numbers = (found.column(c).to_numpy() for c in ("key", "n"))
         nodes = found.column("nodes").combine_chunks()
-        of_context = np.repeat(np.arange(len(kind)), nodes.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
-        node = nodes.flatten().to_numpy()
-        tree = Tree(kind[of_context] - CONTEXT, keys[of_context], node & 255, node >> 8)
-        words = kind == WORD
+        words = keys < 0
+        size = nodes.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)[~words].astype(np.int64)
+        tree = Tree.of_rows(keys[~words], size, nodes.flatten().to_numpy())
+        del nodes, found
         keys, numbers = keys[words].view(np.uint64), numbers[words]
         order = np.argsort(keys)
         keys, numbers = keys[order], numbers[order]
         keys, numbers = np.append(keys, U(2**64 - 1)), np.append(numbers, 0)
         texts = runtime.text_bytes(table.column("text").combine_chunks())
-        out = []
+        out, logs, parts = [], np.zeros(len(texts)), []
+
+        def scored() -> None:
+            both = tree.window_logs(np.concatenate([p for p, *_ in parts]))
+            for part, lo, hi, at in parts:
+                logs[lo:hi] += np.add.reduceat(both[: len(part)], at)
+                both = both[len(part) :]
+            parts.clear()
+
         for a, b in runtime.pieces(texts):
             w = textvec.split_words(texts[a:b], lower=True)
-            h = textvec.span_hashes(w.buf, w.start, w.end)
+            h = word_keys(textvec.span_hashes(w.buf, w.start, w.end))
             at = np.searchsorted(keys[:-1], h)
             c = np.where(keys[at] == h, numbers[at], 0)
             n = b - a
             doc = w.doc
             end = float(base(np.array([texts_seen]))[0])
-            logs = np.zeros(n)
             for part, lo, hi, at in blocks_of(*normal(w)):
-                logs[lo:hi] += np.add.reduceat(tree.window_logs(part), at)
-            out.append((np.diff(w.first) + 1, np.bincount(doc, c > 0, n).astype(np.int64) + (texts_seen > 0), np.bincount(doc, base(c), n) + end, logs))
-        tokens, seen, score0, score1 = (np.concatenate(x) for x in zip(*out, strict=True))
-        return pa.table({"doc_id": table.column("doc_id"), "learned": table.column("learned"), "n_tokens": tokens.astype(np.int64), "n_known": seen, "train_tokens": np.full(len(tokens), total), "base_score": score0, "score": score1})
+                parts.append((part, a + lo, a + hi, at))
+                if sum(len(p) for p, *_ in parts) >= TOGETHER:
+                    scored()
+            out.append((np.diff(w.first) + 1, np.bincount(doc, c > 0, n).astype(np.int64) + (texts_seen > 0), np.bincount(doc, base(c), n) + end))
+        if parts:
+            scored()
+        tokens, seen, score0 = (np.concatenate(x) for x in zip(*out, strict=True))
+        return pa.table({"doc_id": table.column("doc_id"), "learned": table.column("learned"), "n_tokens": tokens.astype(np.int64), "n_known": seen, "train_tokens": np.full(len(tokens), total), "base_score": score0, "score": logs})
 
     texts_seen = texts
     scored = []
     for turn in range(min(TURNS, blocks)):
         part = dealt.where(F.col("block") % TURNS == turn)
-        met = part.groupBy("block").applyInArrow(met_in, "block long, kind int, key long")
-        known = met.join(learned, ["kind", "key"]).select("block", "kind", "key", "n", "nodes")
+        met = part.groupBy("block").applyInArrow(met_in, "block long, key long")
+        known = met.join(learned, "key").select("block", "key", "n", "nodes")
         out = part.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(run, "doc_id long, learned boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
         scored.append(stored(out))
         runtime.sweep(spark)
