@@ -22,6 +22,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,8 +37,11 @@ ADD = 0.1
 BLOCK_BYTES = 12 << 20
 #: Blocks are joined and scored in so many turns, each of which leaves the disks before the next.
 TURNS = 4
-#: Places whose windows are held at once, and windows that are scored together, with one such part more at most.
-PLACES, TOGETHER = 1 << 20, 2 << 20
+#: Places whose windows are made at once; windows, or words, that are put in order together, with one such part more at
+#: most; and windows whose order is held until their distinct ones are scored.
+PLACES, TOGETHER, SCORED = 1 << 20, 2 << 20, 16 << 20
+#: Rows of words and contexts in an Arrow batch.
+FOUND_ROWS = 8192
 #: Counts that a task holds before it sums them, and sums that it hands on.
 HELD, FULL = 3_000_000, 2_000_000
 #: Kinds of counts.
@@ -93,6 +97,15 @@ def word_keys(hashes: np.ndarray) -> np.ndarray:
     return (hashes >> U(1)) | U(1 << 63)
 
 
+def in_order(parts: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[tuple]]:
+    """Of windows in parts (windows, and what belongs to them): their order with the last symbol highest, the distinct
+    ones, how often each is there, and the parts with their sizes in the windows' place."""
+    turned = np.concatenate([p[0] for p in parts]).byteswap()
+    order = np.argsort(turned)
+    distinct, number = textvec.counts_of(turned[order])
+    return order.astype(np.int32), distinct, number.astype(np.int32), [(len(p[0]), *p[1:]) for p in parts]
+
+
 def _distinct(ordered: np.ndarray) -> np.ndarray:
     """Places of the first of each run of equal values."""
     return np.concatenate(([0], np.flatnonzero(ordered[1:] != ordered[:-1]) + 1)) if len(ordered) else np.zeros(0, np.int64)
@@ -100,7 +113,7 @@ def _distinct(ordered: np.ndarray) -> np.ndarray:
 
 def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
     keys, counts = (np.concatenate(x) for x in zip(*parts, strict=True))
-    order = np.argsort(keys, kind="stable")  # merges ordered parts
+    order = np.argsort(keys)
     keys = keys[order]
     at = _distinct(keys)
     return keys[at], np.add.reduceat(counts[order], at) if len(keys) else counts
@@ -110,9 +123,19 @@ def _count(texts: DataFrame) -> DataFrame:
     """kind, key, n over all texts (a column text): words by hash, windows, and the number of texts."""
 
     def run(batches):
+        raw: dict[int, list] = {WORD: [], WINDOW: []}
         held: dict[int, list] = {WORD: [], WINDOW: []}
         number = 0
 
+        def add(kind: int, keys: np.ndarray, least: int = TOGETHER) -> bool:
+            """Whether the keys held so far were counted, once there are enough."""
+            raw[kind].append(keys)
+            if sum(map(len, raw[kind])) < least:
+                return False
+            held[kind].append(textvec.counts_of(np.sort(np.concatenate(raw[kind]))))
+            raw[kind].clear()
+            return True
+
         def out(kind: int, keys: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
             keys = keys if kind == WORD else keys | U((WINDOW_TAG if kind == WINDOW else TEXT_TAG) << TAG)
             return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(counts.astype(np.int64))], ["key", "n"])
@@ -122,19 +145,19 @@ def _count(texts: DataFrame) -> DataFrame:
             number += len(got)
             for a, b in runtime.pieces(got):
                 w = textvec.split_words(got[a:b], lower=True)
-                held[WORD].append(textvec.counts_of(np.sort(word_keys(textvec.span_hashes(w.buf, w.start, w.end)))))
-                for part, *_ in blocks_of(*normal(w)):
-                    held[WINDOW].append(textvec.counts_of(np.sort(part)))
-                    for kind, parts in held.items():
-                        if sum(len(k) for k, _ in parts) > HELD:
-                            merged = _merged(parts)
-                            if len(merged[0]) > FULL:
-                                yield out(kind, *merged)
-                                parts.clear()
-                            else:
-                                parts[:] = [merged]
+                new = [(WORD, word_keys(textvec.span_hashes(w.buf, w.start, w.end))), *((WINDOW, part) for part, *_ in blocks_of(*normal(w)))]
+                for kind, keys in new:
+                    parts = held[kind]
+                    if add(kind, keys) and sum(len(k) for k, _ in parts) > HELD:
+                        merged = _merged(parts)
+                        if len(merged[0]) > FULL:
+                            yield out(kind, *merged)
+                            parts.clear()
+                        else:
+                            parts[:] = [merged]
         for kind, parts in held.items():
-            if parts:
+            if parts or raw[kind]:
+                add(kind, np.zeros(0, np.uint64), 0)
                 yield out(kind, *_merged(parts))
         if number:
             yield out(TEXT, np.zeros(1, np.uint64), np.array([number]))
@@ -177,56 +200,69 @@ def _retained(counts: DataFrame, total: int) -> pa.Table:
     return flat.select("len", "ctx", F.col("node").bitwiseAND(F.lit(255)).alias("sym"), F.shiftright("node", 8).alias("n")).toArrow()
 
 
+def _level(ctx: np.ndarray, sym: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Of contexts of one length and their next symbols: nodes in order with the symbol highest, their counts and their
+    contexts' totals; and the contexts in order with the nearest symbol highest, and their totals."""
+    first = _distinct(ctx)
+    totals = np.add.reduceat(n, first).astype(np.float64) if len(first) else np.zeros(0)
+    key = ((ctx.astype(np.uint64) << U(8)) | sym.astype(np.uint64)).byteswap()
+    order = np.argsort(key)
+    key, n = key[order], n[order].astype(np.float64)
+    of_node = np.repeat(totals, np.diff(np.append(first, len(ctx))))[order]
+    contexts = ctx[first].astype(np.uint64).byteswap()
+    by_name = np.argsort(contexts)
+    return key, n, of_node, contexts[by_name], totals[by_name]
+
+
 class Tree:
-    """A suffix tree, or the part of it that a block's texts meet: by length, the retained contexts with their totals and next symbols."""
+    """A suffix tree, or the part of it that a block's texts meet. level(k) puts the retained contexts of length k with
+    their totals and next symbols in order; it is made when it is used, so that one level is held at a time."""
 
     def __init__(self, length: np.ndarray, ctx: np.ndarray, sym: np.ndarray, n: np.ndarray):
         """All next symbols of a context stand one after the other."""
-        self.levels = []
-        for k in range(DEPTH + 1):
+
+        def level(k: int) -> tuple:
             at = np.flatnonzero(length == k)
-            self._add(ctx[at], sym[at], n[at])
+            return _level(ctx[at], sym[at], n[at])
+
+        self.level = level
 
     @classmethod
     def of_rows(cls, keys: np.ndarray, size: np.ndarray, nodes: np.ndarray) -> Tree:
         """keys of contexts, the number of next symbols of each, and these with their counts, all in one array."""
-        none = np.zeros(0, np.int64)
-        tree = cls(none, none, none, none)
-        tree.levels = []
         first = np.cumsum(size) - size
-        for k in range(DEPTH + 1):
+
+        def level(k: int) -> tuple:
             rows = np.flatnonzero(keys >> TAG == k + 1)
             own = size[rows]
             node = nodes[np.repeat(first[rows] - (np.cumsum(own) - own), own) + np.arange(own.sum())]
-            tree._add(np.repeat(keys[rows] & MASK, own), node & 255, node >> 8)
-        return tree
+            return _level(np.repeat(keys[rows] & MASK, own), node & 255, node >> 8)
 
-    def _add(self, ctx: np.ndarray, sym: np.ndarray, n: np.ndarray) -> None:
-        first = _distinct(ctx)
-        totals = np.add.reduceat(n, first).astype(np.float64) if len(first) else np.zeros(0)
-        of_node = np.repeat(totals, np.diff(np.append(first, len(ctx))))
-        contexts = ctx[first].astype(np.uint64).byteswap()
-        key = ((ctx.astype(np.uint64) << U(8)) | sym.astype(np.uint64)).byteswap()
-        order, by_name = np.argsort(key), np.argsort(contexts)
-        self.levels.append((key[order], n[order].astype(np.float64), of_node[order], contexts[by_name], totals[by_name]))
+        tree = cls.__new__(cls)
+        tree.level = level
+        return tree
 
     def window_logs(self, keys: np.ndarray) -> np.ndarray:
-        """log10 probability of each window's last symbol after the others.
+        """log10 probability of each window's last symbol after the others."""
+        order, distinct, number, _ = in_order([(keys, 0, 0, None)])
+        out = np.empty(len(keys))
+        out[order] = np.repeat(self.distinct_logs(distinct), number)
+        return out
 
-        Windows are put in order with the last symbol highest and the nearest next to it, so that those that share
-        the last symbol and a context of any length follow one another; a context is looked up once for all of them,
-        only if the one before it is retained, and by itself only if the symbol was not seen after it.
+    def distinct_logs(self, turned: np.ndarray) -> np.ndarray:
+        """As window_logs, of distinct windows in order, with the last symbol highest and the nearest next to it.
+
+        Those that share the last symbol and a context of any length follow one another; a context is looked up once
+        for all of them, only if the one before it is retained, and by itself only if the symbol was not seen after it.
         """
-        if not len(keys):
+        if not len(turned):
             return np.zeros(0)
-        turned = keys.byteswap()
-        order = np.argsort(turned)
-        turned = turned[order]
-        place = _distinct(turned)
-        number, turned = np.diff(np.append(place, len(turned))), turned[place]
         chance, before, known = np.array([1 / SYMBOLS]), np.zeros(1, np.int64), np.ones(1, bool)
-        for k, (key, c, of_node, contexts, totals) in enumerate(self.levels):
-            if not len(key) or not known.any():
+        for k in range(DEPTH + 1):
+            if not known.any():
+                break
+            key, c, of_node, contexts, totals = self.level(k)
+            if not len(key):
                 break
             prefix = turned & ~U((1 << 8 * (7 - k)) - 1)
             at = _distinct(prefix)
@@ -247,15 +283,31 @@ class Tree:
             chance[tried] = (n[hit] + PULL * chance[tried]) / (total[hit] + PULL)
             known = np.zeros(len(at), bool)
             known[tried] = True
-        out = np.empty(len(keys))
-        out[order] = np.repeat(np.repeat(np.log10(chance), np.diff(np.append(before, len(turned)))), number)
-        return out
+        return np.repeat(np.log10(chance), np.diff(np.append(before, len(turned))))
 
     def logs(self, symbols: np.ndarray) -> np.ndarray:
         """log10 probability of each symbol; those of the first DEPTH are 0 and not to be used."""
         return np.concatenate((np.zeros(DEPTH), self.window_logs(windows(symbols))))
 
 
+def packed(batches):
+    """Rows with their nodes (arrays of longs) as bytes."""
+    for batch in batches:
+        nodes = batch.column("nodes")
+        ends = nodes.offsets.to_numpy()
+        values = np.ascontiguousarray(nodes.flatten().to_numpy())
+        of_bytes = pa.Array.from_buffers(pa.binary(), len(nodes), [None, pa.py_buffer(((ends - ends[0]) * 8).astype(np.int32)), pa.py_buffer(values)])
+        yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("n"), of_bytes], ["key", "n", "nodes"])
+
+
+def _long_values(column: pa.Array) -> np.ndarray:
+    """All longs of a column of bytes, one row's after the other's; a null has none."""
+    if not len(column):
+        return np.zeros(0, np.int64)
+    ends = np.frombuffer(column.buffers()[1], np.int64 if pa.types.is_large_binary(column.type) else np.int32)[column.offset : column.offset + len(column) + 1]
+    return np.frombuffer(column.buffers()[2], np.uint8)[ends[0] : ends[-1]].view(np.int64) if ends[-1] > ends[0] else np.zeros(0, np.int64)
+
+
 def score(docs: DataFrame, train) -> DataFrame:
     """doc_id, learned (whether it was), n_tokens, n_known, train_tokens, base_score, score of docs (doc_id, text); train: the Column that marks training rows."""
     spark = docs.sparkSession
@@ -271,8 +323,8 @@ def score(docs: DataFrame, train) -> DataFrame:
     distinct = (of[WORD]["v"] if WORD in of else 0) + (1 if texts else 0)
     total_symbols = of[WINDOW]["n"] if WINDOW in of else 0
     key = F.shiftleft((F.col("len") + 1).cast("long"), TAG).bitwiseOR(F.col("ctx"))
-    tree = _contexts(counts, total_symbols, written).select(key.alias("key"), F.col("t").alias("n"), "nodes")
-    learned = stored(counts.where(F.col("kind") == WORD).select("key", "n", F.lit(None).cast("array<bigint>").alias("nodes")).unionByName(tree), last)
+    tree = _contexts(counts, total_symbols, written).select(key.alias("key"), F.col("t").alias("n"), "nodes").mapInArrow(packed, "key long, n long, nodes binary")
+    learned = stored(counts.where(F.col("kind") == WORD).select("key", "n", F.lit(None).cast("binary").alias("nodes")).unionByName(tree), last)
     runtime.drop(spark, written)  # all that goes on is the words and the retained contexts
     runtime.sweep(spark)
 
@@ -307,22 +359,32 @@ def score(docs: DataFrame, train) -> DataFrame:
         keys, numbers = (found.column(c).to_numpy() for c in ("key", "n"))
         nodes = found.column("nodes").combine_chunks()
         words = keys < 0
-        size = nodes.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)[~words].astype(np.int64)
-        tree = Tree.of_rows(keys[~words], size, nodes.flatten().to_numpy())
+        size = pc.binary_length(nodes).fill_null(0).to_numpy(zero_copy_only=False)[~words].astype(np.int64) // 8
+        tree = Tree.of_rows(keys[~words], size, _long_values(nodes))
         del nodes, found
         keys, numbers = keys[words].view(np.uint64), numbers[words]
         order = np.argsort(keys)
         keys, numbers = keys[order], numbers[order]
         keys, numbers = np.append(keys, U(2**64 - 1)), np.append(numbers, 0)
         texts = runtime.text_bytes(table.column("text").combine_chunks())
-        out, logs, parts = [], np.zeros(len(texts)), []
+        out, logs, parts, held = [], np.zeros(len(texts)), [], []
 
-        def scored() -> None:
-            both = tree.window_logs(np.concatenate([p for p, *_ in parts]))
-            for part, lo, hi, at in parts:
-                logs[lo:hi] += np.add.reduceat(both[: len(part)], at)
-                both = both[len(part) :]
-            parts.clear()
+        def add_logs() -> None:
+            if parts:
+                held.append(in_order(parts))
+                parts.clear()
+            if not held:
+                return
+            every = np.sort(np.concatenate([distinct for _, distinct, *_ in held]))
+            every = every[_distinct(every)]
+            chance = tree.distinct_logs(every)
+            for order, distinct, number, spans in held:
+                each = np.empty(len(order))
+                each[order] = np.repeat(chance[np.searchsorted(every, distinct)], number)
+                for size, lo, hi, at in spans:
+                    logs[lo:hi] += np.add.reduceat(each[:size], at)
+                    each = each[size:]
+            held.clear()
 
         for a, b in runtime.pieces(texts):
             w = textvec.split_words(texts[a:b], lower=True)
@@ -335,15 +397,18 @@ def score(docs: DataFrame, train) -> DataFrame:
             for part, lo, hi, at in blocks_of(*normal(w)):
                 parts.append((part, a + lo, a + hi, at))
                 if sum(len(p) for p, *_ in parts) >= TOGETHER:
-                    scored()
+                    held.append(in_order(parts))
+                    parts.clear()
+                    if sum(len(order) for order, *_ in held) >= SCORED:
+                        add_logs()
             out.append((np.diff(w.first) + 1, np.bincount(doc, c > 0, n).astype(np.int64) + (texts_seen > 0), np.bincount(doc, base(c), n) + end))
-        if parts:
-            scored()
+        add_logs()
         tokens, seen, score0 = (np.concatenate(x) for x in zip(*out, strict=True))
         return pa.table({"doc_id": table.column("doc_id"), "learned": table.column("learned"), "n_tokens": tokens.astype(np.int64), "n_known": seen, "train_tokens": np.full(len(tokens), total), "base_score": score0, "score": logs})
 
     texts_seen = texts
     scored = []
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(FOUND_ROWS))  # a block's texts are a table in any case
     for turn in range(min(TURNS, blocks)):
         part = dealt.where(F.col("block") % TURNS == turn)
         met = part.groupBy("block").applyInArrow(met_in, "block long, key long")
@@ -351,5 +416,6 @@ def score(docs: DataFrame, train) -> DataFrame:
         out = part.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(run, "doc_id long, learned boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
         scored.append(stored(out))
         runtime.sweep(spark)
+    runtime.prepare(spark)
     runtime.drop(spark, last)
     return reduce(DataFrame.unionByName, scored)
