@@ -52,9 +52,9 @@ def report_items(pairs: DataFrame, entries: DataFrame | None, source_lang: str,
 
 
 def preview(rows: DataFrame, doc: str, pos: str, text: str, most: int = 20_000) -> DataFrame:
-    """doc, preview: lines until the length is reached; the one that crosses it is cut."""
+    """doc, preview: the first so many characters of the lines, with a line break between two; a break at the very end counts as one. Null for a doc whose lines are all null."""
     w = Window.partitionBy(doc).orderBy(pos)
     before = F.coalesce(F.sum(F.length(text) + 1).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    kept = rows.withColumn("_b", before).where(F.col("_b") < most)
+    kept = rows.withColumn("_b", before).where(F.col("_b") <= most)  # at the length itself, the line's break is the last character
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(pos).alias("p"), F.col(text).alias("x")))), lambda v: v["x"]), "\n")
-    return kept.groupBy(doc).agg(F.left(joined, F.lit(most)).alias("preview"))
+    return kept.groupBy(doc).agg(F.when(F.count(text) > 0, F.left(joined, F.lit(most))).alias("preview"))

@@ -274,7 +274,10 @@ WITH p AS (SELECT doc_id, text, list_transform(string_split(text, chr(10)), lamb
 SELECT doc_id, left(array_to_string(a, chr(10)), 500) AS preview FROM w
 """)
 def previews(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return report.preview(lines_of(read(spark, sf_dir, "documents")), "doc_id", "pos", "line", 500).select("doc_id", "preview")
+    """One for each row, be its id repeated or its text null."""
+    rows = read(spark, sf_dir, "documents").select(F.struct(F.monotonically_increasing_id().alias("row"), "doc_id").alias("key"), "text")
+    lines = rows.select("key", F.posexplode_outer(F.split("text", "\n")).alias("pos", "line"))
+    return report.preview(lines, "key", "pos", "line", 500).select("key.doc_id", "preview")
 
 
 @query("""

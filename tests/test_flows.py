@@ -4,12 +4,14 @@ import io
 import re
 import zipfile
 
+import duckdb
 from pyspark.sql import functions as F
 
 from glossmill.functions import answers, carets, chunks, numbers, scripts
 from glossmill.functions import text as X
 from glossmill.functions.diff import _TOKEN
 from glossmill.operators import editor, flows, jobs, layout, model
+from glossmill.plans import catalog, catalog_flows
 from glossmill.sources import encodings, glossary_files, html, office, plaintext
 
 SF = "/root/testdata/sf0.001"
@@ -211,3 +213,13 @@ def test_export_of_any_size(spark, tmp_path):
     glossary_files.write_export(entries.repartition(5), str(tmp_path / "g"))
     text = "".join(p.read_text() for p in sorted((tmp_path / "g").glob("part-*")))
     assert text.splitlines()[0] == ",".join(glossary_files.COLUMNS) and [x.split(",")[2] for x in text.split()[1:]] == [f"s{i}" for i in range(30)]
+
+
+def test_previews_of_odd_rows(spark, tmp_path):
+    """A line that ends one short of the length, repeated ids, null and empty texts: as the SQL has them."""
+    rows = [(1, "a" * 499 + "\nb"), (2, "a" * 500 + "\nb"), (3, "a" * 498 + "\n\nb"), (4, None), (5, ""), (6, "x\ny"), (6, "x\ny"), (6, "z"), (None, "n"), (None, None), (7, "\n" * 700), (8, "é😀\n" * 200)]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    got, want = (sorted(map(repr, map(tuple, x))) for x in (catalog_flows.previews(spark, str(tmp_path)).collect(), con.sql(catalog.SQL["previews"]).fetchall()))
+    assert got == want and len(got) == len(rows)
