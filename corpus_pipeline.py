@@ -50,9 +50,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, source, n_tokens, digests and the ids themselves of each row."""
-    path = queries.vocabulary_path()
-    ids = bpe_automaton.encode(docs.select("doc_id", "source", "text"), path).drop("text")
-    return bpe_automaton.digests(ids, path)
+    return bpe_automaton.encode_and_digest(docs.select("doc_id", "source", "text"), queries.vocabulary_path(), ids="ids")
 
 
 STAGES = [("quality", quality_stage), ("toxicity", toxicity_stage), ("neardup", neardup_stage), ("mixing", mixing_stage), ("bpe", bpe_stage)]

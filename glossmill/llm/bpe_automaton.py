@@ -317,16 +317,11 @@ class Encoder:
             at += sum(map(len, words))
 
 
-_built: dict[str, Encoder] = {}
-
-
 def encoder_of(content: bytes, encode_special: bool = True) -> Encoder:
-    """The encoder of a tokenizer file's content; a worker process builds each once and keeps its tables."""
-    key = f"{hashlib.sha256(content).hexdigest()} {encode_special}"
-    if key not in _built:
-        other = _built.get(f"{key.split()[0]} {not encode_special}")
-        _built[key] = Encoder(other.automaton if other else Automaton.of_file(content.decode()), encode_special)
-    return _built[key]
+    """The encoder of a tokenizer file's content; a worker process builds the automaton once and keeps its tables until it does something else."""
+    name = hashlib.sha256(content).hexdigest()
+    automaton = runtime.held(name, lambda: Automaton.of_file(content.decode()))
+    return runtime.held(f"{name} {encode_special}", lambda: Encoder(automaton, encode_special))
 
 
 def _shared(docs: DataFrame, path: str):
@@ -336,6 +331,15 @@ def _shared(docs: DataFrame, path: str):
         return docs.sparkSession.sparkContext.broadcast(f.read())
 
 
+DIGESTS = [T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]
+
+
+def _digests(automaton: Automaton, rows: list[bytes]) -> list[pa.Array]:
+    decoded = (automaton.decode(r).decode("utf-8", "replace").encode() for r in rows)
+    sha = lambda x: hashlib.sha256(x).hexdigest()
+    return [pa.array([len(r) // 4 for r in rows], pa.int64()), pa.array([sha(r) for r in rows], pa.string()), pa.array([sha(d) for d in decoded], pa.string())]
+
+
 def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids", encode_special: bool = True) -> DataFrame:
     """docs with a binary column of token ids (little-endian unsigned 32-bit). One pass, no shuffle."""
     content = _shared(docs, path)
@@ -344,7 +348,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids", enc
         encoder = encoder_of(content.value, encode_special)
         return lambda texts: [pa.array([encoder.encode(t.decode("utf-8", "replace")) for t in texts], pa.binary())]
 
-    return runtime.append_columns(docs, text, [T.StructField(ids, T.BinaryType())], make)
+    return runtime.append_columns(docs, text, [T.StructField(ids, T.BinaryType())], make, holds=True)
 
 
 def decode(docs: DataFrame, path: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
@@ -355,7 +359,7 @@ def decode(docs: DataFrame, path: str, ids: str = "ids", text: str = "decoded")
         automaton = encoder_of(content.value).automaton
         return lambda rows: [pa.array([automaton.decode(r).decode("utf-8", "replace") for r in rows], pa.string())]
 
-    return runtime.append_columns(docs, ids, [T.StructField(text, T.StringType())], make)
+    return runtime.append_columns(docs, ids, [T.StructField(text, T.StringType())], make, holds=True)
 
 
 def digests(docs: DataFrame, path: str, ids: str = "ids") -> DataFrame:
@@ -364,13 +368,23 @@ def digests(docs: DataFrame, path: str, ids: str = "ids") -> DataFrame:
 
     def make():
         automaton = encoder_of(content.value).automaton
+        return lambda rows: _digests(automaton, rows)
+
+    return runtime.append_columns(docs, ids, DIGESTS, make, holds=True)
+
+
+def encode_and_digest(docs: DataFrame, path: str, text: str = "text", ids: str | None = None, encode_special: bool = True) -> DataFrame:
+    """docs without the text, with what encode (if ids names its column) and digests give, in one worker: chained, each of the two has one with tables of its own."""
+    content = _shared(docs, path)
+
+    def make():
+        encoder = encoder_of(content.value, encode_special)
 
-        def step(rows: list[bytes]):
-            decoded = (automaton.decode(r).decode("utf-8", "replace").encode() for r in rows)
-            sha = lambda x: hashlib.sha256(x).hexdigest()
-            return [pa.array([len(r) // 4 for r in rows], pa.int64()), pa.array([sha(r) for r in rows], pa.string()), pa.array([sha(d) for d in decoded], pa.string())]
+        def step(texts: list[bytes]):
+            rows = [encoder.encode(t.decode("utf-8", "replace")) for t in texts]
+            return ([pa.array(rows, pa.binary())] if ids else []) + _digests(encoder.automaton, rows)
 
         return step
 
-    fields = [T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]
-    return runtime.append_columns(docs, ids, fields, make)
+    fields = ([T.StructField(ids, T.BinaryType())] if ids else []) + DIGESTS
+    return runtime.append_columns(docs, text, fields, make, without=text, holds=True)

@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from glossmill.llm import runtime
+
 #: Rows of each class that a classifier is fitted on, and bytes of their texts, at most.
 SAMPLE, SAMPLE_BYTES = 3000, 48 << 20
 
@@ -39,7 +41,10 @@ def fit_apart(rows: DataFrame, fit: Callable[[pa.Table], Any]) -> Any:
     """What fit makes of all rows, in one task; None without rows. rows are a bounded sample, and only the model, of a bounded size too, comes to the driver."""
 
     def run(table: pa.Table) -> pa.Table:
-        return pa.table({"model": pa.array([pickle.dumps(fit(table.drop_columns("_one")))], pa.binary())})
+        runtime.release()
+        model = pickle.dumps(fit(table.drop_columns("_one")))
+        runtime.release()
+        return pa.table({"model": pa.array([model], pa.binary())})
 
     got = rows.withColumn("_one", F.lit(0)).groupBy("_one").applyInArrow(run, "model binary").first()
     return got and pickle.loads(got["model"])

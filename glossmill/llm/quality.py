@@ -26,6 +26,8 @@ BUCKETS, DIM, NONZERO, WINDOW = 1024, 48, 6, 2
 HIDDEN, STEPS, RATE, DECAY = 24, 400, 0.02, 1e-4
 #: Rows of each class that it is fitted on, at most.
 SAMPLE = 2000
+#: Units whose neighbours are counted at a time.
+BLOCK = 1 << 20
 #: Every so manieth sampled row is kept aside for the temperature.
 ASIDE = 5
 
@@ -78,9 +80,11 @@ def word_vectors(units_: np.ndarray, first: np.ndarray, seed: int) -> np.ndarray
     beside = np.zeros(BUCKETS * BUCKETS)
     text = np.repeat(np.arange(len(first) - 1, dtype=np.int32), np.diff(first))
     for d in range(1, WINDOW + 1):
-        ok = text[d:] == text[:-d]
-        a, b = units_[:-d][ok].astype(np.int64), units_[d:][ok].astype(np.int64)
-        beside += np.bincount(a * BUCKETS + b, minlength=BUCKETS**2) + np.bincount(b * BUCKETS + a, minlength=BUCKETS**2)
+        for at in range(0, len(units_) - d, BLOCK):
+            end = min(at + BLOCK, len(units_) - d)
+            ok = text[at + d : end + d] == text[at:end]
+            a, b = units_[at:end][ok].astype(np.int64), units_[at + d : end + d][ok].astype(np.int64)
+            beside += np.bincount(a * BUCKETS + b, minlength=BUCKETS**2) + np.bincount(b * BUCKETS + a, minlength=BUCKETS**2)
     out = beside.reshape(BUCKETS, BUCKETS).astype(np.float32) @ index_vectors(seed)
     return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-6)
 

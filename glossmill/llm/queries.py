@@ -67,9 +67,7 @@ def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = vocabulary_path()
-    ids = bpe_automaton.encode(runtime.read(spark, sf_dir, "documents").select("doc_id", "text"), path).drop("text")
-    return bpe_automaton.digests(ids, path).drop("ids")
+    return bpe_automaton.encode_and_digest(runtime.read(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary_path())
 
 
 #: A conversation of control strings, beside those of the table.

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import os
 import tempfile
 import uuid
 import zipfile
 from collections.abc import Callable, Iterator
+from typing import Any
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -112,6 +114,28 @@ def text_bytes(column: pa.Array) -> list[bytes]:
     return [b"" if x is None else x for x in column.to_pylist()]
 
 
+#: What a worker process keeps from one task to the next.
+_held: dict[str, Any] = {}
+
+
+def held(key: str, build: Callable[[], Any]) -> Any:
+    """What build makes, once in a worker process, until a task of another kind comes."""
+    if key not in _held:
+        _held[key] = build()
+    return _held[key]
+
+
+def release(all_of_it: bool = True) -> None:
+    """Gives free memory back to the system, and what is held before that. Workers wait for the next task beside others and beside the JVM, so what they don't need counts."""
+    if all_of_it:
+        _held.clear()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def append_columns(
     df: DataFrame,
     text: str,
@@ -119,20 +143,25 @@ def append_columns(
     make: Callable[[], Callable[[list[bytes]], list[pa.Array]]],
     max_rows: int = SLICE_ROWS,
     max_bytes: int = SLICE_BYTES,
+    without: str | None = None,
+    holds: bool = False,
 ) -> DataFrame:
     """df with columns computed from its text column, in one pass without a shuffle.
 
     make() runs once per task and returns the function of a list of texts; it gives one array per field. Columns of
-    df with the name of a field (whatever their case) are replaced.
+    df with the name of a field (whatever their case) are replaced; the column without is left out. holds: make uses
+    held().
     """
     names = [f.name for f in fields]
-    taken = {n.lower() for n in names}
+    taken = {n.lower() for n in names} | ({without.lower()} if without else set())
     kept = [f for f in df.schema.fields if f.name.lower() not in taken]
     df = df.select(*(quoted(f.name).alias(f"c{i}") for i, f in enumerate(kept)), quoted(text).alias("text"))
     schema = T.StructType(kept + fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = None
+        if not holds:
+            release()
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -142,6 +171,9 @@ def append_columns(
             for a, b in pieces(texts, max_bytes, max_rows):
                 out = step(texts[a:b])
                 yield pa.RecordBatch.from_arrays([*(c.slice(a, b - a) for c in own), *out], [*(f.name for f in kept), *names])
+        if step:
+            texts = out = own = column = batch = step = None
+            release(not holds)
 
     return df.mapInArrow(run, schema)
 

@@ -85,9 +85,10 @@ def fit(held: list[np.ndarray], y: np.ndarray, share: float) -> Machine:
     alone = Machine(float(np.log(p / (1 - p))))
     if not rows or ones in (0, rows):
         return alone
-    flat, row = np.concatenate(held).astype(np.int32), np.repeat(np.arange(rows, dtype=np.int32), [len(h) for h in held])
     size = 1 << BITS
-    k1, k0 = np.bincount(flat[y[row] == 1], minlength=size), np.bincount(flat[y[row] == 0], minlength=size)
+    k0, k1 = counts = np.zeros((2, size), np.int64)
+    for terms_, label in zip(held, y.astype(int), strict=True):  # row by row: all terms side by side would be hundreds of MB
+        counts[label, terms_] += 1
     often = np.flatnonzero(k1 + k0 >= LEAST_ROWS)
     k1, k0 = k1[often], k0[often]
 
@@ -103,9 +104,9 @@ def fit(held: list[np.ndarray], y: np.ndarray, share: float) -> Machine:
     place = np.full(size, -1, np.int16)
     place[chosen] = np.arange(len(chosen))
     x = np.zeros((rows, len(chosen)), np.float32)
-    there = place[flat]
-    x[row[there >= 0], there[there >= 0]] = 1
-    del flat, row, there, k1, k0
+    for of_row, terms_ in zip(x, held, strict=True):
+        there = place[terms_]
+        of_row[there[there >= 0]] = 1
     weight = np.where(y == 1, 0.5 / ones, 0.5 / (rows - ones)).astype(np.float32)
     rng = np.random.default_rng(3)
     params = [np.zeros(1, np.float32), np.zeros(len(chosen), np.float32), rng.normal(0, 0.01, (len(chosen), FACTORS)).astype(np.float32)]

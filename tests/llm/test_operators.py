@@ -5,6 +5,7 @@ import hashlib
 import io
 import math
 import random
+import tracemalloc
 import zlib
 
 import duckdb
@@ -12,6 +13,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from glossmill.llm import bpe_automaton, chat_format, hyperlang, media, mixing, neardup, quality, queries, repetition, runtime, suffix_lm, toxicity
 
 SIZE = lambda t: len((t or "").encode().split())
@@ -601,3 +603,40 @@ def test_trigram_counts_equal_single_bundles():
     texts = ["abc de".encode(), b"", "Ünï cödé 12 x".encode(), b"q"]
     together = hyperlang.bundles(texts)
     assert all(np.allclose(together[i], hyperlang.bundles([t])[0]) for i, t in enumerate(texts))
+
+
+# ---- memory of Python workers
+def test_tokenizing_takes_one_worker(spark, odd_docs):
+    """Encoding and the digests are one step, with the rows of the two chained."""
+    path = queries.vocabulary_path()
+    chained = bpe_automaton.digests(bpe_automaton.encode(odd_docs, path), path).drop("text")
+    one = bpe_automaton.encode_and_digest(odd_docs, path, ids="ids")
+    assert one.columns == chained.columns and sorted(map(repr, one.collect())) == sorted(map(repr, chained.collect()))
+    plan = corpus_pipeline.bpe_stage(spark, odd_docs, "")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1
+
+
+def test_tables_of_a_worker_go_with_its_task():
+    built = []
+    for _ in range(2):
+        runtime.held("table", lambda: built.append(1))
+    assert built == [1]
+    runtime.release(False)
+    runtime.held("table", lambda: built.append(1))
+    runtime.release()
+    runtime.held("table", lambda: built.append(1))
+    assert built == [1, 1]
+
+
+def test_fitting_holds_no_copies_of_all_terms():
+    rng = np.random.default_rng(1)
+    held = [np.unique(rng.integers(0, 1 << toxicity.BITS, 4000)).astype(np.uint32) for _ in range(3000)]
+    y = np.array([i % 2 for i in range(3000)], np.float32)
+    for i, h in enumerate(held):
+        held[i] = np.union1d(h, np.array([7 + i % 2], np.uint32))
+    tracemalloc.start()
+    machine = toxicity.fit(held, y, 0.5)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert {7, 8} <= set(machine.chosen.tolist())
+    assert peak < 3 * sum(h.nbytes for h in held)
