@@ -19,6 +19,9 @@ LATIN = r"[A-Za-zÀ-ɏ]"
 CYRILLIC = r"[Ѐ-ӿ]"
 IGNORED = r"[\s\d.,!?:;'\"()\[\]{}\-_/\\@#$%^&*+=~`|<>…·•、。，！？：；]"
 
+#: All codes that detect() gives.
+DETECTED = ("en", "ja", "ko", "zh-Hans", "zh-Hant")
+
 
 @lru_cache(1)
 def chinese_classes() -> tuple[str, str]:

@@ -31,19 +31,31 @@ def prepared(texts: DataFrame, key: str, text: str, source_lang: str, target_lan
     """
     rows = texts.withColumn("normal", X.normalize_line_breaks(F.coalesce(F.col(text), F.lit(""))))
     asked = F.coalesce(F.nullif(normalize_code(F.lit(source_lang)), F.lit("")), F.lit("auto"))
+    chinese = ("zh-Hans", "zh-Hant")
+
+    def pure(language: Column) -> Column:
+        if source_lang != "auto" or target_lang not in chinese:
+            return F.lit(True)
+        other = "simplified" if target_lang == "zh-Hant" else "traditional"
+        return F.when(language == target_lang, scripts.script_counts(F.col("normal"))[other] == 0).otherwise(True)
+
+    def found(detected: Column) -> Column:
+        one = scripts.resolve_source(F.lit("auto"), detected)
+        return F.when(one == "auto", one).otherwise(normalize_code(one))
+
+    def settled(detected: Column, language: Column) -> Column:
+        shown = F.when(language != "auto", language).otherwise(detected["primary_language"])
+        return F.struct(detected.alias("detected"), language.alias("source_lang"), shown.alias("shown_lang"), ((language == target_lang) & pure(language)).alias("identity"))
+
+    # one bound value: as columns upon columns, a filter by identity would have the detection written out dozens of times
     if source_lang == "auto":
-        rows = rows.withColumn("detected", detector(F.col("normal")))
-        found = scripts.resolve_source(F.lit("auto"), F.col("detected"))
-        rows = rows.withColumn("source_lang", F.when(found == "auto", found).otherwise(normalize_code(found)))
-        counts = scripts.script_counts(F.col("normal"))
-        other = F.when(F.col("source_lang") == "zh-Hant", counts["simplified"]).otherwise(counts["traditional"])
-        pure = ~F.col("source_lang").isin("zh-Hans", "zh-Hant") | (other == 0)
+        about = X.let(detector(F.col("normal")), lambda d: X.let(found(d), lambda language: settled(d, language)))
     else:
-        rows = rows.withColumn("source_lang", asked)
-        rows = rows.withColumn("detected", scripts.given_language(F.col("normal"), F.col("source_lang")))
-        pure = F.lit(True)
-    shown = F.when(F.col("source_lang") != "auto", F.col("source_lang")).otherwise(F.col("detected.primary_language"))
-    return rows.withColumns({"shown_lang": shown, "identity": (F.col("source_lang") == target_lang) & pure})
+        about = X.let(asked, lambda language: settled(scripts.given_language(F.col("normal"), language), language))
+    rows = rows.withColumn("_about", about).select("*", "_about.*").drop("_about")
+    if source_lang == "auto" and detector is scripts.detect and target_lang not in scripts.DETECTED:
+        rows = rows.withColumn("identity", F.lit(False))  # known beforehand, so a filter needs no detection
+    return rows
 
 
 def answered(units: DataFrame, engine: model.Engine, target_lang: str, cache: DataFrame | None = None) -> DataFrame:

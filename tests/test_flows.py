@@ -223,3 +223,16 @@ def test_previews_of_odd_rows(spark, tmp_path):
     con.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
     got, want = (sorted(map(repr, map(tuple, x))) for x in (catalog_flows.previews(spark, str(tmp_path)).collect(), con.sql(catalog.SQL["previews"]).fetchall()))
     assert got == want and len(got) == len(rows)
+
+
+def test_detection_is_written_out_once(spark):
+    """A filter by identity has one detection in it, and none where no language found can be the target's."""
+    texts = spark.createDataFrame([(1, "这是一个简体中文的句子"), (2, "這是一個繁體中文的句子"), (3, "这是 這個"), (4, "plain words"), (5, "12 !!"), (6, None)], "id long, text string")
+    same = {}
+    for target in ("de", "en", "ko", "zh-Hans", "zh-Hant"):
+        rows = flows.prepared(texts, "id", "text", "auto", target)
+        same[target] = {r["id"] for r in rows.where("identity").collect()}
+        plan = rows.where("NOT identity").select("id", "normal")._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.lower().count("regexp_extract_all") + plan.lower().count("regexp_count") <= (0 if target == "de" else 8)
+    assert same == {"de": set(), "en": {4}, "ko": set(), "zh-Hans": {1}, "zh-Hant": {2}}
+    assert {r["id"] for r in flows.prepared(texts, "id", "text", "de", "de").where("identity").collect()} == {1, 2, 3, 4, 5, 6}
